@@ -143,82 +143,84 @@ def frame_plan(months) -> list[tuple[int, list[tuple[int, int]]]]:
     return plan
 
 
-def _add_rolling_level(df: DataFrame, window, spans: dict[str, str], means: dict[str, str],
-                       length: int, pieces, days: int, wanted: bool) -> DataFrame:
-    """Add the sums for frames of ``length`` months and the statistics made from them.
+def _over(order, frame: str = "") -> str:
+    return f"OVER (PARTITION BY {', '.join(SERIES_KEYS)}, chunk ORDER BY {', '.join(order)} {frame})"
 
-    ``spans`` maps a value column to the prefix of its full-frame deviation,
-    ``means`` to the prefix of its partial-frame average.
+
+def _deviation(value: str, prefix: str, length: int, pieces, days: int, order):
+    """Window expressions, then plain expressions, of a full-frame deviation.
+
+    A frame of L rows is carried as its mean and its sum of squared distances from
+    that mean, both NULL unless all L values are present.
     """
     rows = length * days
-    frame = window.rowsBetween(-(rows - 1), 0)
-    seen, merged, second, results = {}, {}, {}, {}
-
-    for value in spans:
-        mean, dev, last = f"_mean{length}_{value}", f"_dev{length}_{value}", f"_edge_{value}"
-        seen[last] = F.lag(value, rows).over(window)
-        if not pieces:
-            full = F.count(value).over(frame) == rows
-            seen[mean] = F.when(full, F.avg(value).over(frame))
-            seen[dev] = F.when(full, F.var_pop(value).over(frame) * rows)
-        else:
-            part_mean, part_dev, weights = [], [], []
-            for i, (at, piece) in enumerate(pieces):
-                for kind, into in (("mean", part_mean), ("dev", part_dev)):
-                    name = f"_{kind}_{i}_{value}"
-                    source = F.col(f"_{kind}{piece}_{value}")
-                    seen[name] = F.lag(source, at * days).over(window) if at else source
-                    into.append(F.col(name))
-                weights.append(float(piece * days))
-            merged[mean] = sum((w * m for w, m in zip(weights[1:], part_mean[1:])),
-                               weights[0] * part_mean[0]) / float(rows)
-            second[dev] = sum((d + w * F.pow(m - F.col(mean), F.lit(2.0))
-                               for w, m, d in zip(weights, part_mean, part_dev)), F.lit(0.0))
-        # One more row, the oldest, completes the frame of rows + 1.
-        centre = (F.col(mean) * rows + F.col(last)) / float(rows + 1)
-        spread = (F.col(dev) + rows * F.pow(F.col(mean) - centre, F.lit(2.0))
-                  + F.pow(F.col(last) - centre, F.lit(2.0)))
-        results[f"{spans[value]}_{length}m"] = F.sqrt(spread / float(rows))
-
-    for value in means:
-        total, count, last = f"_sum{length}_{value}", f"_n{length}_{value}", f"_edge_{value}"
-        seen[last] = F.lag(value, rows).over(window)
-        if not pieces:
-            seen[total] = F.coalesce(F.sum(value).over(frame), F.lit(0.0))
-            seen[count] = F.count(value).over(frame)
-        else:
-            totals, counts = [], []
-            for i, (at, piece) in enumerate(pieces):
-                for kind, into, empty in (("sum", totals, F.lit(0.0)), ("n", counts, F.lit(0))):
-                    name = f"_{kind}_{i}_{value}"
-                    source = F.col(f"_{kind}{piece}_{value}")
-                    seen[name] = (F.coalesce(F.lag(source, at * days).over(window), empty)
-                                  if at else source)
-                    into.append(F.col(name))
-            merged[total] = sum(totals[1:], totals[0])
-            merged[count] = sum(counts[1:], counts[0])
-        whole = F.col(total) + F.coalesce(F.col(last), F.lit(0.0))
-        held = F.col(count) + F.col(last).isNotNull().cast("int")
-        results[f"{means[value]}_{length}m"] = ratio(whole, held.cast("double"))
-
-    df = df.withColumns(seen)
-    if merged:
-        df = df.withColumns(merged)
-    if second:
-        df = df.withColumns(second)
-    if wanted:
-        df = df.withColumns(results)
-    return df
-
-
-def add_rolling(df: DataFrame, window, *, spans=None, means=None,
+    mean, dev, last = f"_mean{length}_{value}", f"_dev{length}_{value}", f"_last{length}_{value}"
+    seen = {last: f"lag({value}, {rows}) {_over(order)}"}
+    made = {}
+    if not pieces:
+        frame = _over(order, f"ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW")
+        full = f"count({value}) {frame} = {rows}"
+        seen[mean] = f"CASE WHEN {full} THEN avg({value}) {frame} END"
+        seen[dev] = f"CASE WHEN {full} THEN var_pop({value}) {frame} * {rows} END"
+    else:
+        parts = []
+        for i, (at, piece) in enumerate(pieces):
+            names = f"_m{length}_{i}_{value}", f"_d{length}_{i}_{value}"
+            for name, source in zip(names, (f"_mean{piece}_{value}", f"_dev{piece}_{value}")):
+                seen[name] = f"lag({source}, {at * days}) {_over(order)}" if at else source
+            parts.append((piece * days, *names))
+        made[mean] = f"({' + '.join(f'{n} * {m}' for n, m, _ in parts)}) / {rows}D"
+        made[dev] = " + ".join(f"{d} + {n} * pow({m} - {mean}, 2)" for n, m, d in parts)
+    # The oldest row completes the frame of L + 1 rows.
+    centre = f"_centre{length}_{value}"
+    made[centre] = f"({mean} * {rows} + {last}) / {rows + 1}D"
+    made[f"{prefix}_{length}m"] = (f"sqrt(({dev} + {rows} * pow({mean} - {centre}, 2)"
+                                   f" + pow({last} - {centre}, 2)) / {rows}D)")
+    return seen, made
+
+
+def _average(value: str, prefix: str, length: int, pieces, days: int, order):
+    """Window expressions, then plain expressions, of a partial-frame average."""
+    rows = length * days
+    total, held, last = f"_sum{length}_{value}", f"_n{length}_{value}", f"_last{length}_{value}"
+    seen = {last: f"lag({value}, {rows}) {_over(order)}"}
+    made = {}
+    if not pieces:
+        frame = _over(order, f"ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW")
+        seen[total] = f"coalesce(sum({value}) {frame}, 0D)"
+        seen[held] = f"count({value}) {frame}"
+    else:
+        totals, counts = [], []
+        for i, (at, piece) in enumerate(pieces):
+            for tag, source, into in (("s", f"_sum{piece}_{value}", totals),
+                                      ("c", f"_n{piece}_{value}", counts)):
+                name = f"_{tag}{length}_{i}_{value}"
+                seen[name] = f"lag({source}, {at * days}, 0) {_over(order)}" if at else source
+                into.append(name)
+        made[total], made[held] = " + ".join(totals), " + ".join(counts)
+    made[f"{prefix}_{length}m"] = (f"try_divide({total} + coalesce({last}, 0D),"
+                                   f" CAST({held} + CAST({last} IS NOT NULL AS INT) AS DOUBLE))")
+    return seen, made
+
+
+def add_rolling(df: DataFrame, *, spans=None, means=None, order=("datadate",),
                 months=ROLLING_MONTHS, days_per_month: int = DAYS_PER_MONTH) -> DataFrame:
-    """Rolling statistics for all frame lengths; every level shares one sort order."""
+    """Rolling statistics for all frame lengths; every level shares one sort order.
+
+    ``spans`` maps a column to the name of its full-frame deviation, ``means`` to
+    the name of its partial-frame average.  ``df`` needs a ``chunk`` column.
+    """
     spans, means = spans or {}, means or {}
     kept = list(df.columns)
     for length, pieces in frame_plan(months):
-        df = _add_rolling_level(df, window, spans, means, length, pieces,
-                                days_per_month, length in months)
+        seen, made = {}, {}
+        for kind, columns in ((_deviation, spans), (_average, means)):
+            for value, prefix in columns.items():
+                for into, part in zip((seen, made), kind(value, prefix, length, pieces,
+                                                         days_per_month, order)):
+                    into.update(part)
+        for step in (seen, made):
+            df = df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in step.items()])
     wanted = [f"{p}_{m}m" for p in [*spans.values(), *means.values()] for m in months]
     return df.select(*kept, *wanted)
 
@@ -235,7 +237,7 @@ def rolling_volatility(prices: DataFrame, price: str = "adj_close_price", order=
                        chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sample deviation of daily returns over full frames; NULL while a frame is incomplete."""
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, price)
-    rolled = add_rolling(_with_returns(split, price, order), _series_window(*order),
+    rolled = add_rolling(_with_returns(split, price, order), order=order,
                          spans={"daily_return": "daily_vol"}, months=months,
                          days_per_month=days_per_month)
     return rolled.filter(~F.col("is_halo")).drop("chunk", "is_halo", "carried")
@@ -249,7 +251,7 @@ def rolling_liquidity(prices: DataFrame, price: str = "adj_close_price",
     """Average traded amount over frames that may be partial at the start of a series."""
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, None)
     amounts = split.withColumn("transaction_amount", F.col(price) * F.col(volume))
-    rolled = add_rolling(amounts, _series_window(*order),
+    rolled = add_rolling(amounts, order=order,
                          means={"transaction_amount": "avg_transaction_amount"},
                          months=months, days_per_month=days_per_month)
     return rolled.filter(~F.col("is_halo")).drop("chunk", "is_halo", "carried")
@@ -258,18 +260,24 @@ def rolling_liquidity(prices: DataFrame, price: str = "adj_close_price",
 def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS,
                    days_per_month: int = DAYS_PER_MONTH, split_rows: int | None = SPLIT_ROWS,
                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Volatility and liquidity in one pass; adds ``_position``, a long that sorts a series."""
+    """Volatility and liquidity in one pass.
+
+    Adds ``_position``, a long that sorts a series, and ``_opens_month``, which
+    marks (at least) the first row of each month.
+    """
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows,
                            "adj_close_price")
     window = _series_window(*order)
     daily = (_with_returns(split, "adj_close_price", order)
-             .withColumn("transaction_amount",
-                         F.col("adj_close_price") * F.col("adj_trading_volume"))
-             .withColumn("_position", F.shiftleft(F.unix_date(order[0]).cast("long"), 40)
-                         + F.row_number().over(window)))
-    rolled = add_rolling(daily, window, spans={"daily_return": "daily_vol"},
-                         means={"transaction_amount": "avg_transaction_amount"},
-                         months=months, days_per_month=days_per_month)
+             .withColumns({
+                 "transaction_amount": F.col("adj_close_price") * F.col("adj_trading_volume"),
+                 "_position": F.shiftleft(F.unix_date(order[0]).cast("long"), 40)
+                 + F.row_number().over(window),
+                 "_opens_month": F.coalesce(
+                     F.lag(month_number(order[0])).over(window) != month_number(order[0]),
+                     F.lit(True))}))
+    rolled = add_rolling(daily, order=order, spans={"daily_return": "daily_vol"},
+                         means={"transaction_amount": "avg_transaction_amount"}, months=months, days_per_month=days_per_month)
     return rolled.filter(~F.col("is_halo")).drop("chunk", "is_halo", "carried")
 
 

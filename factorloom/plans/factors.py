@@ -121,8 +121,10 @@ def price_panel(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS,
                            .select(*needed), order=order, months=months,
                            days_per_month=days_per_month, split_rows=split_rows,
                            chunk_rows=chunk_rows)
+    # Only Januaries and the first row of each month can be used below.
     january = F.month(day) == 1
-    monthly = (daily.groupBy("exchg", "isin", month_number(day).alias("month_no"))
+    monthly = (daily.filter(january | F.col("_opens_month"))
+               .groupBy("exchg", "isin", month_number(day).alias("month_no"))
                .agg(F.min(day).alias("anchor_date"),
                     F.min_by("adj_close_price", "_position").alias("anchor_price"),
                     *[first_non_null(c, F.col("_position"), january).alias(c)

@@ -15,6 +15,7 @@ SETTINGS = {
     # its windows are evaluated, rather than moving it to the spillable sorter.
     "spark.sql.windowExec.buffer.in.memory.threshold": "16384",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

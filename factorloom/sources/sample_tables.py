@@ -20,18 +20,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _listing(spark, folder) -> DataFrame:
-    supplier, nation = table(spark, folder, "supplier"), table(spark, folder, "nation")
-    return (supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select("s_suppkey", F.col("s_name").alias("conm"),
-                    F.col("n_regionkey").cast("string").alias("exchg")))
+def _with_listing(rows: DataFrame, spark, folder) -> DataFrame:
+    """Add company name and exchange; tables are joined one by one so that the
+    planner sees the file size of each."""
+    return (rows.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .withColumns({"conm": F.col("s_name"),
+                          "exchg": F.col("n_regionkey").cast("string")}))
 
 
 def raw_prices(spark: SparkSession, folder: str, industry: bool = False) -> DataFrame:
     """lineitem as daily quotes.  The part table is joined only for the industry codes."""
     line = table(spark, folder, "lineitem")
     price, disc = F.col("l_extendedprice"), F.col("l_discount")
-    quotes = line.join(_listing(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+    quotes = _with_listing(line, spark, folder)
     codes = [F.lit(None).cast("string").alias("gind"), F.lit(None).cast("string").alias("gsubind")]
     if industry:
         quotes = quotes.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -66,7 +68,7 @@ def raw_statements(spark: SparkSession, folder: str) -> DataFrame:
                  F.sum(price * (1.0 - disc) * (1.0 - tax)).alias("oiadp"),
                  F.sum(price * (1.0 - tax)).alias("ebitda"),
                  F.sum(F.col("l_quantity") * price / 100.0).alias("oancf")))
-    return (sums.join(_listing(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+    return (_with_listing(sums, spark, folder)
             .select(F.col("l_suppkey").cast("string").alias("isin"), "exchg", "fyear", "datadate",
                     "at", "revt", "oiadp", "ebitda", "oancf", "popsrc", "datafmt",
                     F.lit("C").alias("consol")))
