@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +73,19 @@ def _series_window(*extra) -> Window:
     return Window.partitionBy(*SERIES_KEYS, "chunk").orderBy(*extra)
 
 
-def _with_returns(split: DataFrame, price: str, order) -> DataFrame:
-    window = _series_window(*order)
-    so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (split
-            .withColumn("_filled", F.coalesce(
-                F.last(price, ignorenulls=True).over(so_far), F.col("carried")))
-            .withColumn("_previous", F.coalesce(
-                F.lag("_filled", 1).over(window), F.col("carried")))
-            .withColumn("daily_return", ratio("_filled", "_previous") - F.lit(1.0))
-            .drop("_filled", "_previous"))
+def _with_returns(split: DataFrame, price: str, order, also=None) -> DataFrame:
+    """Add ``daily_return`` (and the window columns of ``also``).
+
+    The forward-filled price of the row before is the last non-null price before
+    this row, and a missing price today is filled with the same value.
+    """
+    before = _series_window(*order).rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.coalesce(F.last(price, ignorenulls=True).over(before), F.col("carried"))
+    return (split.withColumns({"_previous": previous, **(also or {})})
+            .withColumn("daily_return",
+                        ratio(F.coalesce(F.col(price), F.col("_previous")), "_previous")
+                        - F.lit(1.0))
+            .drop("_previous"))
 
 
 def daily_returns(prices: DataFrame, price: str = "adj_close_price", order=("datadate",),
@@ -123,102 +124,109 @@ def change_over_rows(df: DataFrame, values, order=("year",), keys=SERIES_KEYS,
 # A frame of m months covers days_per_month * m + 1 rows, up to 757.  Evaluating
 # such a sliding frame row by row costs one step per row *and* frame position.
 # Instead a long frame is glued from shorter ones that are already known at
-# earlier rows (36 = 24 + 12, 12 = 6 + 6, ...), which costs a few lags per row.
-# Nothing is ever subtracted, so an outlier leaves no rounding error behind once
-# it is out of the frame.
-
-def frame_plan(months) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each length the (offset, length) pieces that make it up, shortest first."""
-    unit = gcd(*months)
-    known: list[int] = []
-    plan = []
-    for length in sorted({unit, *months}):
-        pieces, at = [], 0
-        while at < length and known:
-            piece = max(k for k in known if k <= length - at)
-            pieces.append((at, piece))
-            at += piece
-        plan.append((length, pieces))
-        known.append(length)
-    return plan
-
-
-def _over(order, frame: str = "") -> str:
-    return f"OVER (PARTITION BY {', '.join(SERIES_KEYS)}, chunk ORDER BY {', '.join(order)} {frame})"
-
-
-def _deviation(value: str, prefix: str, length: int, pieces, days: int, order):
+# earlier rows (126 rows = six times 21, 756 = six times 126), which costs a few
+# lags per row.  Nothing is ever subtracted, so an outlier leaves no rounding
+# error behind once it is out of the frame.
+
+def frame_plan(lengths, fan: int = 6) -> list[list[tuple[int, list[tuple[int, int]]]]]:
+    """Levels of frame lengths in rows, each with the (offset, length) pieces it is made of.
+
+    It starts from single rows.  A level reaches up to ``fan`` times the longest
+    frame known before it, and all its lengths share one window.
+    """
+    known, todo = [1], sorted(set(lengths) - {1})
+    levels = [[(1, [(0, 1)])]] if 1 in lengths else []
+    while todo:
+        reach = known[-1] * fan
+        now = [n for n in todo if n <= reach] or [reach]
+        level = []
+        for length in now:
+            pieces, at = [], 0
+            while at < length:
+                piece = max(k for k in known if k <= length - at)
+                pieces.append((at, piece))
+                at += piece
+            level.append((length, pieces))
+        levels.append(level)
+        known = sorted({*known, *now})
+        todo = [n for n in todo if n > reach]
+    return levels
+
+
+def _earlier(seen: dict, column: str, rows: int, order, empty: str = "NULL") -> str:
+    """Name of ``column`` as it was ``rows`` rows ago, noted in ``seen``."""
+    if rows == 0:
+        return column
+    name = f"{column}_ago{rows}"
+    seen[name] = (f"lag({column}, {rows}, {empty}) OVER (PARTITION BY "
+                  f"{', '.join(SERIES_KEYS)}, chunk ORDER BY {', '.join(order)})")
+    return name
+
+
+def _deviation(value: str, result: str | None, rows: int, pieces, order):
     """Window expressions, then plain expressions, of a full-frame deviation.
 
-    A frame of L rows is carried as its mean and its sum of squared distances from
-    that mean, both NULL unless all L values are present.
+    A frame is carried as its mean and its sum of squared distances from that
+    mean, both NULL unless all of its values are present.
     """
-    rows = length * days
-    mean, dev, last = f"_mean{length}_{value}", f"_dev{length}_{value}", f"_last{length}_{value}"
-    seen = {last: f"lag({value}, {rows}) {_over(order)}"}
-    made = {}
-    if not pieces:
-        frame = _over(order, f"ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW")
-        full = f"count({value}) {frame} = {rows}"
-        seen[mean] = f"CASE WHEN {full} THEN avg({value}) {frame} END"
-        seen[dev] = f"CASE WHEN {full} THEN var_pop({value}) {frame} * {rows} END"
-    else:
-        parts = []
-        for i, (at, piece) in enumerate(pieces):
-            names = f"_m{length}_{i}_{value}", f"_d{length}_{i}_{value}"
-            for name, source in zip(names, (f"_mean{piece}_{value}", f"_dev{piece}_{value}")):
-                seen[name] = f"lag({source}, {at * days}) {_over(order)}" if at else source
-            parts.append((piece * days, *names))
-        made[mean] = f"({' + '.join(f'{n} * {m}' for n, m, _ in parts)}) / {rows}D"
-        made[dev] = " + ".join(f"{d} + {n} * pow({m} - {mean}, 2)" for n, m, d in parts)
-    # The oldest row completes the frame of L + 1 rows.
-    centre = f"_centre{length}_{value}"
-    made[centre] = f"({mean} * {rows} + {last}) / {rows + 1}D"
-    made[f"{prefix}_{length}m"] = (f"sqrt(({dev} + {rows} * pow({mean} - {centre}, 2)"
-                                   f" + pow({last} - {centre}, 2)) / {rows}D)")
+    mean, dev, centre = f"_mean{rows}_{value}", f"_dev{rows}_{value}", f"_mid{rows}_{value}"
+    seen, parts = {}, []
+    for at, piece in pieces:
+        if piece == 1:
+            parts.append((1, _earlier(seen, value, at, order), "0D"))
+        else:
+            parts.append((piece, _earlier(seen, f"_mean{piece}_{value}", at, order),
+                          _earlier(seen, f"_dev{piece}_{value}", at, order)))
+    made = {mean: f"({' + '.join(f'{n} * {m}' for n, m, _ in parts)}) / {rows}D",
+            dev: " + ".join(f"{d} + {n} * pow({m} - {mean}, 2)" for n, m, d in parts)}
+    if result:
+        # The oldest row completes the frame of rows + 1.
+        last = _earlier(seen, value, rows, order)
+        made[centre] = f"({mean} * {rows} + {last}) / {rows + 1}D"
+        made[result] = (f"sqrt(({dev} + {rows} * pow({mean} - {centre}, 2)"
+                        f" + pow({last} - {centre}, 2)) / {rows}D)")
     return seen, made
 
 
-def _average(value: str, prefix: str, length: int, pieces, days: int, order):
+def _average(value: str, result: str | None, rows: int, pieces, order):
     """Window expressions, then plain expressions, of a partial-frame average."""
-    rows = length * days
-    total, held, last = f"_sum{length}_{value}", f"_n{length}_{value}", f"_last{length}_{value}"
-    seen = {last: f"lag({value}, {rows}) {_over(order)}"}
-    made = {}
-    if not pieces:
-        frame = _over(order, f"ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW")
-        seen[total] = f"coalesce(sum({value}) {frame}, 0D)"
-        seen[held] = f"count({value}) {frame}"
-    else:
-        totals, counts = [], []
-        for i, (at, piece) in enumerate(pieces):
-            for tag, source, into in (("s", f"_sum{piece}_{value}", totals),
-                                      ("c", f"_n{piece}_{value}", counts)):
-                name = f"_{tag}{length}_{i}_{value}"
-                seen[name] = f"lag({source}, {at * days}, 0) {_over(order)}" if at else source
-                into.append(name)
-        made[total], made[held] = " + ".join(totals), " + ".join(counts)
-    made[f"{prefix}_{length}m"] = (f"try_divide({total} + coalesce({last}, 0D),"
-                                   f" CAST({held} + CAST({last} IS NOT NULL AS INT) AS DOUBLE))")
+    total, held = f"_sum{rows}_{value}", f"_n{rows}_{value}"
+    seen, totals, counts = {}, [], []
+    for at, piece in pieces:
+        if piece == 1:
+            one = _earlier(seen, value, at, order)
+            totals.append(f"coalesce({one}, 0D)")
+            counts.append(f"CAST({one} IS NOT NULL AS INT)")
+        else:
+            totals.append(_earlier(seen, f"_sum{piece}_{value}", at, order, "0D"))
+            counts.append(_earlier(seen, f"_n{piece}_{value}", at, order, "0"))
+    made = {total: " + ".join(totals), held: " + ".join(counts)}
+    if result:
+        last = _earlier(seen, value, rows, order)
+        made[result] = (f"try_divide({total} + coalesce({last}, 0D),"
+                        f" CAST({held} + CAST({last} IS NOT NULL AS INT) AS DOUBLE))")
     return seen, made
 
 
 def add_rolling(df: DataFrame, *, spans=None, means=None, order=("datadate",),
                 months=ROLLING_MONTHS, days_per_month: int = DAYS_PER_MONTH) -> DataFrame:
-    """Rolling statistics for all frame lengths; every level shares one sort order.
+    """Rolling statistics for all frame lengths, in one sort order and few windows.
 
     ``spans`` maps a column to the name of its full-frame deviation, ``means`` to
     the name of its partial-frame average.  ``df`` needs a ``chunk`` column.
     """
     spans, means = spans or {}, means or {}
     kept = list(df.columns)
-    for length, pieces in frame_plan(months):
+    month_of = {days_per_month * m: m for m in months}
+    for level in frame_plan(month_of):
         seen, made = {}, {}
-        for kind, columns in ((_deviation, spans), (_average, means)):
-            for value, prefix in columns.items():
-                for into, part in zip((seen, made), kind(value, prefix, length, pieces,
-                                                         days_per_month, order)):
-                    into.update(part)
+        for rows, pieces in level:
+            for kind, columns in ((_deviation, spans), (_average, means)):
+                for value, prefix in columns.items():
+                    result = f"{prefix}_{month_of[rows]}m" if rows in month_of else None
+                    new_seen, new_made = kind(value, result, rows, pieces, order)
+                    seen.update(new_seen)
+                    made.update(new_made)
         for step in (seen, made):
             df = df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in step.items()])
     wanted = [f"{p}_{m}m" for p in [*spans.values(), *means.values()] for m in months]
@@ -268,16 +276,16 @@ def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows,
                            "adj_close_price")
     window = _series_window(*order)
-    daily = (_with_returns(split, "adj_close_price", order)
-             .withColumns({
-                 "transaction_amount": F.col("adj_close_price") * F.col("adj_trading_volume"),
-                 "_position": F.shiftleft(F.unix_date(order[0]).cast("long"), 40)
-                 + F.row_number().over(window),
-                 "_opens_month": F.coalesce(
-                     F.lag(month_number(order[0])).over(window) != month_number(order[0]),
-                     F.lit(True))}))
+    month = month_number(order[0])
+    position = F.shiftleft(F.unix_date(order[0]).cast("long"), 40) + F.row_number().over(window)
+    opens = F.coalesce(F.lag(month).over(window) != month, F.lit(True))
+    daily = (_with_returns(split, "adj_close_price", order,
+                           {"_position": position, "_opens_month": opens})
+             .withColumn("transaction_amount",
+                         F.col("adj_close_price") * F.col("adj_trading_volume")))
     rolled = add_rolling(daily, order=order, spans={"daily_return": "daily_vol"},
-                         means={"transaction_amount": "avg_transaction_amount"}, months=months, days_per_month=days_per_month)
+                         means={"transaction_amount": "avg_transaction_amount"},
+                         months=months, days_per_month=days_per_month)
     return rolled.filter(~F.col("is_halo")).drop("chunk", "is_halo", "carried")
 
 
