@@ -1,0 +1,128 @@
+import pytest
+from pyspark.sql import functions as F
+
+from factorloom.functions.scalars import bucket
+from factorloom.operators import crosssec, groups, reconcile
+from factorloom.plans import development, report
+from factorloom.schema import (HDI_CODE_OVERRIDES, HDI_CUTS, HDI_LEVELS, PPP_CUTS, PPP_GROUPS)
+from factorloom.sources.market import exchange_table, in_country
+
+
+def test_known_boundary_members_fall_into_their_groups(spark):
+    df = spark.createDataFrame([("Ghana", 4121.764705882353), ("Paraguay", 10370.0),
+                                ("Russian Federation", 22755.882352941175), ("cut", 3975.735294),
+                                ("below", 3975.7352939), ("none", None)], "name string, v double")
+    got = {r.name: r.g for r in df.select("name", bucket("v", PPP_CUTS, PPP_GROUPS).alias("g"))
+           .collect()}
+    assert got == {"Ghana": "Middle Low Development", "Paraguay": "Middle High Development",
+                   "Russian Federation": "High Development", "cut": "Middle Low Development",
+                   "below": "Low Development", "none": None}
+
+
+def test_index_levels_and_a_missing_index(spark):
+    df = spark.createDataFrame([(x,) for x in (.8, .7999, .7, .55, .5499, None)], "hdi double")
+    got = [r.hdi_group for r in development.index_levels(df, "hdi", HDI_CUTS, HDI_LEVELS).collect()]
+    assert got == ["VERY HIGH", "HIGH", "HIGH", "MEDIUM", "LOW", "LOW"]
+
+
+def test_row_mean_skips_missing_years(spark):
+    df = spark.createDataFrame([(1.0, None, 3.0), (None, None, None)], "a double, b double, c double")
+    assert [r[0] for r in df.select(crosssec.row_mean(["a", "b", "c"])).collect()] == [2.0, None]
+
+
+def test_full_join_of_complete_rows_is_planned_as_inner(spark, plan_text):
+    ppp = spark.range(10).select(F.col("id").cast("string").alias("country_code"),
+                                 F.lit("n").alias("country_name"), F.lit(1.0).alias("2005"))
+    meta = spark.range(5, 15).select(F.col("id").cast("string").alias("country_code"),
+                                     F.lit("r").alias("region"), F.lit("i").alias("income_group"))
+    out = development.complete_ppp(ppp, meta, (2005,))
+    assert out.count() == 5
+    text = plan_text(out)
+    assert "FullOuter" not in text and "Inner" in text
+
+
+def test_exchange_table_and_country_filter(spark):
+    table = exchange_table(spark)
+    assert table.count() == 11
+    assert dict(table.groupBy("label").agg(F.count_distinct("country")).collect()) == {
+        "Developing Country": 5, "Developed Country": 5}
+    rows = spark.createDataFrame([("308", 1), ("314", 2), ("106", 3), ("999", 4)],
+                                 "exchg string, x int")
+    assert sorted(r.x for r in in_country(rows, table, "Bangladesh").collect()) == [1, 2]
+    assert in_country(rows, table).count() == 3
+
+
+def test_keys_are_repaired_by_name_and_looked_up_again(spark):
+    left = spark.createDataFrame([("Kenya",), ("Viet Nam",), ("Nowhere",)], "country string")
+    meta = spark.createDataFrame([("KEN", "Kenya", "Africa"), ("VNM", "Vietnam", "Asia")],
+                                 "country_code string, table_name string, region string")
+    overrides = spark.createDataFrame(list(HDI_CODE_OVERRIDES),
+                                      "country string, override_code string")
+    assert overrides.count() == overrides.select("override_code").distinct().count() == 25
+    coded = reconcile.left_lookup(left, meta, "country", "table_name", ["country_code", "region"])
+    missing = reconcile.unmatched_keys(left, meta, "country", "table_name")
+    assert {r.country for r in missing.collect()} == {"Viet Nam", "Nowhere"}
+    fixed = reconcile.repair_keys(coded, overrides, "country", "country_code")
+    out = reconcile.rejoin_after_repair(fixed, meta, "country_code", ["region"])
+    assert {tuple(r) for r in out.select("country", "country_code", "region").collect()} == {
+        ("Kenya", "KEN", "Africa"), ("Viet Nam", "VNM", "Asia"), ("Nowhere", None, None)}
+
+
+def test_countries_are_labelled_by_name_with_overrides(spark):
+    rows = spark.createDataFrame([(1, "Cote dIvoire"), (2, "KENYA "), (3, "Bahamas")],
+                                 "id int, country string")
+    named = spark.createDataFrame([("Cote d'Ivoire", "Low"), ("Kenya", "Low"),
+                                   ("Bahamas, The", "High")], "n string, label string")
+    plain = reconcile.label_countries(rows, named, "country", "n", ["label"]).collect()
+    assert {r.id: r.label for r in plain} == {1: "Low", 2: "Low", 3: None}
+    renamed = spark.createDataFrame([("Bahamas", "Bahamas, The")], "name string, other_name string")
+    out = reconcile.label_countries(rows, named, "country", "n", ["label"], renamed).collect()
+    assert {r.id: r.label for r in out} == {1: "Low", 2: "Low", 3: "High"}
+
+
+def test_mean_abs_plain_and_strict(spark):
+    df = spark.createDataFrame([("a", -1.0), ("a", 3.0), ("b", None), ("b", 5.0)],
+                               "g string, v double")
+    assert {r.g: r.mean_abs for r in groups.mean_abs(df, "g", "v").collect()} == {"a": 2.0, "b": 5.0}
+    strict = groups.mean_abs(df, "g", "v", strict=True).collect()
+    assert {r.g: r.mean_abs for r in strict} == {"a": 2.0, "b": None}
+
+
+def test_boundary_member_and_order(spark):
+    df = spark.createDataFrame([("g", 2.0, "b"), ("g", 1.0, "z"), ("g", 1.0, "a"), ("h", 9.0, "c")],
+                               "g string, v double, name string")
+    assert {tuple(r) for r in groups.boundary_members(df, "g", "v", "name").collect()} == {
+        ("g", "a", 1.0, 3), ("h", "c", 9.0, 1)}
+    tab = groups.crosstab(df.withColumn("o", F.lit("x")), "g", "o", ["h", "g"]).collect()
+    assert {r.g: r.group_order for r in tab} == {"h": 0, "g": 1}
+
+
+@pytest.fixture
+def significant(spark):
+    exchanges = spark.createDataFrame(
+        [("1", "e", "A", "L1"), ("2", "e", "A", "L1"), ("3", "e", "B", "L1"), ("4", "e", "C", "L2")],
+        "exchg string, exchange_name string, country string, label string")
+    results = spark.createDataFrame(
+        [("A", "f1", .5, .01), ("A", "f2", .4, .10), ("A", "f3", .3, .11), ("B", "f1", .2, .5),
+         ("C", "f2", -.1, .02), ("C", "f4", .9, None)],
+        "country string, factor string, beta double, pvalue double")
+    return report.significant_factors(results, exchanges)
+
+
+def test_significant_factors_keep_countries_without_any(significant):
+    assert {tuple(r) for r in significant.select("country", "factor", "label").collect()} == {
+        ("A", "f1", "L1"), ("A", "f2", "L1"), ("B", None, "L1"), ("C", "f2", "L2")}
+    assert dict(report.count_by_label(significant).collect()) == {"L1": 2, "L2": 1}
+    average = {r.label: (r.significant, r.countries, r.per_country)
+               for r in report.average_by_label(significant).collect()}
+    assert average == {"L1": (2, 2, 1.0), "L2": (1, 1, 1.0)}
+
+
+def test_display_rows_and_matrix(significant):
+    filled = report.fill_missing_groups(significant).filter("country = 'B'").first()
+    assert (filled.factor, filled.beta) == ("market_capitalization", 0.0)
+    matrix = {(r.label, r.factor): (r.A, r.B, r.C)
+              for r in report.beta_matrix(significant, ["A", "B", "C"]).collect()}
+    assert matrix == {("L1", "f1"): (.5, None, None), ("L1", "f2"): (.4, None, None),
+                      ("L1", "market_capitalization"): (None, 0.0, None),
+                      ("L2", "f2"): (None, None, -.1)}
