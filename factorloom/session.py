@@ -20,13 +20,13 @@ SETTINGS = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  memory: str = "8g") -> SparkSession:
+                  memory: str = "8g", settings: dict | None = None) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (SparkSession.builder.master(f"local[{cores}]")
                .appName("factorloom")
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,7 +41,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     folder = (spark.conf.get("spark.checkpoint.dir", None)
-              or context.getCheckpointDir())
+              or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
     if folder:
         return folder
     if not context.master.startswith("local"):

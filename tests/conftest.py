@@ -11,8 +11,9 @@ TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, shuffle_partitions=4)
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(8, shuffle_partitions=4, settings={"spark.checkpoint.dir": folder})
     session.conf.set("spark.sql.maxMetadataStringLength", "10000")
     yield session
     session.stop()

@@ -1,5 +1,6 @@
 import datetime
 import math
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,14 +102,12 @@ def test_preview_is_ordered_and_limited(spark):
     assert [r.id for r in rows] == [0, 1, 2, 3, 4]
 
 
-def test_materialized_tables_go_to_the_configured_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        df = session.materialize(spark.range(3).withColumn("x", F.lit(None).cast("double")), "t")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_materialized_tables_go_to_the_configured_folder(spark):
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert session.shared_folder(spark) == folder
+    df = session.materialize(spark.range(3).withColumn("x", F.lit(None).cast("double")), "three")
     assert df.count() == 3 and df.columns == ["id", "x"]
-    assert len(list(tmp_path.glob("t-*"))) == 1
+    assert len(list(pathlib.Path(folder).glob("three-*"))) == 1
 
 
 def test_sample_sources_have_the_source_columns(spark):
