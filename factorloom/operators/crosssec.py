@@ -11,10 +11,12 @@ from factorloom.functions.scalars import ratio
 
 
 def cross_section_stats(panel: DataFrame, columns, keys=("exchg", "year")) -> DataFrame:
-    """Mean and sample deviation per group; combined before the shuffle."""
+    """Rows, and mean, sample deviation and count of values per column, of each group."""
     return (panel.filter(_all_present(keys)).groupBy(*keys)
-            .agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns],
-                 *[F.stddev_samp(c).alias(f"_std_{c}") for c in columns]))
+            .agg(F.count(F.lit(1)).alias("_rows"),
+                 *[F.avg(c).alias(f"_mean_{c}") for c in columns],
+                 *[F.stddev_samp(c).alias(f"_std_{c}") for c in columns],
+                 *[F.count(c).alias(f"_held_{c}") for c in columns]))
 
 
 def normalize_cross_section(panel: DataFrame, columns, keys=("exchg", "year"),
@@ -41,6 +43,20 @@ def null_ratios(df: DataFrame, columns, by=()) -> DataFrame:
     return wide.unpivot(list(by), list(columns), "factor", "null_ratio")
 
 
+def score_null_ratios(stats: DataFrame, columns, by=("country",)) -> DataFrame:
+    """The null ratios that the scores will have, from the group summaries alone.
+
+    A score is missing where its value is, and in groups whose values do not
+    vary.  This spares a pass over the panel.  ``stats`` must carry ``by``.
+    """
+    def missing(c):
+        varies = F.coalesce(F.col(f"_std_{c}") != 0.0, F.lit(False))
+        return F.when(varies, F.col("_rows") - F.col(f"_held_{c}")).otherwise(F.col("_rows"))
+    wide = stats.groupBy(*by).agg(
+        *[(F.sum(missing(c)) / F.sum("_rows")).alias(c) for c in columns])
+    return wide.unpivot(list(by), list(columns), "factor", "null_ratio")
+
+
 def kept_factors(ratios: DataFrame, by=("country",), limit: float = 0.2) -> DataFrame:
     """Per group, the factors whose share of NULLs is below ``limit``, as one array."""
     return (ratios.groupBy(*by).agg(F.sort_array(F.collect_list(

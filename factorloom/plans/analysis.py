@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.operators.crosssec import (cross_section_stats, kept_factors,
-                                           normalize_cross_section, null_ratios)
+                                           normalize_cross_section, score_null_ratios)
 from factorloom.operators.regression import fit_grouped, masked_design
 from factorloom.plans.factors import factor_panel
 from factorloom.schema import (MOMENTUM_MONTHS, ROLLING_MONTHS, TARGET, factor_columns)
@@ -36,11 +36,11 @@ def regression_design(prices: DataFrame, statements: DataFrame, exchanges: DataF
                       **options) -> Design:
     """Panel, z-scores per (exchange, year), and complete cases per country.
 
-    The annual panel is read three times (scores, missing shares, fit), so it is
-    written once: it is about 250 times smaller than the daily prices.  The
-    scores' means and the kept factors are written too; they hold one row per
-    (exchange, year) and per country, and as tables with a known size they are
-    broadcast when small.
+    The annual panel is read twice (group summaries, fit), so it is written once:
+    it is about 250 times smaller than the daily prices.  The summaries, one row
+    per (exchange, year), are written too, which gives them a known size: the
+    planner broadcasts them when small.  The factors a country keeps follow from
+    the summaries.
     """
     factors = factor_columns(options.get("months", ROLLING_MONTHS),
                              options.get("back", MOMENTUM_MONTHS))
@@ -53,8 +53,8 @@ def regression_design(prices: DataFrame, statements: DataFrame, exchanges: DataF
     columns = [*factors, TARGET]
     stats = materialize(cross_section_stats(panel, columns), "panel-stats")
     scored = normalize_cross_section(panel, columns, stats=stats)
-    kept = materialize(kept_factors(null_ratios(scored, factors, ("country",)),
-                                    ("country",), null_limit), "kept-factors")
+    kept = kept_factors(score_null_ratios(stats.join(chosen, "exchg"), factors), ("country",),
+                        null_limit)
     rows = masked_design(scored, factors, TARGET, "country", kept)
     return Design(rows, factors, scored, kept)
 

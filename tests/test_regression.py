@@ -149,3 +149,23 @@ def test_scores_of_single_and_constant_groups_are_missing(spark):
     assert [r.v for r in rows] == [None] * 4
     assert rows[0].w is None and rows[3].w is None
     assert rows[1].w == pytest.approx(-math.sqrt(.5))
+
+
+def test_null_ratios_follow_from_the_group_summaries(spark):
+    rng = np.random.default_rng(4)
+    v, w = rng.normal(size=300), rng.normal(size=300)
+    v[rng.random(300) < .3] = np.nan
+    exchg = rng.choice(["a", "b", "c"], 300)
+    w[exchg == "b"] = 4.0
+    rows = [(e, int(i), int(2000 + i % 3), None if np.isnan(x) else float(x), float(z))
+            for i, (e, x, z) in enumerate(zip(exchg, v, w))]
+    rows.append(("d", 999, 2000, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "exchg string, isin int, year int, v double, w double")
+    home = spark.createDataFrame([("a", "X"), ("b", "X"), ("c", "Y"), ("d", "Z")],
+                                 "exchg string, country string")
+    panel = df.join(home, "exchg")
+    stats = crosssec.cross_section_stats(panel, ["v", "w"])
+    short = crosssec.score_null_ratios(stats.join(home, "exchg"), ["v", "w"])
+    full = crosssec.null_ratios(crosssec.normalize_cross_section(panel, ["v", "w"]), ["v", "w"],
+                                ("country",))
+    assert {tuple(r) for r in short.collect()} == {tuple(r) for r in full.collect()}
