@@ -53,14 +53,14 @@ PRICE = LISTING + """, price AS (
     l_extendedprice * (l_quantity * 1000::double) AS market_capitalization,
     l_tax AS dividend_per_share, l_returnflag, l_linestatus, l_partkey,
     l_orderkey AS k_order, l_linenumber AS k_line, l_partkey AS k_part,
-    year(l_shipdate) AS year, month(l_shipdate) AS month,
-    year(l_shipdate) * 12 + month(l_shipdate) - 1 AS month_no,
+    CAST(year(l_shipdate) AS INTEGER) AS year, month(l_shipdate) AS month,
+    CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS INTEGER) AS month_no,
     row_number() OVER (PARTITION BY l_suppkey ORDER BY CAST(l_shipdate AS DATE), l_orderkey,
                        l_linenumber, l_partkey, l_extendedprice) AS pos
   FROM lineitem JOIN listing ON l_suppkey = s_suppkey)"""
 
 STATEMENT_ROWS = """raw_statement AS (
-  SELECT l_suppkey, year(l_shipdate) AS fyear, quarter(l_shipdate) AS quarter,
+  SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS fyear, quarter(l_shipdate) AS quarter,
     CASE WHEN l_linestatus = 'O' THEN 'I' ELSE 'D' END AS popsrc,
     CASE WHEN l_returnflag = 'R' THEN 'SUMM_STD' ELSE 'HIST_STD' END AS datafmt,
     max(CAST(l_shipdate AS DATE)) AS datadate, sum(l_extendedprice) AS assets,
@@ -130,7 +130,7 @@ def _horizon() -> str:
 
 
 HORIZON = _horizon()
-MOMENTUM = f"""momentum AS (SELECT exchg, isin, year(anchor_date) AS year,
+MOMENTUM = f"""momentum AS (SELECT exchg, isin, CAST(year(anchor_date) AS INTEGER) AS year,
   anchor_date AS datadate,
   {listed(f"(anchor_price - bf_{k}m_price) / nullif(bf_{k}m_price, 0) AS momentum_{k}m"
           for k in BACK)},
