@@ -434,6 +434,19 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
   region, income_group FROM rejoined""",
     "chart_feed_map": f"""WITH {INDEX}, {WDI} SELECT country_code AS code,
   {r('hdi', 9, 'value')}, country AS name FROM rejoined""",
+    "chart_feed_scatter": f"""WITH {INDEX}, {WDI} SELECT region AS "group", gni_per_capita AS x,
+  {r('hdi', 9, 'y')} FROM rejoined JOIN (SELECT country, gni_per_capita FROM idx) USING (country)
+WHERE region IS NOT NULL""",
+    "rows_without_group": f"""WITH {INDEX}, {WDI} SELECT country, country_code FROM rejoined
+WHERE income_group IS NULL""",
+    "spearman_index_difference": f"""WITH {INDEX}, {RANKED}, complete AS (
+  SELECT hdi, gni_rank - hdi_rank AS gap FROM idx JOIN hdi_places USING (c_custkey)
+  JOIN gni_places USING (c_custkey)),
+pairs AS (SELECT rank() OVER (ORDER BY hdi) + (count(*) OVER (PARTITION BY hdi) - 1) / 2::double
+    AS rx,
+  rank() OVER (ORDER BY gap) + (count(*) OVER (PARTITION BY gap) - 1) / 2::double AS ry
+  FROM complete)
+SELECT count(*) AS n, {r('corr(rx, ry)', 9, 'spearman')} FROM pairs""",
     "significant_factors": f"""{FIT}, {significant(0.10)}
 SELECT country, factor, {r('beta', 5)}, {r('pvalue')}, label FROM significant""",
     "sig_count_by_label": f"""{FIT}, {significant(0.10)}

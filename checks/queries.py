@@ -396,6 +396,20 @@ def chart_feed_map(spark, sf):
                    ["value"], 9)
 
 
+def chart_feed_scatter(spark, sf):
+    return rounded(development.scatter_feed(_hdi(spark, sf), "gni_per_capita", "hdi", "region"),
+                   ["y"], 9)
+
+
+def rows_without_group(spark, sf):
+    return _hdi(spark, sf).filter(F.col("income_group").isNull()).select("country", "country_code")
+
+
+def spearman_index_difference(spark, sf):
+    table = development.rank_difference(st.development_index(spark, sf))
+    return rounded(ranks.spearman(table, "hdi", "gni_rank_minus_hdi_rank"), ["spearman"], 9)
+
+
 # --- reports -----------------------------------------------------------------
 
 def _results(spark, sf, country=None):
@@ -450,5 +464,6 @@ QUERIES = {f.__name__: f for f in (
     crosstab_groups, crosstab_groups_wide, ranked_averages, filter_group_members,
     left_join_lookup, unmatched_keys, repair_keys, rejoin_after_repair, distinct_groups,
     rank_difference, group_mean_abs, label_countries, development_groups, hdi_groups,
-    chart_feed_map, significant_factors, sig_count_by_label, sig_avg_by_label,
+    chart_feed_map, chart_feed_scatter, rows_without_group, spearman_index_difference,
+    significant_factors, sig_count_by_label, sig_avg_by_label,
     fill_missing_groups, beta_matrix, analyze_one_country, analyze_all_countries)}

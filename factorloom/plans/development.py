@@ -65,3 +65,9 @@ def map_feed(groups: DataFrame, code: str, value: str, name: str) -> DataFrame:
     """(code, value, name) rows for a map."""
     return groups.select(F.col(code).alias("code"), F.col(value).alias("value"),
                          F.col(name).alias("name"))
+
+
+def scatter_feed(groups: DataFrame, x: str, y: str, group: str) -> DataFrame:
+    """(group, x, y) rows for a scatter chart with one colour per group."""
+    return groups.select(F.col(group).alias("group"), F.col(x).alias("x"), F.col(y).alias("y")) \
+        .filter(F.col("group").isNotNull())
