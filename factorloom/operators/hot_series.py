@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.scalars import month_number
 from factorloom.schema import SERIES_KEYS
 
-SPLIT_ROWS = 50_000_000
+SPLIT_ROWS = 20_000_000
 CHUNK_ROWS = 5_000_000
 
 
