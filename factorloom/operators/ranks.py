@@ -32,11 +32,15 @@ def _value_ranges(counts: DataFrame, column: str, ranges: int) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=column, outputCol="_range").transform(counts)
 
 
-def value_ranks(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
-    """(value, n, before): each distinct non-null value, its count, and how many are smaller."""
-    counts = materialize(
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n): the distinct non-null values and their counts, written once."""
+    return materialize(
         df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
         .groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+
+
+def value_ranks(counts: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Add ``before`` to value counts: how many rows hold a smaller value."""
     if ranges is None:
         ranges = max(1, min(MAX_RANGES, counts.count() // ROWS_PER_RANGE))
     placed = _value_ranges(counts, "value", ranges)
@@ -60,9 +64,10 @@ def average_rank():
 def add_rank(df: DataFrame, column: str, name: str, method: str = "average",
              descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Add the rank of ``column`` (NULL stays NULL): 'average' or 'min' for ties."""
-    ranked = materialize(value_ranks(df, column, ranges), "ranks")
+    counts = value_counts(df, column)
+    ranked = value_ranks(counts, ranges)
     if descending:
-        total = F.lit(ranked.agg(F.sum("n")).first()[0] or 0)
+        total = F.lit(counts.agg(F.sum("n")).first()[0] or 0)
         ranked = ranked.withColumn("before", total - F.col("before") - F.col("n"))
     place = average_rank() if method == "average" else F.col("before") + 1
     lookup = ranked.select(F.col("value").alias("_value"), place.alias(name))
@@ -82,8 +87,8 @@ def spearman(df: DataFrame, x: str, y: str, ranges: int | None = None) -> DataFr
 def quantile_cuts(df: DataFrame, column: str, probabilities=(0.25, 0.5, 0.75),
                   ranges: int | None = None) -> list[float]:
     """Exact quantiles, linearly interpolated between neighbouring values."""
-    ranked = materialize(value_ranks(df, column, ranges), "ranks")
-    total = ranked.agg(F.sum("n")).first()[0]
+    counts = value_counts(df, column)
+    total = counts.agg(F.sum("n")).first()[0]
     if not total:
         return [None for _ in probabilities]
     until = F.col("before") + F.col("n")
@@ -93,6 +98,6 @@ def quantile_cuts(df: DataFrame, column: str, probabilities=(0.25, 0.5, 0.75),
         for place in (math.floor(at), math.ceil(at)):
             wanted.append(F.min(F.when(until > place, F.col("value"))))
         weights.append(at - math.floor(at))
-    found = ranked.agg(*[w.alias(f"q{i}") for i, w in enumerate(wanted)]).first()
+    found = value_ranks(counts, ranges).agg(*[w.alias(f"q{i}") for i, w in enumerate(wanted)]).first()
     return [found[2 * i] + w * (found[2 * i + 1] - found[2 * i])
             for i, w in enumerate(weights)]
