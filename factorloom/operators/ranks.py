@@ -21,15 +21,12 @@ MAX_RANGES = 10_000
 ROWS_PER_RANGE = 1_000_000
 
 
-def _value_ranges(counts: DataFrame, column: str, ranges: int) -> DataFrame:
-    """Assign the distinct values to ranges of about equally many values."""
+def _range_cuts(counts: DataFrame, ranges: int) -> list[float]:
+    """Cut points that leave about equally many distinct values in each range."""
+    if ranges < 2:
+        return []
     points = [i / ranges for i in range(1, ranges)]
-    cuts = (counts.approxQuantile(column, points, 0.25 / ranges)
-            if ranges > 1 else [])
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    if len(splits) < 3:
-        return counts.withColumn("_range", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=column, outputCol="_range").transform(counts)
+    return sorted(set(counts.approxQuantile("value", points, 0.25 / ranges)))
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -43,7 +40,13 @@ def value_ranks(counts: DataFrame, ranges: int | None = None) -> DataFrame:
     """Add ``before`` to value counts: how many rows hold a smaller value."""
     if ranges is None:
         ranges = max(1, min(MAX_RANGES, counts.count() // ROWS_PER_RANGE))
-    placed = _value_ranges(counts, "value", ranges)
+    cuts = _range_cuts(counts, ranges)
+    if not cuts:
+        # Few values: fewer than twice ROWS_PER_RANGE unless the caller says so.
+        earlier = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="value",
+                        outputCol="_range").transform(counts)
     # At most `ranges` rows, hence the broadcast and the single ordered window.
     offsets = (placed.groupBy("_range").agg(F.sum("n").alias("_held"))
                .withColumn("_offset", F.sum("_held").over(

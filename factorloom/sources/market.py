@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.scalars import (capitalization, split_adjusted_price,
                                           split_adjusted_volume)
 from factorloom.operators.hot_series import order_key
-from factorloom.schema import EXCHANGE, EXCHANGES
+from factorloom.schema import EXCHANGE, EXCHANGES, nan_to_null
 
 # Price status code of a traded day, and the statement filters.
 TRADED_STATUS = "10"
@@ -37,7 +37,7 @@ def scan_prices(raw: DataFrame, start: str | None = None, end: str | None = None
 
     ``keep`` names further source columns to carry (tie-breakers of the order).
     """
-    rows = raw.filter(F.col("isin").isNotNull())
+    rows = nan_to_null(raw).filter(F.col("isin").isNotNull())
     if start is not None:
         rows = rows.filter(F.col("datadate") > F.lit(start).cast("date"))
     if end is not None:
@@ -66,7 +66,7 @@ def scan_statements(raw: DataFrame, start: str | None = None, end: str | None =
     statement.  ``min_by`` combines rows before the shuffle, where a row number
     would first move and sort all of them.
     """
-    rows = raw.filter(F.col("isin").isNotNull())
+    rows = nan_to_null(raw).filter(F.col("isin").isNotNull())
     if start is not None:
         rows = rows.filter(F.col("datadate") > F.lit(start).cast("date"))
     if end is not None:

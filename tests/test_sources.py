@@ -40,6 +40,11 @@ def test_price_columns_and_missing_keys(spark):
     assert row.adj_close_price is None and row.trs_flag == 0
 
 
+def test_nan_in_a_source_is_missing(spark):
+    row = market.scan_prices(raw_prices(spark, ["2000-01-01"], prccd=math.nan)).first()
+    assert (row.close_price, row.adj_close_price, row.market_capitalization) == (None, None, None)
+
+
 def test_first_statement_of_a_year_across_exchanges(spark):
     def row(exchg, year, date, at, **other):
         kind = dict(popsrc="I", datafmt="HIST_STD", consol="C") | other
