@@ -3,7 +3,7 @@
 BENCH_SF_DIR  folder of the sample tables (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
 BENCH_QUERIES comma-separated names instead of the headline list
-BENCH_RUNS    runs per query; the fastest counts (default 2)
+BENCH_RUNS    runs per query; the fastest counts (default 3)
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ HEADLINE = ["scan_price_panel", "scan_fundamentals_first", "january_snapshot", "
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = local_session(cores, shuffle_partitions=int(cores), memory="16g")
     spark.read.parquet(f"{folder}/region.parquet").count()

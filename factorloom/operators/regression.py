@@ -109,22 +109,30 @@ def _stack(rows: pd.DataFrame, width: int) -> tuple[int, np.ndarray]:
     return int(rows["n_obs"].sum()), _reduce(factors)
 
 
-def grouped_factors(design: DataFrame, columns, by: str,
-                    fanout: int = COMBINE_FANOUT) -> DataFrame:
-    """One row (by, n_obs, factor) per group; ``columns`` must be free of NULLs."""
-    columns = list(columns)
-    width = len(columns)
-    kind = design.schema[by].dataType.simpleString()
-    schema = f"`{by}` {kind}, n_obs bigint, factor array<double>"
-
+def _combiner(by: str, width: int):
     def combine(rows: pd.DataFrame) -> pd.DataFrame:
         n, factor = _stack(rows, width)
         return pd.DataFrame({by: [rows[by].iloc[0]], "n_obs": [n], "factor": [factor.ravel()]})
+    return combine
+
 
+def _factor_schema(design: DataFrame, by: str) -> str:
+    return f"`{by}` {design.schema[by].dataType.simpleString()}, n_obs bigint, factor array<double>"
+
+
+def partial_factors(design: DataFrame, columns, by: str,
+                    fanout: int = COMBINE_FANOUT) -> DataFrame:
+    """At most ``fanout`` rows (by, n_obs, factor) per group; ``columns`` are free of NULLs."""
+    columns, schema = list(columns), _factor_schema(design, by)
     parts = (design.filter(F.col(by).isNotNull()).select(by, *columns)
              .mapInPandas(_partials(by, columns, fanout), schema + ", slot bigint"))
-    return (parts.groupBy(by, "slot").applyInPandas(combine, schema)
-            .groupBy(by).applyInPandas(combine, schema))
+    return parts.groupBy(by, "slot").applyInPandas(_combiner(by, len(columns)), schema)
+
+
+def grouped_factors(design: DataFrame, columns, by: str) -> DataFrame:
+    """One row (by, n_obs, factor) per group."""
+    return partial_factors(design, columns, by).groupBy(by).applyInPandas(
+        _combiner(by, len(list(columns))), _factor_schema(design, by))
 
 
 def masked_design(scored: DataFrame, factors, target: str, by: str, kept: DataFrame) -> DataFrame:
@@ -203,7 +211,7 @@ def fit_grouped(design: DataFrame, factors, target: str, by: str) -> DataFrame:
         out.insert(0, by, rows[by].iloc[0])
         return out
 
-    return grouped_factors(design, columns, by).groupBy(by).applyInPandas(
+    return partial_factors(design, columns, by).groupBy(by).applyInPandas(
         solve, f"`{by}` {kind}, factor string, beta double, pvalue double, "
                "n_obs bigint, df_resid bigint, rank bigint")
 
