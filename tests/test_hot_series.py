@@ -3,6 +3,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factorloom.operators import hot_series, series
@@ -65,3 +67,20 @@ def test_no_oversized_series_means_one_range(spark):
     assert split.filter("chunk <> 0 OR is_halo").count() == 0
     assert set(split.columns) - set(df.columns) == {"chunk", "is_halo", "carried"}
     assert PRICES.split()[0] in split.columns
+
+
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(30, 120), days=st.integers(3, 60), chunk=st.integers(1, 40),
+       seed=st.integers(0, 10**6))
+def test_any_cut_gives_the_same_figures(spark, n, days, chunk, seed):
+    rng = np.random.default_rng(seed)
+    pdf = long_series(n, seed, holes=.3, zeros=.05)
+    pdf["datadate"] = np.sort(rng.choice(pd.bdate_range("2000-01-03", periods=days).date, n))
+    pdf["adj_trading_volume"] = rng.permutation(n) * 1.0
+    df = to_spark(spark, pdf)
+    options = {"order": ORDER, "months": (1, 2), "days_per_month": 4}
+    same(series.daily_features(df, **options, split_rows=1, chunk_rows=chunk)
+         .drop("_position", "_opens_month"),
+         series.daily_features(df, **options, split_rows=None)
+         .drop("_position", "_opens_month"), ["isin", *ORDER])

@@ -63,3 +63,24 @@ def test_no_cross_joins(spark, plan_text):
                  "price_semi_country", "label_countries", "rejoin_after_repair"):
         text = plan_text(queries.QUERIES[name](spark, TINY))
         assert "CartesianProduct" not in text and "NestedLoop" not in text, name
+
+
+def test_one_row_a_day_is_combined_by_hash(spark, plan_text):
+    """With the date as the only order, the first of a month needs no sort."""
+    text = plan_text(factors.momentum(prices(spark)))
+    assert "HashAggregate" in text and "SortAggregate" not in text
+    assert "SortAggregate" not in plan_text(factors.size(prices(spark)))
+
+
+def test_fit_moves_factors_not_rows(spark, plan_text):
+    """The panel goes from its scan to the first Python step without a shuffle."""
+    from factorloom.operators import regression
+    from factorloom.plans import analysis
+    from factorloom.schema import TARGET
+    design = analysis.regression_design(prices(spark), market.scan_statements(
+        st.raw_statements(spark, TINY)), st.exchanges(spark, TINY), order=st.PRICE_ORDER,
+        days_per_month=7)
+    text = plan_text(regression.partial_factors(design.rows, [*design.factors, TARGET], "country"))
+    panel_branch = text[text.index("MapInPandas"):]
+    probe = panel_branch[:panel_branch.index("FileScan")]
+    assert "Exchange hashpartitioning" not in probe and "SortMergeJoin" not in probe
