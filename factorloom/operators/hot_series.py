@@ -1,13 +1,16 @@
-"""Cut oversized series into date ranges so that no task holds a whole one.
+"""Cut oversized series into ranges so that no task holds a whole one.
 
 A window over (exchange, security) puts all rows of one security into one task.
 That is right for ordinary securities and fatal for one that holds a large share
 of the data.  ``split_hot_series`` finds the securities with more than
-``split_rows`` rows, cuts each into ranges of whole days holding about
-``chunk_rows`` rows, and copies into every range the rows just before it that
-rolling frames need ("halo").  Windows are then partitioned by
-(exchange, security, chunk) and halo rows are dropped from the result, which
-equals the unsplit one.
+``split_rows`` rows, cuts each into ranges of about ``chunk_rows`` rows, and
+copies into every range the rows just before it that rolling frames need
+("halo").  Windows are then partitioned by (exchange, security, chunk) and halo
+rows are dropped from the result, which equals the unsplit one.
+
+A range is made of whole days.  A day of a security that itself exceeds
+``chunk_rows`` is divided further by the value of the second order column, when
+that is a number; rows that the order does not tell apart stay together.
 
 Costs: one count over the key columns.  When no security is oversized (the
 normal case) the count comes back empty and adaptive execution drops the rest,
@@ -15,14 +18,17 @@ so the data itself is shuffled once, as for a plain window.
 
 The broadcast tables are bounded by the row count N of the input, not by the
 number of securities: at most N / split_rows securities are oversized, each
-spans a bounded number of calendar months, and there are at most
-N / chunk_rows + N / split_rows ranges.
+spans a bounded number of calendar months, at most N / chunk_rows days are
+divided, and there are at most N / chunk_rows + N / split_rows ranges.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from factorloom.functions.scalars import month_number
 from factorloom.schema import SERIES_KEYS
@@ -36,41 +42,67 @@ def order_key(order):
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def day_ranges(prices: DataFrame, *, halo_rows: int, carry: str | None,
-               order=("datadate",), keys=SERIES_KEYS,
-               split_rows: int = SPLIT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Ranges (chunk, first_day, last_day, halo_from, carried) of oversized series.
-
-    ``carried`` is the last non-null value of ``carry`` before ``halo_from``.
+def _busy_days(hot: DataFrame, order, keys, chunk_rows: int) -> DataFrame | None:
+    """Days of a series to be divided, with the scale that divides them."""
+    if len(order) < 2 or not isinstance(hot.schema[order[1]].dataType, NumericType):
+        return None
+    second = F.col(order[1]).cast("double")
+    days = (hot.groupBy(*keys, order[0])
+            .agg(F.count(F.lit(1)).alias("_rows"), F.min(second).alias("_low"),
+                 F.max(second).alias("_high"))
+            .filter(F.col("_rows") > chunk_rows))
+    pieces = F.ceil(F.col("_rows") / chunk_rows) * 4
+    return days.select(*[F.col(k).alias(f"_busy_{k}") for k in keys],
+                       F.col(order[0]).alias("_busy_day"), "_low",
+                       ((F.col("_high") - F.col("_low")) / pieces).alias("_width"))
+
+
+def _with_part(rows: DataFrame, busy: DataFrame | None, order, keys) -> DataFrame:
+    """Add ``_part``: place within a divided day, never falling along the order."""
+    if busy is None:
+        return rows.withColumn("_part", F.lit(0).cast("long"))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_busy_{k}") for k in keys],
+                  F.col(order[0]) == F.col("_busy_day"))
+    step = F.try_divide(F.col(order[1]).cast("double") - F.col("_low"), F.col("_width"))
+    # NULLs sort first, hence part -1.
+    place = F.when(F.col(order[1]).isNull(), -1).otherwise(F.coalesce(F.floor(step), F.lit(0)))
+    return (rows.join(F.broadcast(busy), same, "left")
+            .select(*rows.columns, F.when(F.col("_busy_day").isNull(), 0).otherwise(place)
+                    .cast("long").alias("_part")))
+
+
+def _ranges(hot: DataFrame, *, halo_rows: int, carry: str | None, order, keys,
+            chunk_rows: int) -> DataFrame:
+    """Ranges (_chunk, _start, _end, _halo_from, _carried) of oversized series.
+
+    ``hot`` has a ``_part`` column; a place in a series is the struct (day, part).
+    ``_carried`` is the last non-null value of ``carry`` before ``_halo_from``.
     """
     day = order[0]
-    oversized = (prices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-                 .filter(F.col("_rows") > split_rows).select(*keys))
     value = F.col(carry) if carry else F.lit(None).cast("double")
-    days = (prices.join(F.broadcast(oversized), list(keys), "left_semi")
-            .groupBy(*keys, day)
-            .agg(F.count(F.lit(1)).alias("_rows"),
-                 F.max_by(value, F.when(value.isNotNull(), order_key(order))).alias("_last")))
-
-    by_day = Window.partitionBy(*keys).orderBy(day)
-    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumns({
+    units = (hot.groupBy(*keys, F.struct(F.col(day).alias("day"), F.col("_part").alias("part"))
+                         .alias("_unit"))
+             .agg(F.count(F.lit(1)).alias("_rows"),
+                  F.max_by(value, F.when(value.isNotNull(), order_key(order))).alias("_last")))
+    in_order = Window.partitionBy(*keys).orderBy("_unit")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumns({
         "_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
         "_carry": F.last("_last", ignorenulls=True).over(earlier),
-        "_first": F.min(day).over(Window.partitionBy(*keys)),
+        "_first": F.min("_unit").over(Window.partitionBy(*keys)),
     })
-    # The latest day with at least halo_rows rows between its start and this day.
+    # The latest unit with at least halo_rows rows from its start up to this one.
     reach = (Window.partitionBy(*keys).orderBy("_before")
              .rangeBetween(Window.unboundedPreceding, -halo_rows))
-    days = days.withColumns({
-        "_from": F.coalesce(F.max(day).over(reach), F.col("_first")),
-        "_from_carry": F.max_by("_carry", day).over(reach),
+    units = units.withColumns({
+        "_from": F.coalesce(F.max("_unit").over(reach), F.col("_first")),
+        "_from_carry": F.max_by("_carry", "_unit").over(reach),
         "_chunk": F.floor(F.col("_before") / chunk_rows),
     })
-    return (days.groupBy(*keys, "_chunk")
-            .agg(F.min(day).alias("_first_day"), F.max(day).alias("_last_day"),
-                 F.min_by("_from", day).alias("_halo_from"),
-                 F.min_by("_from_carry", day).alias("_carried")))
+    return (units.groupBy(*keys, "_chunk")
+            .agg(F.min("_unit").alias("_start"), F.max("_unit").alias("_end"),
+                 F.min_by("_from", "_unit").alias("_halo_from"),
+                 F.min_by("_from_carry", "_unit").alias("_carried")))
 
 
 def split_hot_series(prices: DataFrame, *, halo_rows: int, carry: str | None = None,
@@ -86,20 +118,23 @@ def split_hot_series(prices: DataFrame, *, halo_rows: int, carry: str | None = N
         return prices.withColumns({"chunk": F.lit(0).cast("long"),
                                    "is_halo": F.lit(False),
                                    "carried": F.lit(None).cast("double")})
-    day = order[0]
-    ranges = day_ranges(prices, halo_rows=halo_rows, carry=carry, order=order,
-                        keys=keys, split_rows=split_rows, chunk_rows=chunk_rows)
-    lookup = ranges.withColumn("_month", F.explode(F.sequence(
-        month_number("_halo_from"), month_number("_last_day"))))
-    lookup = lookup.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_month",
-                           "_chunk", "_first_day", "_last_day", "_halo_from", "_carried")
-    matched = F.lit(True)
-    for k in keys:
-        matched = matched & (F.col(k) == F.col(f"_key_{k}"))
-    matched = (matched & (month_number(day) == F.col("_month"))
-               & F.col(day).between(F.col("_halo_from"), F.col("_last_day")))
-    return (prices.join(F.broadcast(lookup), matched, "left")
+    day, keys = order[0], list(keys)
+    oversized = (prices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                 .filter(F.col("_rows") > split_rows).select(*keys))
+    hot = prices.join(F.broadcast(oversized), keys, "left_semi")
+    busy = _busy_days(hot, order, keys, chunk_rows)
+    ranges = _ranges(_with_part(hot, busy, order, keys), halo_rows=halo_rows, carry=carry,
+                     order=order, keys=keys, chunk_rows=chunk_rows)
+    lookup = ranges.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], "_chunk", "_start", "_end", "_halo_from",
+        "_carried", F.explode(F.sequence(month_number("_halo_from.day"),
+                                         month_number("_end.day"))).alias("_month"))
+    unit = F.struct(F.col(day).alias("day"), F.col("_part").alias("part"))
+    matched = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_key_{k}") for k in keys],
+                     (month_number(day) == F.col("_month"))
+                     & (unit >= F.col("_halo_from")) & (unit <= F.col("_end")))
+    return (_with_part(prices, busy, order, keys).join(F.broadcast(lookup), matched, "left")
             .select(*prices.columns,
                     F.coalesce("_chunk", F.lit(0)).cast("long").alias("chunk"),
-                    F.coalesce(F.col(day) < F.col("_first_day"), F.lit(False)).alias("is_halo"),
+                    F.coalesce(unit < F.col("_start"), F.lit(False)).alias("is_halo"),
                     F.col("_carried").alias("carried")))
