@@ -12,9 +12,10 @@ A range is made of whole days.  A day of a security that itself exceeds
 ``chunk_rows`` is divided further by the value of the second order column, when
 that is a number; rows that the order does not tell apart stay together.
 
-Costs: one count over the key columns.  When no security is oversized (the
-normal case) the count comes back empty and adaptive execution drops the rest,
-so the data itself is shuffled once, as for a plain window.
+Costs: one count over the key columns, run when the plan is built; only the
+number of oversized securities comes back.  When there is none (the normal case)
+the plan is that of a plain window: the data is shuffled once, by security, and
+later steps per security reuse that partitioning.
 
 The broadcast tables are bounded by the row count N of the input, not by the
 number of securities: at most N / split_rows securities are oversized, each
@@ -32,6 +33,7 @@ from pyspark.sql.types import NumericType
 
 from factorloom.functions.scalars import month_number
 from factorloom.schema import SERIES_KEYS
+from factorloom.session import materialize
 
 SPLIT_ROWS = 20_000_000
 CHUNK_ROWS = 5_000_000
@@ -114,13 +116,16 @@ def split_hot_series(prices: DataFrame, *, halo_rows: int, carry: str | None = N
     ``split_rows=None`` skips the search, for callers that know their series to
     be short (one row per security and day).
     """
-    if split_rows is None:
+    day, keys = order[0], list(keys)
+    oversized = None
+    if split_rows is not None:
+        oversized = (prices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                     .filter(F.col("_rows") > split_rows).select(*keys))
+    if oversized is None or oversized.count() == 0:
         return prices.withColumns({"chunk": F.lit(0).cast("long"),
                                    "is_halo": F.lit(False),
                                    "carried": F.lit(None).cast("double")})
-    day, keys = order[0], list(keys)
-    oversized = (prices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-                 .filter(F.col("_rows") > split_rows).select(*keys))
+    oversized = materialize(oversized, "oversized-series")
     hot = prices.join(F.broadcast(oversized), keys, "left_semi")
     busy = _busy_days(hot, order, keys, chunk_rows)
     ranges = _ranges(_with_part(hot, busy, order, keys), halo_rows=halo_rows, carry=carry,
