@@ -18,6 +18,7 @@ from factorloom.plans import analysis, development, factors, report
 from factorloom.schema import (HDI_CUTS, HDI_LEVELS, PPP_CUTS, PPP_GROUPS, QUALITY, TARGET, VALUE,
                                _struct, factor_columns, growth_columns, liquidity_columns,
                                momentum_columns, volatility_columns)
+from factorloom.session import materialize
 from factorloom.sources import files, market
 from factorloom.sources import sample_tables as st
 
@@ -208,8 +209,9 @@ def factor_panel_one_pass(spark, sf):
 # --- cross-section and models ------------------------------------------------
 
 def _panel(spark, sf, days=SPARSE):
-    return factors.factor_panel(prices(spark, sf), statements(spark, sf), order=ORDER,
-                                days_per_month=days)
+    # Read twice (group summaries, scores), hence written once.
+    return materialize(factors.factor_panel(prices(spark, sf), statements(spark, sf), order=ORDER,
+                                            days_per_month=days), "panel")
 
 
 def normalize_cross_section(spark, sf):
