@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.scalars import month_number, ratio
 from factorloom.operators.hot_series import SPLIT_ROWS, CHUNK_ROWS, order_key, split_hot_series
-from factorloom.schema import (DAYS_PER_MONTH, MOMENTUM_MONTHS, PANEL_KEYS,
-                               ROLLING_MONTHS, SERIES_KEYS)
+from factorloom.schema import DAYS_PER_MONTH, MOMENTUM_MONTHS, ROLLING_MONTHS, SERIES_KEYS
 
 
 # --- snapshots and anchors ---------------------------------------------------
@@ -289,6 +288,6 @@ def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS
     return rolled.filter(~F.col("is_halo")).drop("chunk", "is_halo", "carried")
 
 
-__all__ = ["PANEL_KEYS", "first_non_null", "january_snapshot", "month_anchor", "horizon_lookup",
+__all__ = ["first_non_null", "january_snapshot", "month_anchor", "horizon_lookup",
            "daily_returns", "change_over_rows", "frame_plan", "add_rolling",
            "rolling_volatility", "rolling_liquidity", "daily_features"]
