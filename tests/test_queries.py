@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from checks import oracles, queries
 from checks.compare import connect, differences
 from tests.conftest import SMALL, TINY
 
@@ -17,7 +18,7 @@ def databases():
     return {folder: connect(folder) for folder in (TINY, SMALL)}
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_matches_sql(spark, databases, name):
     folder = SMALL if name in REGRESSION else TINY
     rows, bad, example = differences(driver.queries()[name](spark, folder), databases[folder],
@@ -28,7 +29,7 @@ def test_matches_sql(spark, databases, name):
 
 def test_every_sql_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"sample_n"}
+    assert set(queries.QUERIES) - set(oracles.ORACLES) == {"sample_n"}
 
 
 def test_sample_has_the_asked_number_of_distinct_customers(spark):
