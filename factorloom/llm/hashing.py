@@ -50,9 +50,9 @@ def token_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Hashes of all words, the first word of each text (one entry more than texts), the
-    byte where each word starts, and ``text_bytes`` of the lower-cased texts."""
+def tokens(texts: pa.Array, classes: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Hashes of all runs of bytes of one class (class 0 separates), the first run of each
+    text (one entry more than texts), the byte where each run starts, and ``text_bytes``."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.utf8_lower(texts) if lower else texts
@@ -61,19 +61,18 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     low = 0
     while low < len(data):
         high = min(low + WINDOW, len(data))
-        while high < len(data) and _WORD[data[high]]:  # up to the end of a word
-            part = np.flatnonzero(~_WORD[data[high:high + WINDOW]])
+        while high < len(data) and classes[data[high]] == classes[data[high - 1]]:  # up to the end of a run
+            part = np.flatnonzero(classes[data[high:high + WINDOW]] != classes[data[high - 1]])
             high = high + int(part[0]) if len(part) else min(high + WINDOW, len(data))
-        part = _WORD[data[low:high]]
+        part = classes[data[low:high]]
         edge = np.zeros(high - low + 1, bool)
-        edge[0] = True
         inner = offsets[np.searchsorted(offsets, low):np.searchsorted(offsets, high)]
         edge[inner - low] = True
-        previous = np.concatenate(([False], part[:-1]))
-        start = np.flatnonzero(part & (~previous | edge[:-1]))
-        following = np.concatenate((part[1:], [False]))
-        edge[-1] = True
-        end = np.flatnonzero(part & (~following | edge[1:])) + 1
+        edge[0] = edge[-1] = True
+        change = edge.copy()
+        change[1:-1] |= part[1:] != part[:-1]
+        start = np.flatnonzero((part > 0) & change[:-1])
+        end = np.flatnonzero((part > 0) & change[1:]) + 1
         hashes.append(token_hashes(data, start + low, end - start))
         begins.append(start + low)
         low = high
@@ -82,6 +81,11 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return found, np.searchsorted(starts, offsets), starts, (data, offsets)
 
 
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """``tokens`` of the words of the lower-cased texts."""
+    return tokens(texts, _WORD.view(np.uint8), lower=True)
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray,
              size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words, and the first of each text.

@@ -30,6 +30,7 @@ BLOCK = (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|foote
          r"html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul|!doctype)\b[^>]*>")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+BLANKS = r"\s*[\t\n\r\f]\s*|  +"  # leaves single spaces alone, most of all there are
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -47,7 +48,7 @@ def html_lines(html: Column) -> Column:
     """The visible text of a page, a line for each block: scripts, styles, titles and
     comments go, block tags break lines, other tags vanish, common entities are decoded."""
     out = F.regexp_replace(html, HIDDEN, " ")
-    out = F.regexp_replace(out, r"\s+", " ")
+    out = F.regexp_replace(out, BLANKS, " ")
     out = F.regexp_replace(out, BLOCK, "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
     for entity, plain in ENTITIES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, line_dedup, pii, toxicity
+from factorloom.llm import chat, embedding_dedup, fingerprints, line_dedup, near_dedup, pii, quality, toxicity
 from factorloom.llm.frames import read
 
 
@@ -21,6 +21,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "offending")
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality.resample(documents.select("doc_id", "text"), labels, learn=~held_out())
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(read(spark, sf_dir, "documents"))
+
+
+def op5_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(read(spark, sf_dir, "documents"))
 
@@ -46,7 +64,7 @@ def _sql(text: str) -> str:
 
 def _html_sql(column: str) -> str:
     out = f"regexp_replace({column}, {_sql(line_dedup.HIDDEN)}, ' ', 'g')"
-    out = f"regexp_replace({out}, '\\s+', ' ', 'g')"
+    out = f"regexp_replace({out}, {_sql(line_dedup.BLANKS)}, ' ', 'g')"
     out = f"regexp_replace({out}, {_sql(line_dedup.BLOCK)}, chr(10), 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
     for entity, plain in line_dedup.ENTITIES:
@@ -125,5 +143,7 @@ SELECT c.pair_id, c.n::INTEGER AS common_turns,
 FROM common c LEFT JOIN ends e ON c.pair_id = e.pair_id GROUP BY c.pair_id, c.n
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_pii_surrogates, op9_preference_format, op10_site_lines)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op3_importance_resampling, op4_fingerprints, op5_weighted_near_dedup,
+    op6_embedding_near_dedup, op7_pii_surrogates, op9_preference_format, op10_site_lines)}
 ORACLES = {"op9_preference_format": _OP9, "op10_site_lines": _OP10}
