@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import chat, embedding_dedup, fingerprints, line_dedup, near_dedup, pii, quality, toxicity
+from factorloom.llm import bpe, chat, embedding_dedup, fingerprints, line_dedup, near_dedup, packing, pii, quality, toxicity
 from factorloom.llm.frames import read
 
 
@@ -21,6 +22,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "offending")
 
 
+def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return quality.resample(documents.select("doc_id", "text"), labels, learn=~held_out())
@@ -43,6 +50,15 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(read(spark, sf_dir, "documents"))
 
 
+def op8_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat.swapped_answers(read(spark, sf_dir, "conversations"))
     found = chat.format_preferences(pairs)
@@ -144,6 +160,7 @@ FROM common c LEFT JOIN ends e ON c.pair_id = e.pair_id GROUP BY c.pair_id, c.n
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op3_importance_resampling, op4_fingerprints, op5_weighted_near_dedup,
-    op6_embedding_near_dedup, op7_pii_surrogates, op9_preference_format, op10_site_lines)}
+    op1_toxicity, op2_cost_packing, op3_importance_resampling, op4_fingerprints, op5_weighted_near_dedup,
+    op6_embedding_near_dedup, op7_pii_surrogates, op8_recursive_bpe, op9_preference_format,
+    op10_site_lines)}
 ORACLES = {"op9_preference_format": _OP9, "op10_site_lines": _OP10}
