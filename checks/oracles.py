@@ -12,7 +12,7 @@ VALUE = {"pbr": "assets", "psr": "revenue", "por": "operating_income",
          "per": "earnings_before_interest", "pcr": "cash_flow"}
 ROLLING = [1, 3, 6, 12, 24, 36]
 BACK = [1, 6, 12, 24, 36]
-YEARS = list(range(1995, 2001))
+YEARS = list(range(1995, 2002))
 VOL = [f"daily_vol_{m}m" for m in ROLLING]
 LIQ = [f"avg_transaction_amount_{m}m" for m in ROLLING]
 MOM = [f"momentum_{m}m" for m in BACK]
@@ -59,6 +59,11 @@ PRICE = LISTING + """, price AS (
                        l_linenumber, l_partkey, l_extendedprice) AS pos
   FROM lineitem JOIN listing ON l_suppkey = s_suppkey)"""
 
+# Four suppliers of an exchange as one security: series longer than the longest frame.
+LONG = (PRICE.replace("CAST(l_suppkey AS VARCHAR) AS isin", "CAST(l_suppkey // 4 AS VARCHAR) AS isin")
+        .replace("conm, exchg,\n", "conm, CAST(l_suppkey // 4 % 5 AS VARCHAR) AS exchg,\n")
+        .replace("PARTITION BY l_suppkey", "PARTITION BY l_suppkey // 4"))
+
 STATEMENT_ROWS = """raw_statement AS (
   SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS fyear, quarter(l_shipdate) AS quarter,
     CASE WHEN l_linestatus = 'O' THEN 'I' ELSE 'D' END AS popsrc,
@@ -180,18 +185,24 @@ SCORED = f"""scored AS MATERIALIZED (SELECT exchg, isin, year, {listed(
     for c in [*FACTORS, TARGET])}
   FROM panel WINDOW g AS (PARTITION BY exchg, year))"""
 
-# Complete rows, one list per row; all 34 factors are kept at seven days a month.
-DESIGN = f"""complete AS (SELECT country, {listed(FACTORS)}, {TARGET}
+# Complete rows of the kept factors, one list per row.
+def design(factors) -> str:
+    return f"""complete AS (SELECT country, {listed(factors)}, {TARGET}
   FROM scored JOIN exchange USING (exchg)
-  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*FACTORS, TARGET])}),
+  WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*factors, TARGET])}),
 columns_of AS (SELECT country, count(*) AS n,
-  [{listed(f"list({c} ORDER BY {', '.join([TARGET, *FACTORS[:6]])})" for c in [*FACTORS, TARGET])}]
+  [{listed(f"list({c} ORDER BY {', '.join([TARGET, *factors[:6]])})" for c in [*factors, TARGET])}]
     AS m FROM complete GROUP BY country)"""
 
-K = len(FACTORS)
+
+DESIGN, K = design(FACTORS), len(FACTORS)
+
+
 # Modified Gram-Schmidt: column k+1 is normalized and projected out of those after it.
 # Its row of the triangular factor is appended to `tri`.
-ORTHO = f"""ortho AS (
+def ortho(factors) -> str:
+    K = len(factors)
+    return f"""ortho AS (
   SELECT country, n, 0 AS k, m, CAST([] AS DOUBLE[][]) AS tri FROM columns_of
   UNION ALL
   SELECT country, n, k + 1,
@@ -212,7 +223,7 @@ solved AS (
     ELSE list_transform(row, lambda x, j: x - row[{K} - k] * a[{K} - k][j] / a[{K} - k][{K} - k])
     END)
   FROM solved WHERE k < {K}),
-names AS (SELECT unnest([{listed(f"'{c}'" for c in FACTORS)}]) AS factor,
+names AS (SELECT unnest([{listed(f"'{c}'" for c in factors)}]) AS factor,
   unnest(range(1, {K + 1})) AS i),
 estimate AS (SELECT country, factor, n, a[i][{K + 1}] AS beta,
   a[i][{K + 1}] / sqrt(rss / (n - {K}) * list_inner_product(a[i][{K + 2}:], a[i][{K + 2}:])) AS t
@@ -226,7 +237,13 @@ fit AS MATERIALIZED (SELECT country, factor, beta,
   n AS n_obs, CAST(n - {K} AS BIGINT) AS df_resid, CAST({K} AS BIGINT) AS rank
   FROM (SELECT *, CAST(n - {K} AS DOUBLE) AS nu FROM estimate))"""
 
-FIT = "WITH RECURSIVE " + ",\n".join([panel(7), EXCHANGE, SCORED, DESIGN, ORTHO])
+def fitted(days: int, factors) -> str:
+    return "WITH RECURSIVE " + ",\n".join([panel(days), EXCHANGE, SCORED, design(factors), ortho(factors)])
+
+
+FIT = fitted(7, FACTORS)
+# At ten days a month the longest volatility is missing in most rows, and goes.
+SHORTER = [c for c in FACTORS if c != "daily_vol_36m"]
 FIT_COLUMNS = f"country, factor, {r('beta', 5)}, {r('pvalue')}, n_obs, df_resid, rank"
 
 
@@ -315,9 +332,29 @@ WHERE datadate > DATE '1995-01-02' AND datadate < DATE '2001-11-04'""",
     "scan_fundamentals_first": f"""WITH {LISTING}, {statement(
         "datadate > DATE '1995-01-01' AND datadate <= DATE '2001-12-31'")}
 SELECT isin, exchg, fyear, datadate, {listed(r(c) for c in QUALITY)} FROM statement""",
+    "statements_by_country": f"""WITH {LISTING}, {STATEMENT_ROWS}, {EXCHANGE}, listed_twice AS (
+  SELECT s_suppkey, exchg, 0 AS later FROM listing UNION ALL
+  SELECT s_suppkey, CAST((CAST(exchg AS INTEGER) + 1) % 5 AS VARCHAR), 40 FROM listing
+  WHERE s_suppkey % 3 = 0),
+dated AS (SELECT r.* EXCLUDE (datadate), t.exchg, country, datadate + later AS datadate
+  FROM raw_statement r JOIN listed_twice t ON l_suppkey = t.s_suppkey JOIN exchange USING (exchg)
+  WHERE popsrc = 'I' AND datafmt = 'HIST_STD')
+SELECT CAST(l_suppkey AS VARCHAR) AS isin, exchg, fyear, datadate, {listed(r(c) for c in QUALITY)}
+FROM (SELECT *, row_number() OVER (PARTITION BY country, l_suppkey, fyear ORDER BY datadate) AS rn
+      FROM dated) WHERE rn = 1""",
+    "read_export_file": "SELECT c_custkey AS rank, c_name AS country, c_acctbal AS value "
+                        "FROM customer",
+    "read_csv_file": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer",
+    "write_panel_readback": """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey,
+  o_totalprice FROM orders""",
+    "sample_n": """SELECT c_custkey, c_name FROM customer
+ORDER BY md5('7|' || CAST(c_custkey AS VARCHAR)) LIMIT 10""",
+    "factor_panel_split": f"WITH {panel(7)} SELECT {panel_columns()} FROM panel",
+    "ols_grouped_dropped": f"{fitted(10, SHORTER)} SELECT {FIT_COLUMNS} FROM fit",
     "scan_skip_preamble": "SELECT c_custkey AS rank, c_name AS country, c_acctbal AS value "
                           "FROM customer",
-    "exchange_map": f"WITH {EXCHANGE} SELECT * FROM exchange",
+    "exchange_map": f"""WITH {EXCHANGE} SELECT n_name, exchg, exchange_name, country, label
+FROM nation JOIN exchange ON CAST(n_regionkey AS VARCHAR) = exchg""",
     "preview_first_n": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5",
     "price_semi_country": f"""WITH {PRICE}, {EXCHANGE}
 SELECT exchg, isin, datadate, {TIES}, close_price FROM price
@@ -337,9 +374,9 @@ WHERE exchg IN (SELECT exchg FROM exchange WHERE country = 'Developing')""",
   {listed(f"bf_{k}m" for k in BACK)}, aft_12m FROM horizon""",
     "daily_returns": f"""WITH {PRICE}, {RETURNS} SELECT exchg, isin, datadate, {TIES},
   {r('daily_return', 9)} FROM returns""",
-    "rolling_volatility": f"""WITH {PRICE}, {RETURNS}, {vol_rolled()}
+    "rolling_volatility": f"""WITH {LONG}, {RETURNS}, {vol_rolled()}
 SELECT exchg, isin, datadate, {TIES}, {listed(r(c) for c in VOL)} FROM vol_rolled""",
-    "rolling_liquidity": f"""WITH {PRICE}, {liq_rolled()}
+    "rolling_liquidity": f"""WITH {LONG}, {liq_rolled()}
 SELECT exchg, isin, datadate, {TIES}, {listed(amount(c) for c in LIQ)} FROM liq_rolled""",
     "factor_size": f"WITH {PRICE}, {SIZE} SELECT * FROM size",
     "factor_yield": f"WITH {PRICE}, {YIELD} SELECT * FROM dividend",
@@ -349,10 +386,10 @@ SELECT exchg, isin, year, datadate, {listed(r(c) for c in QUALITY)} FROM quality
 SELECT exchg, isin, year, datadate, {listed(r(c, 4) for c in VALUE)} FROM value""",
     "factor_momentum": f"""WITH {PRICE}, {ANCHOR}, {HORIZON}, {MOMENTUM}
 SELECT exchg, isin, year, datadate, {listed(r(c, 9) for c in [*MOM, TARGET])} FROM momentum""",
-    "factor_volatility": f"""WITH {PRICE}, {RETURNS}, {vol_rolled()},
+    "factor_volatility": f"""WITH {LONG}, {RETURNS}, {vol_rolled()},
 volatility AS ({snapshot("vol_rolled", VOL)})
 SELECT exchg, isin, year, datadate, {listed(r(c) for c in VOL)} FROM volatility""",
-    "factor_liquidity": f"""WITH {PRICE}, {liq_rolled()},
+    "factor_liquidity": f"""WITH {LONG}, {liq_rolled()},
 liquidity AS ({snapshot("liq_rolled", LIQ)})
 SELECT exchg, isin, year, datadate, {listed(amount(c) for c in LIQ)} FROM liquidity""",
     "factor_growth": f"""WITH {LISTING}, {statement()}, {QUALITY_CTE}, {GROWTH}

@@ -8,6 +8,8 @@ orders; plain arithmetic is compared as it is.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from factorloom.functions.scalars import (bucket, capitalization, month_number, month_start,
@@ -18,7 +20,7 @@ from factorloom.plans import analysis, development, factors, report
 from factorloom.schema import (HDI_CUTS, HDI_LEVELS, PPP_CUTS, PPP_GROUPS, QUALITY, TARGET, VALUE,
                                _struct, factor_columns, growth_columns, liquidity_columns,
                                momentum_columns, volatility_columns)
-from factorloom.session import materialize
+from factorloom.session import materialize, shared_folder
 from factorloom.sources import files, market
 from factorloom.sources import sample_tables as st
 
@@ -47,6 +49,10 @@ def prices(spark, sf):
     return market.scan_prices(st.raw_prices(spark, sf), keep=st.TIES)
 
 
+def long_prices(spark, sf):
+    return market.scan_prices(st.long_prices(st.raw_prices(spark, sf)), keep=st.TIES)
+
+
 def statements(spark, sf):
     return market.scan_statements(st.raw_statements(spark, sf))
 
@@ -78,7 +84,46 @@ def scan_skip_preamble(spark, sf):
 
 
 def exchange_map(spark, sf):
-    return st.exchanges(spark, sf)
+    """Nations with their exchange, from literal rows in which a code is repeated."""
+    nations = st.table(spark, sf, "nation").select(
+        "n_name", F.col("n_regionkey").cast("string").alias("exchg"))
+    return nations.join(st.exchanges(spark, sf), "exchg")
+
+
+def statements_by_country(spark, sf):
+    """Securities on exchanges of two countries keep a statement in each."""
+    raw = st.listed_twice(st.raw_statements(spark, sf))
+    return rounded(market.scan_statements(raw, exchanges=st.exchanges(spark, sf)), QUALITY)
+
+
+def _shared_path(spark, name):
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_export_file(spark, sf):
+    """A spreadsheet export with title, sections and footer, written and read again."""
+    customer, path = st.table(spark, sf, "customer"), _shared_path(spark, "export")
+    lines = customer.select(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name",
+                                        F.concat(F.lit(" "), F.col("c_acctbal").cast("string"))))
+    sections = customer.select(F.concat(F.lit(","), F.col("c_mktsegment"), F.lit(","))).distinct()
+    frame = spark.createDataFrame([("Table 1. Index,,",), ("Rank,Country,Value",), ("Notes,,",)], "value string")
+    frame.union(sections).union(lines).write.text(path)
+    return files.read_export(spark, path, ["rank", "country", "value"],
+                             _struct("rank:l country:s value:d"), files.is_number("rank"))
+
+
+def read_csv_file(spark, sf):
+    path = _shared_path(spark, "csv")
+    st.table(spark, sf, "customer").write.option("header", True).csv(path)
+    return files.read_csv(spark, path, _struct("c_custkey:l c_mktsegment:s c_acctbal:d"))
+
+
+def write_panel_readback(spark, sf):
+    path = _shared_path(spark, "panel")
+    rows = st.table(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey",
+                                                "o_totalprice")
+    files.write_panel(rows, path, rows_per_file=1000)
+    return spark.read.parquet(path).select("year", "o_orderkey", "o_totalprice")
 
 
 def preview_first_n(spark, sf):
@@ -87,7 +132,8 @@ def preview_first_n(spark, sf):
 
 
 def sample_n(spark, sf):
-    return files.sample_rows(st.table(spark, sf, "customer").select("c_custkey", "c_name"), 10)
+    return files.sample_rows(st.table(spark, sf, "customer").select("c_custkey", "c_name"), 10,
+                             "c_custkey", seed=7)
 
 
 def price_semi_country(spark, sf):
@@ -137,13 +183,13 @@ def daily_returns(spark, sf):
 
 
 def rolling_volatility(spark, sf):
-    return rounded(series.rolling_volatility(prices(spark, sf), order=ORDER)
+    return rounded(series.rolling_volatility(long_prices(spark, sf), order=ORDER)
                    .select("exchg", "isin", "datadate", *st.TIES, *volatility_columns()),
                    volatility_columns())
 
 
 def rolling_liquidity(spark, sf):
-    return rounded_amounts(series.rolling_liquidity(prices(spark, sf), order=ORDER)
+    return rounded_amounts(series.rolling_liquidity(long_prices(spark, sf), order=ORDER)
                            .select("exchg", "isin", "datadate", *st.TIES, *liquidity_columns()),
                            liquidity_columns())
 
@@ -172,11 +218,11 @@ def factor_momentum(spark, sf):
 
 
 def factor_volatility(spark, sf):
-    return rounded(factors.volatility(prices(spark, sf), ORDER), volatility_columns())
+    return rounded(factors.volatility(long_prices(spark, sf), ORDER), volatility_columns())
 
 
 def factor_liquidity(spark, sf):
-    return rounded_amounts(factors.liquidity(prices(spark, sf), ORDER), liquidity_columns())
+    return rounded_amounts(factors.liquidity(long_prices(spark, sf), ORDER), liquidity_columns())
 
 
 def factor_growth(spark, sf):
@@ -206,6 +252,12 @@ def factor_panel_one_pass(spark, sf):
                                                order=ORDER, days_per_month=SPARSE))
 
 
+def factor_panel_split(spark, sf):
+    """The same panel with every series cut into ranges."""
+    return _rounded_panel(factors.factor_panel(prices(spark, sf), statements(spark, sf), order=ORDER,
+                                               days_per_month=SPARSE, split_rows=100, chunk_rows=150))
+
+
 # --- cross-section and models ------------------------------------------------
 
 def _panel(spark, sf, days=SPARSE):
@@ -266,6 +318,13 @@ def ols_grouped(spark, sf):
                                                "country", kept=design.kept))
 
 
+def ols_grouped_dropped(spark, sf):
+    """A fit in which the rule for mostly missing factors drops one."""
+    return _rounded_fit(analysis.analyze_countries(
+        prices(spark, sf), statements(spark, sf), st.exchanges(spark, sf), order=ORDER,
+        days_per_month=10))
+
+
 # --- groups and reconciliation -----------------------------------------------
 
 def rowwise_mean(spark, sf):
@@ -455,12 +514,13 @@ def analyze_all_countries(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_price_panel, scan_fundamentals_first, scan_skip_preamble, exchange_map, preview_first_n,
+    scan_price_panel, scan_fundamentals_first, scan_skip_preamble, statements_by_country,
+    read_export_file, read_csv_file, write_panel_readback, exchange_map, preview_first_n,
     sample_n, price_semi_country, scalar_adjusted_prices, scalar_calendar, january_snapshot,
     month_anchor, horizon_anchor_dates, daily_returns, rolling_volatility, rolling_liquidity,
     factor_size, factor_yield, factor_quality, factor_value, factor_momentum, factor_volatility,
     factor_liquidity, factor_growth, merge_factor_panel, factor_panel_one_pass,
-    normalize_cross_section, null_ratio_columns, dropna_complete_rows, linear_fit,
+    factor_panel_split, ols_grouped_dropped, normalize_cross_section, null_ratio_columns, dropna_complete_rows, linear_fit,
     fit_line_points, spearman_rank, gram_sums, ols_grouped, rowwise_mean, ppp_outer_complete,
     bucket_quartiles, bucket_fixed_thresholds, bucket_index_levels, group_boundary_member,
     crosstab_groups, crosstab_groups_wide, ranked_averages, filter_group_members,

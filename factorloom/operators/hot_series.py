@@ -3,143 +3,125 @@
 A window over (exchange, security) puts all rows of one security into one task.
 That is right for ordinary securities and fatal for one that holds a large share
 of the data.  ``split_hot_series`` finds the securities with more than
-``split_rows`` rows, cuts each into ranges of about ``chunk_rows`` rows, and
-copies into every range the rows just before it that rolling frames need
-("halo").  Windows are then partitioned by (exchange, security, chunk) and halo
-rows are dropped from the result, which equals the unsplit one.
-
-A range is made of whole days.  A day of a security that itself exceeds
-``chunk_rows`` is divided further by the value of the second order column, when
-that is a number; rows that the order does not tell apart stay together.
-
-Costs: one count over the key columns, run when the plan is built; only the
-number of oversized securities comes back.  When there is none (the normal case)
-the plan is that of a plain window: the data is shuffled once, by security, and
-later steps per security reuse that partitioning.
-
-The broadcast tables are bounded by the row count N of the input, not by the
-number of securities: at most N / split_rows securities are oversized, each
-spans a bounded number of calendar months, at most N / chunk_rows days are
-divided, and there are at most N / chunk_rows + N / split_rows ranges.
+``split_rows`` rows and cuts each into ranges of ``chunk_rows`` rows by the place
+of a row in its series, whatever days these rows are of.  Every range gets a copy
+of the ``halo_rows`` rows before it, which rolling frames need.  Windows are then
+partitioned by (exchange, security, chunk) and halo rows are dropped from the
+result, which equals the unsplit one.
+
+The place of a row is found without holding a series in one task: rows of
+oversized series are dealt to ranges of their order and written once; a row's
+place is the size of the earlier ranges plus its place in its own.  Rows that the
+order does not tell apart are told apart by a hash of all their columns, in split
+and whole series alike when the order is the date alone.
+
+Costs: the counts per security, of which only the oversized are written, then, if
+there are any, one pass that writes their rows.  When there is none (the normal
+case) the plan is that of a plain window: the data is shuffled once, by security,
+and later steps per security reuse that partitioning.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
-from factorloom.functions.scalars import month_number
 from factorloom.schema import SERIES_KEYS
 from factorloom.session import materialize
 
 SPLIT_ROWS = 20_000_000
 CHUNK_ROWS = 5_000_000
+TIE = "_tie"
+
 
+def order_key(df: DataFrame, order, columns):
+    """One sortable expression for an ordering column list of ``df``.
 
-def order_key(order):
-    """One sortable expression for an ordering column list."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
-
-def _busy_days(hot: DataFrame, order, keys, chunk_rows: int) -> DataFrame | None:
-    """Days of a series to be divided, with the scale that divides them."""
-    if len(order) < 2 or not isinstance(hot.schema[order[1]].dataType, NumericType):
-        return None
-    second = F.col(order[1]).cast("double")
-    days = (hot.groupBy(*keys, order[0])
-            .agg(F.count(F.lit(1)).alias("_rows"), F.min(second).alias("_low"),
-                 F.max(second).alias("_high"))
-            .filter(F.col("_rows") > chunk_rows))
-    pieces = F.ceil(F.col("_rows") / chunk_rows) * 4
-    return days.select(*[F.col(k).alias(f"_busy_{k}") for k in keys],
-                       F.col(order[0]).alias("_busy_day"), "_low",
-                       ((F.col("_high") - F.col("_low")) / pieces).alias("_width"))
-
-
-def _with_part(rows: DataFrame, busy: DataFrame | None, order, keys) -> DataFrame:
-    """Add ``_part``: place within a divided day, never falling along the order."""
-    if busy is None:
-        return rows.withColumn("_part", F.lit(0).cast("long"))
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_busy_{k}") for k in keys],
-                  F.col(order[0]) == F.col("_busy_day"))
-    step = F.try_divide(F.col(order[1]).cast("double") - F.col("_low"), F.col("_width"))
-    # NULLs sort first, hence part -1.
-    place = F.when(F.col(order[1]).isNull(), -1).otherwise(F.coalesce(F.floor(step), F.lit(0)))
-    return (rows.join(F.broadcast(busy), same, "left")
-            .select(*rows.columns, F.when(F.col("_busy_day").isNull(), 0).otherwise(place)
-                    .cast("long").alias("_part")))
-
-
-def _ranges(hot: DataFrame, *, halo_rows: int, carry: str | None, order, keys,
-            chunk_rows: int) -> DataFrame:
-    """Ranges (_chunk, _start, _end, _halo_from, _carried) of oversized series.
-
-    ``hot`` has a ``_part`` column; a place in a series is the struct (day, part).
-    ``_carried`` is the last non-null value of ``carry`` before ``_halo_from``.
+    A date alone is followed by a hash of ``columns``, those that the result
+    takes, so that rows of one day have a fixed order; both fit into a long,
+    which aggregates by hash.
     """
-    day = order[0]
-    value = F.col(carry) if carry else F.lit(None).cast("double")
-    units = (hot.groupBy(*keys, F.struct(F.col(day).alias("day"), F.col("_part").alias("part"))
-                         .alias("_unit"))
-             .agg(F.count(F.lit(1)).alias("_rows"),
-                  F.max_by(value, F.when(value.isNotNull(), order_key(order))).alias("_last")))
-    in_order = Window.partitionBy(*keys).orderBy("_unit")
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    units = units.withColumns({
-        "_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
-        "_carry": F.last("_last", ignorenulls=True).over(earlier),
-        "_first": F.min("_unit").over(Window.partitionBy(*keys)),
-    })
-    # The latest unit with at least halo_rows rows from its start up to this one.
-    reach = (Window.partitionBy(*keys).orderBy("_before")
-             .rangeBetween(Window.unboundedPreceding, -halo_rows))
-    units = units.withColumns({
-        "_from": F.coalesce(F.max("_unit").over(reach), F.col("_first")),
-        "_from_carry": F.max_by("_carry", "_unit").over(reach),
-        "_chunk": F.floor(F.col("_before") / chunk_rows),
-    })
-    return (units.groupBy(*keys, "_chunk")
-            .agg(F.min("_unit").alias("_start"), F.max("_unit").alias("_end"),
-                 F.min_by("_from", "_unit").alias("_halo_from"),
-                 F.min_by("_from_carry", "_unit").alias("_carried")))
+    if len(order) > 1:
+        return F.struct(*order)
+    if dict(df.dtypes).get(order[0]) != "date":
+        return F.col(order[0])
+    tie = F.xxhash64(*columns).bitwiseAND(F.lit((1 << 40) - 1))
+    return F.shiftleft(F.unix_date(order[0]).cast("long"), 40) + tie
+
+
+def window_order(order) -> list[str]:
+    """The order of a series in windows over the result of ``split_hot_series``."""
+    return [*order, TIE] if len(order) == 1 else list(order)
 
 
 def split_hot_series(prices: DataFrame, *, halo_rows: int, carry: str | None = None,
                      order=("datadate",), keys=SERIES_KEYS,
                      split_rows: int | None = SPLIT_ROWS,
                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``chunk``, ``is_halo`` and ``carried``; repeat rows that serve as halo.
+    """Add ``chunk``, ``is_halo``, ``carried`` and ``offset``; repeat rows that serve as halo.
 
-    ``split_rows=None`` skips the search, for callers that know their series to
-    be short (one row per security and day).
+    ``offset`` is the number of rows of the series before the first one of the
+    chunk, halo included; ``carried`` is the last non-null value of ``carry``
+    among them.  With the date as the only order there is a column ``_tie``,
+    too.  ``split_rows=None`` skips the search, for callers that know their
+    series to be short (one row per security and day).
     """
-    day, keys = order[0], list(keys)
+    keys, columns = list(keys), list(prices.columns)
+    if len(order) == 1:
+        prices = prices.withColumn(TIE, F.xxhash64(*columns))
     oversized = None
     if split_rows is not None:
-        oversized = (prices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-                     .filter(F.col("_rows") > split_rows).select(*keys))
-    if oversized is None or oversized.count() == 0:
-        return prices.withColumns({"chunk": F.lit(0).cast("long"),
-                                   "is_halo": F.lit(False),
-                                   "carried": F.lit(None).cast("double")})
-    oversized = materialize(oversized, "oversized-series")
-    hot = prices.join(F.broadcast(oversized), keys, "left_semi")
-    busy = _busy_days(hot, order, keys, chunk_rows)
-    ranges = _ranges(_with_part(hot, busy, order, keys), halo_rows=halo_rows, carry=carry,
-                     order=order, keys=keys, chunk_rows=chunk_rows)
-    lookup = ranges.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], "_chunk", "_start", "_end", "_halo_from",
-        "_carried", F.explode(F.sequence(month_number("_halo_from.day"),
-                                         month_number("_end.day"))).alias("_month"))
-    unit = F.struct(F.col(day).alias("day"), F.col("_part").alias("part"))
-    matched = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_key_{k}") for k in keys],
-                     (month_number(day) == F.col("_month"))
-                     & (unit >= F.col("_halo_from")) & (unit <= F.col("_end")))
-    return (_with_part(prices, busy, order, keys).join(F.broadcast(lookup), matched, "left")
-            .select(*prices.columns,
-                    F.coalesce("_chunk", F.lit(0)).cast("long").alias("chunk"),
-                    F.coalesce(unit < F.col("_start"), F.lit(False)).alias("is_halo"),
-                    F.col("_carried").alias("carried")))
+        oversized = materialize(prices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                                .filter(F.col("_rows") > split_rows), "oversized-series")
+        total = oversized.agg(F.sum("_rows")).first()[0]
+    if oversized is None or not total:
+        return prices.withColumns({"chunk": F.lit(0).cast("long"), "is_halo": F.lit(False),
+                                   "carried": F.lit(None).cast("double"),
+                                   "offset": F.lit(0).cast("long")})
+    oversized = oversized.select(*keys)
+    placed = _placed(prices.join(oversized, keys, "left_semi"), keys, order, columns,
+                     max(2, -(-total // chunk_rows)))
+    last = F.floor((F.col("_place") + halo_rows) / chunk_rows)
+    spread = placed.withColumn("_own", F.floor(F.col("_place") / chunk_rows)).withColumn(
+        "chunk", F.explode(F.sequence("_own", last)))
+    begin = F.greatest(F.col("chunk") * chunk_rows - halo_rows, F.lit(0))
+    hot = (spread.join(_carried(placed, keys, carry, halo_rows, chunk_rows), [*keys, "chunk"])
+           .select(*prices.columns, "chunk", (F.col("chunk") > F.col("_own")).alias("is_halo"),
+                   "carried", begin.cast("long").alias("offset")))
+    cold = prices.join(oversized, keys, "left_anti").select(
+        *prices.columns, F.lit(0).cast("long").alias("chunk"), F.lit(False).alias("is_halo"),
+        F.lit(None).cast("double").alias("carried"), F.lit(0).cast("long").alias("offset"))
+    return cold.unionByName(hot)
+
+
+def _placed(hot: DataFrame, keys, order, columns, ranges: int) -> DataFrame:
+    """Add ``_place``, counted from 0 in each series."""
+    sort = [*keys, *order, F.xxhash64(*columns)]
+    dealt = materialize(hot.repartitionByRange(ranges, *sort)
+                        .withColumn("_range", F.spark_partition_id()), "hot-series")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_held"))
+    earlier = (Window.partitionBy(*keys).orderBy("_range")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(*keys, "_range",
+                          F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order, F.xxhash64(*columns))
+    return (dealt.withColumn("_inside", F.row_number().over(inside))
+            .join(before, [*keys, "_range"])
+            .withColumn("_place", F.col("_before") + F.col("_inside") - 1)
+            .drop("_range", "_inside", "_before"))
+
+
+def _carried(placed: DataFrame, keys, carry: str | None, halo_rows: int,
+             chunk_rows: int) -> DataFrame:
+    """The chunks of each series, with the last value before the halo of each."""
+    value = F.col(carry).cast("double") if carry else F.lit(None).cast("double")
+    reached = F.floor((F.col("_place") + halo_rows) / chunk_rows) + 1
+    known = (placed.filter(value.isNotNull()).groupBy(*keys, reached.alias("chunk"))
+             .agg(F.max_by(value, F.col("_place")).alias("_value")))
+    chunks = (placed.groupBy(*keys, F.floor(F.col("_place") / chunk_rows).alias("chunk"))
+              .agg(F.lit(True).alias("_held")))
+    until = (Window.partitionBy(*keys).orderBy("chunk")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (chunks.join(known, [*keys, "chunk"], "full")
+            .withColumn("carried", F.last("_value", ignorenulls=True).over(until))
+            .filter("_held").select(*keys, "chunk", "carried"))

@@ -2,61 +2,46 @@
 
 A window without a partition key would pull the column into one task.  Here the
 distinct values and their counts are computed first (so a value that fills a
-third of the rows becomes one row), cut into ranges of about equal size, and
-counted range by range; a value's rank is the size of the ranges before its own
-plus its place inside it.  Every step is exact whatever the cut points are.
+third of the rows becomes one row), dealt to ranges of about equal size and
+written once; a value's rank is the size of the ranges before its own plus its
+place inside it.  Every step is exact whatever the ranges are, and this is the
+only way, for few values and for many.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.session import materialize
 
-MAX_RANGES = 10_000
-ROWS_PER_RANGE = 1_000_000
 
+def value_counts(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
+    """(value, n, _range): the distinct non-null values, their counts and ranges, written once.
 
-def _range_cuts(counts: DataFrame, ranges: int) -> list[float]:
-    """Cut points that leave about equally many distinct values in each range."""
-    if ranges < 2:
-        return []
-    points = [i / ranges for i in range(1, ranges)]
-    return sorted(set(counts.approxQuantile("value", points, 0.25 / ranges)))
-
-
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """(value, n): the distinct non-null values and their counts, written once."""
-    return materialize(
-        df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
-        .groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    There are as many ranges as shuffle partitions unless ``ranges`` is given.
+    """
+    counts = (df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
+              .groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    if ranges is None:
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(counts.repartitionByRange(ranges, "value")
+                       .withColumn("_range", F.spark_partition_id()), "value-counts")
 
 
-def value_ranks(counts: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Add ``before`` to value counts: how many rows hold a smaller value."""
-    if ranges is None:
-        ranges = max(1, min(MAX_RANGES, counts.count() // ROWS_PER_RANGE))
-    cuts = _range_cuts(counts, ranges)
-    if not cuts:
-        # Few values: fewer than twice ROWS_PER_RANGE unless the caller says so.
-        earlier = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="value",
-                        outputCol="_range").transform(counts)
-    # At most `ranges` rows, hence the broadcast and the single ordered window.
-    offsets = (placed.groupBy("_range").agg(F.sum("n").alias("_held"))
-               .withColumn("_offset", F.sum("_held").over(
-                   Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))))
+def value_ranks(counts: DataFrame) -> DataFrame:
+    """(value, n, before): how many rows hold a smaller value, from ``value_counts``."""
+    # One row for each range, so this window is small.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (counts.groupBy("_range").agg(F.sum("n").alias("_held"))
+               .select("_range", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_offset")))
     inside = (Window.partitionBy("_range").orderBy("value")
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(F.broadcast(offsets.select("_range", "_offset")), "_range")
-            .select("value", "n", (F.coalesce("_offset", F.lit(0)) + F.col("_inside"))
-                    .alias("before")))
+    return (counts.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+            .join(offsets, "_range")
+            .select("value", "n", (F.col("_offset") + F.col("_inside")).alias("before")))
 
 
 def average_rank():
@@ -67,8 +52,8 @@ def average_rank():
 def add_rank(df: DataFrame, column: str, name: str, method: str = "average",
              descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Add the rank of ``column`` (NULL stays NULL): 'average' or 'min' for ties."""
-    counts = value_counts(df, column)
-    ranked = value_ranks(counts, ranges)
+    counts = value_counts(df, column, ranges)
+    ranked = value_ranks(counts)
     if descending:
         total = F.lit(counts.agg(F.sum("n")).first()[0] or 0)
         ranked = ranked.withColumn("before", total - F.col("before") - F.col("n"))
@@ -90,7 +75,7 @@ def spearman(df: DataFrame, x: str, y: str, ranges: int | None = None) -> DataFr
 def quantile_cuts(df: DataFrame, column: str, probabilities=(0.25, 0.5, 0.75),
                   ranges: int | None = None) -> list[float]:
     """Exact quantiles, linearly interpolated between neighbouring values."""
-    counts = value_counts(df, column)
+    counts = value_counts(df, column, ranges)
     total = counts.agg(F.sum("n")).first()[0]
     if not total:
         return [None for _ in probabilities]
@@ -101,6 +86,6 @@ def quantile_cuts(df: DataFrame, column: str, probabilities=(0.25, 0.5, 0.75),
         for place in (math.floor(at), math.ceil(at)):
             wanted.append(F.min(F.when(until > place, F.col("value"))))
         weights.append(at - math.floor(at))
-    found = value_ranks(counts, ranges).agg(*[w.alias(f"q{i}") for i, w in enumerate(wanted)]).first()
+    found = value_ranks(counts).agg(*[w.alias(f"q{i}") for i, w in enumerate(wanted)]).first()
     return [found[2 * i] + w * (found[2 * i + 1] - found[2 * i])
             for i, w in enumerate(weights)]

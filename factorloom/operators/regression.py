@@ -5,7 +5,8 @@ matrix with the response as last column (R'R equals the cross-product matrix).
 Stacking factors and factoring again merges them, so the factors are combined in
 a tree and only the last, small one is solved.  Unlike sums of products this
 keeps the accuracy of a decomposition of the full matrix.  A group of any size
-costs each task one k by k matrix.
+costs each task one k by k matrix.  A task holds the matrices of at most ``MAX_HELD``
+groups at a time; beyond that it passes them on, as parts of a group merge anyway.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from factorloom.functions.scalars import line_value
 from factorloom.operators.crosssec import complete_rows, kept_factors, null_ratios
 
-COMBINE_FANOUT = 64
+MAX_HELD = 256
+COEFFICIENT_CUTOFF = 1e-15
+LARGE_DF = 1e5
+MAX_DEPTH = 1 << 16
 
 
 # --- one regressor -----------------------------------------------------------
@@ -49,9 +53,19 @@ def fit_line_points(fit: DataFrame, points: int = 50) -> DataFrame:
 # --- many regressors ---------------------------------------------------------
 
 def student_p_value(t: float, df: float) -> float:
-    """Two-sided tail probability of Student's t, by the incomplete beta function."""
+    """Two-sided tail probability of Student's t, by the incomplete beta function.
+
+    With many degrees of freedom, where differences of log-gammas cancel, t is
+    turned into a normal deviate by Hill's expansion; its error there is far
+    below 1e-12.
+    """
     if not math.isfinite(t):
         return math.nan if math.isnan(t) else 0.0
+    if df > LARGE_DF:
+        a = df - 0.5
+        z = math.sqrt(a * math.log1p(t * t / df))
+        z += (z ** 3 + 3.0 * z) / (48.0 * a * a)
+        return math.erfc(z / math.sqrt(2.0))
     x = df / (df + t * t)
     return _incomplete_beta(df / 2.0, 0.5, x)
 
@@ -65,16 +79,17 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
                  + a * math.log(x) + b * math.log1p(-x))
     # Continued fraction, evaluated from the tail until two depths agree.
     depth, previous = 16, math.inf
-    while True:
+    while depth <= MAX_DEPTH:
         tail = 1.0
         for m in range(depth, 0, -1):
             even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
             odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
             tail = 1.0 + even / (1.0 + odd / tail)
         value = 1.0 / (1.0 - (a + b) * x / (a + 1.0) / tail)
-        if abs(value - previous) <= 1e-15 * abs(value) or depth > 1 << 14:
+        if abs(value - previous) <= 1e-15 * abs(value):
             return math.exp(log_front) * value / a
         depth, previous = depth * 2, value
+    raise ArithmeticError(f"the incomplete beta function did not converge at a={a}, b={b}, x={x}")
 
 
 def _reduce(rows: np.ndarray) -> np.ndarray:
@@ -86,21 +101,29 @@ def _reduce(rows: np.ndarray) -> np.ndarray:
     return factor
 
 
-def _partials(by: str, names: list[str], fanout: int):
+def _partials(by: str, names: list[str], max_held: int):
     def run(batches):
-        held: dict = {}
+        # The partition number stays the same when a lost task is run again.  With
+        # the root of it as slot, neither level of the tree has more than about
+        # twice the root of the number of tasks to merge.
+        slot, held = math.isqrt(TaskContext.get().partitionId()), {}
+
+        def passed_on() -> pd.DataFrame:
+            return pd.DataFrame({
+                by: list(held), "n_obs": [n for n, _ in held.values()],
+                "factor": [f.ravel() for _, f in held.values()], "slot": slot})
+
         for batch in batches:
             for group, rows in batch.groupby(by, sort=False):
                 block = rows[names].to_numpy(dtype=float)
                 n, factor = held.get(group, (0, None))
                 stacked = block if factor is None else np.vstack([factor, block])
                 held[group] = (n + len(block), _reduce(stacked))
+                if len(held) >= max_held:
+                    yield passed_on()
+                    held.clear()
         if held:
-            # The partition number stays the same when a lost task is run again.
-            slot = TaskContext.get().partitionId() % fanout
-            yield pd.DataFrame({
-                by: list(held), "n_obs": [n for n, _ in held.values()],
-                "factor": [f.ravel() for _, f in held.values()], "slot": slot})
+            yield passed_on()
     return run
 
 
@@ -120,12 +143,12 @@ def _factor_schema(design: DataFrame, by: str) -> str:
     return f"`{by}` {design.schema[by].dataType.simpleString()}, n_obs bigint, factor array<double>"
 
 
-def partial_factors(design: DataFrame, columns, by: str,
-                    fanout: int = COMBINE_FANOUT) -> DataFrame:
-    """At most ``fanout`` rows (by, n_obs, factor) per group; ``columns`` are free of NULLs."""
+def partial_factors(design: DataFrame, columns, by: str, max_held: int = MAX_HELD) -> DataFrame:
+    """Few rows (by, n_obs, factor) per group, about the root of the number of tasks;
+    ``columns`` are free of NULLs."""
     columns, schema = list(columns), _factor_schema(design, by)
     parts = (design.filter(F.col(by).isNotNull()).select(by, *columns)
-             .mapInPandas(_partials(by, columns, fanout), schema + ", slot bigint"))
+             .mapInPandas(_partials(by, columns, max_held), schema + ", slot bigint"))
     return parts.groupBy(by, "slot").applyInPandas(_combiner(by, len(columns)), schema)
 
 
@@ -172,10 +195,12 @@ def _solve(n: int, factor: np.ndarray, used: list[int], names: list[str]):
     if not used:
         return []
     u, s, vt = np.linalg.svd(x, full_matrices=False)
-    cutoff = s.max(initial=0.0) * max(n, len(used)) * np.finfo(float).eps
-    rank = int((s > cutoff).sum())
+    # Both cutoffs are relative to the largest singular value and free of n.
+    largest = s.max(initial=0.0)
+    rank = int((s > largest * len(used) * np.finfo(float).eps).sum())
     free = n - rank
-    u, s, vt = u[:, :rank], s[:rank], vt[:rank]
+    solved = int((s > largest * COEFFICIENT_CUTOFF).sum())
+    u, s, vt = u[:, :solved], s[:solved], vt[:solved]
     beta = vt.T @ ((u.T @ y) / s)
     rows = []
     residual = y - x @ beta

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions.scalars import month_number, ratio
-from factorloom.operators.hot_series import SPLIT_ROWS, CHUNK_ROWS, order_key, split_hot_series
+from factorloom.operators.hot_series import (CHUNK_ROWS, SPLIT_ROWS, TIE, order_key,
+                                             split_hot_series, window_order)
 from factorloom.schema import DAYS_PER_MONTH, MOMENTUM_MONTHS, ROLLING_MONTHS, SERIES_KEYS
 
 
@@ -25,7 +26,7 @@ def january_snapshot(prices: DataFrame, values, order=("datadate",), month: int
     Columns are filled independently, so one output row may mix January days.
     Partial aggregation runs before the shuffle, whatever the size of a series.
     """
-    key = order_key(order)
+    key = order_key(prices, order, values)
     day = order[0]
     return (prices.filter(F.month(day) == month)
             .filter(F.col("exchg").isNotNull() & F.col("isin").isNotNull())
@@ -41,7 +42,7 @@ def month_anchor(prices: DataFrame, price: str = "adj_close_price",
     return (prices.filter(F.col("exchg").isNotNull() & F.col("isin").isNotNull())
             .groupBy("exchg", "isin", month_number(day).alias("month_no"))
             .agg(F.min(day).alias("anchor_date"),
-                 F.min_by(price, order_key(order)).alias("anchor_price")))
+                 F.min_by(price, order_key(prices, order, [price])).alias("anchor_price")))
 
 
 def horizon_lookup(anchors: DataFrame, back=MOMENTUM_MONTHS, forward=(12,),
@@ -68,6 +69,9 @@ def horizon_lookup(anchors: DataFrame, back=MOMENTUM_MONTHS, forward=(12,),
 
 # --- day-to-day changes ------------------------------------------------------
 
+SPLIT_COLUMNS = ("chunk", "is_halo", "carried", "offset", TIE)
+
+
 def _series_window(*extra) -> Window:
     return Window.partitionBy(*SERIES_KEYS, "chunk").orderBy(*extra)
 
@@ -92,8 +96,8 @@ def daily_returns(prices: DataFrame, price: str = "adj_close_price", order=("dat
     """Add ``daily_return``: change of the forward-filled price against the row before."""
     split = split_hot_series(prices, halo_rows=1, carry=price, order=order,
                              split_rows=split_rows, chunk_rows=chunk_rows)
-    return (_with_returns(split, price, order).filter(~F.col("is_halo"))
-            .drop("chunk", "is_halo", "carried"))
+    return (_with_returns(split, price, window_order(order)).filter(~F.col("is_halo"))
+            .drop(*SPLIT_COLUMNS))
 
 
 def change_over_rows(df: DataFrame, values, order=("year",), keys=SERIES_KEYS,
@@ -244,10 +248,11 @@ def rolling_volatility(prices: DataFrame, price: str = "adj_close_price", order=
                        chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Sample deviation of daily returns over full frames; NULL while a frame is incomplete."""
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, price)
+    order = window_order(order)
     rolled = add_rolling(_with_returns(split, price, order), order=order,
                          spans={"daily_return": "daily_vol"}, months=months,
                          days_per_month=days_per_month)
-    return rolled.filter(~F.col("is_halo")).drop("chunk", "is_halo", "carried")
+    return rolled.filter(~F.col("is_halo")).drop(*SPLIT_COLUMNS)
 
 
 def rolling_liquidity(prices: DataFrame, price: str = "adj_close_price",
@@ -258,10 +263,10 @@ def rolling_liquidity(prices: DataFrame, price: str = "adj_close_price",
     """Average traded amount over frames that may be partial at the start of a series."""
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, None)
     amounts = split.withColumn("transaction_amount", F.col(price) * F.col(volume))
-    rolled = add_rolling(amounts, order=order,
+    rolled = add_rolling(amounts, order=window_order(order),
                          means={"transaction_amount": "avg_transaction_amount"},
                          months=months, days_per_month=days_per_month)
-    return rolled.filter(~F.col("is_halo")).drop("chunk", "is_halo", "carried")
+    return rolled.filter(~F.col("is_halo")).drop(*SPLIT_COLUMNS)
 
 
 def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS,
@@ -269,14 +274,15 @@ def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS
                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Volatility and liquidity in one pass.
 
-    Adds ``_position``, a long that sorts a series, and ``_opens_month``, which
-    marks (at least) the first row of each month.
+    Adds ``_position``, the place of a row in its series from 1, and
+    ``_opens_month``, which marks (at least) the first row of each month.
     """
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows,
                            "adj_close_price")
+    order = window_order(order)
     window = _series_window(*order)
     month = month_number(order[0])
-    position = F.shiftleft(F.unix_date(order[0]).cast("long"), 40) + F.row_number().over(window)
+    position = F.col("offset") + F.row_number().over(window)
     opens = F.coalesce(F.lag(month).over(window) != month, F.lit(True))
     daily = (_with_returns(split, "adj_close_price", order,
                            {"_position": position, "_opens_month": opens})
@@ -285,7 +291,7 @@ def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS
     rolled = add_rolling(daily, order=order, spans={"daily_return": "daily_vol"},
                          means={"transaction_amount": "avg_transaction_amount"},
                          months=months, days_per_month=days_per_month)
-    return rolled.filter(~F.col("is_halo")).drop("chunk", "is_halo", "carried")
+    return rolled.filter(~F.col("is_halo")).drop(*SPLIT_COLUMNS)
 
 
 __all__ = ["first_non_null", "january_snapshot", "month_anchor", "horizon_lookup",

@@ -40,7 +40,10 @@ def regression_design(prices: DataFrame, statements: DataFrame, exchanges: DataF
     it is about 250 times smaller than the daily prices.  The summaries, one row
     per (exchange, year), are written too, which gives them a known size: the
     planner broadcasts them when small.  The factors a country keeps follow from
-    the summaries.
+    the summaries, and are written for the same reason.
+
+    ``statements`` should be unique within a country (``scan_statements`` with a map
+    of exchanges), as a security may be listed in several.
     """
     factors = factor_columns(options.get("months", ROLLING_MONTHS),
                              options.get("back", MOMENTUM_MONTHS))
@@ -53,8 +56,8 @@ def regression_design(prices: DataFrame, statements: DataFrame, exchanges: DataF
     columns = [*factors, TARGET]
     stats = materialize(cross_section_stats(panel, columns), "panel-stats")
     scored = normalize_cross_section(panel, columns, stats=stats)
-    kept = kept_factors(score_null_ratios(stats.join(chosen, "exchg"), factors), ("country",),
-                        null_limit)
+    kept = materialize(kept_factors(score_null_ratios(stats.join(chosen, "exchg"), factors),
+                                    ("country",), null_limit), "kept-factors")
     rows = masked_design(scored, factors, TARGET, "country", kept)
     return Design(rows, factors, scored, kept)
 

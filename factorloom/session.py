@@ -37,28 +37,59 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Only a local-mode session may fall back to a fresh temporary folder; on a
-    cluster every executor has to reach the folder, so it must be configured.
+    cluster every executor has to reach the folder, so it must be configured, and
+    not as a plain path that each machine would look up on its own disk.  A path
+    that names the file system itself (``file:`` for a mounted share) is taken
+    at its word.
     """
     context = spark.sparkContext
     folder = (spark.conf.get("spark.checkpoint.dir", None)
               or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
-    if folder:
+    local = context.master.startswith("local[") or context.master == "local"
+    if folder and (local or not _on_own_disk(context, folder)):
         return folder
-    if not context.master.startswith("local"):
+    if folder:
+        raise RuntimeError(f"{folder} is on the disk of each machine; name a shared file system")
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="factorloom-")
     context.setCheckpointDir(folder)
     return folder
 
 
+def _on_own_disk(context, folder: str) -> bool:
+    """A path without a scheme, where that means the local disk."""
+    if "://" in folder or folder.startswith("file:"):
+        return False
+    return context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+
+
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where several jobs read one expensive result.  The table survives the
     loss of executors, prunes columns for each reader, and carries a real size,
-    so that the planner broadcasts it only when it is small.
+    so that the planner broadcasts it only when it is small.  ``drop_tables``
+    removes what a session has written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove the tables that ``materialize`` has written in this process; how many there were.
+
+    For the end of a run: frames that read them cannot be used afterwards.
+    """
+    removed = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        removed += bool(system.delete(path, True))
+    return removed

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorloom.schema import conform
 
+ROWS_PER_FILE = 2_000_000
+
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -15,7 +19,11 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV with a header row; columns are matched by name, NaN becomes NULL."""
+    """A CSV with a header row; columns are matched by name, NaN becomes NULL.
+
+    A field that is not of the stated type is NULL, as a missing one;
+    ``failed_casts`` counts these.
+    """
     text = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     absent = [f.name for f in schema.fields if f.name not in text.columns]
     if absent:
@@ -43,6 +51,13 @@ def data_rows(text: DataFrame, schema: T.StructType, is_data) -> DataFrame:
         for f in schema.fields])
 
 
+def failed_casts(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """One row: for each column how many fields hold text that is not of its type."""
+    return text.agg(*[F.count(F.when(
+        F.expr(f"try_cast(trim(`{f.name}`) AS {f.dataType.simpleString()})").isNull()
+        & (F.trim(F.col(f"`{f.name}`")) != ""), 1)).alias(f.name) for f in schema.fields])
+
+
 def is_number(name: str):
     """Predicate: the column holds a whole number (a rank, a key)."""
     return F.expr(f"try_cast(trim(`{name}`) AS bigint)").isNotNull()
@@ -53,13 +68,20 @@ def matches(name: str, pattern: str):
     return F.coalesce(F.col(name).rlike(pattern), F.lit(False))
 
 
-def write_panel(df: DataFrame, path: str, by=("year",), mode: str = "overwrite") -> None:
+def write_panel(df: DataFrame, path: str, by=("year",), mode: str = "errorifexists",
+                rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write an annual panel partitioned for pruned reads, one shuffle, few files.
 
-    A further shuffle key spreads a year over many writers.
+    A year is spread over as many writers as its rows call for, which one count
+    by year tells; an existing table is not replaced unless ``mode`` says so.
     """
-    spread = [F.col(c) for c in by] + [F.pmod(F.xxhash64(*df.columns), F.lit(64))]
-    df.repartition(*spread).write.mode(mode).partitionBy(*by).parquet(path)
+    by = list(by)
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_writers"))
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
+    spread = df.alias("p").join(sizes.alias("s"), same).select("p.*", F.pmod(
+        F.xxhash64(*[F.col(f"p.`{c}`") for c in df.columns]), F.col("s._writers")).alias("_writer"))
+    (spread.repartition(*by, "_writer").drop("_writer")
+     .write.mode(mode).partitionBy(*by).parquet(path))
 
 
 def first_rows(df: DataFrame, order, n: int = 5) -> DataFrame:
@@ -67,6 +89,11 @@ def first_rows(df: DataFrame, order, n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Preview: ``n`` random rows (a distributed top-n on a random key)."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """Preview: ``n`` random rows (a distributed top-n on a hash of seed and ``key``).
+
+    The hash is MD5 of the seed, a bar and the key as text, so other engines
+    and later runs pick the same rows; rows of equal keys follow in no stated order.
+    """
+    random = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return df.withColumn("_r", random).orderBy("_r").limit(n).drop("_r")

@@ -20,8 +20,21 @@ STATEMENT_FILTER = {"popsrc": "I", "datafmt": "HIST_STD", "consol": "C"}
 
 
 def exchange_table(spark: SparkSession, rows=EXCHANGES) -> DataFrame:
-    """Exchange → country and label; a code listed twice is kept once."""
-    return spark.createDataFrame(list(dict.fromkeys(rows)), EXCHANGE).dropDuplicates(["exchg"])
+    """Exchange → country and label; a code listed twice is kept once, as first listed.
+
+    An inline table, whose size the planner knows: it broadcasts it, so that daily
+    rows are not shuffled by exchange.
+    """
+    unique = {row[0]: row for row in reversed(list(rows))}
+    names = ", ".join(f.name for f in EXCHANGE.fields)
+    values = ", ".join(f"({', '.join(map(_literal, row))})" for row in unique.values())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
+def _literal(value: str | None) -> str:
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def in_country(df: DataFrame, exchanges: DataFrame, country: str | None = None) -> DataFrame:
@@ -59,12 +72,14 @@ def scan_prices(raw: DataFrame, start: str | None = None, end: str | None = None
 
 
 def scan_statements(raw: DataFrame, start: str | None = None, end: str | None = None,
-                    order=("datadate",)) -> DataFrame:
-    """The earliest statement of each (security, fiscal year), from (start, end].
+                    order=("datadate",), exchanges: DataFrame | None = None) -> DataFrame:
+    """The earliest statement of each (country, security, fiscal year), from (start, end].
 
-    The exchange is not part of the key, so a security listed twice keeps one
-    statement.  ``min_by`` combines rows before the shuffle, where a row number
-    would first move and sort all of them.
+    ``exchanges`` maps exchanges to countries; statements of other exchanges go,
+    and a security listed in two countries keeps a statement in each, as if each
+    country were queried alone.  Without a map a security keeps one statement.
+    ``min_by`` combines rows before the shuffle (sorted in each task), where a row
+    number would first move all of them.
     """
     rows = nan_to_null(raw).filter(F.col("isin").isNotNull())
     if start is not None:
@@ -78,6 +93,14 @@ def scan_statements(raw: DataFrame, start: str | None = None, end: str | None =
                        F.col("oiadp").alias("operating_income"),
                        F.col("ebitda").alias("earnings_before_interest"),
                        F.col("oancf").alias("cash_flow"))
-    first = rows.groupBy("isin", "fyear").agg(F.min_by(payload, order_key(order)).alias("s"))
+    rows = rows.select("isin", "fyear", payload.alias("s"),
+                       order_key(rows, order, ["exchg", "at", "revt", "oiadp", "ebitda", "oancf"]).alias("_order"))
+    scope = []
+    if exchanges is not None:
+        scope = ["_country"]
+        mapped = (exchanges.filter(F.col("country").isNotNull())
+                  .select("exchg", F.col("country").alias("_country")).distinct())
+        rows = rows.withColumn("exchg", F.col("s.exchg")).join(mapped, "exchg")
+    first = rows.groupBy(*scope, "isin", "fyear").agg(F.min_by("s", "_order").alias("s"))
     return first.select("isin", "s.exchg", "fyear", "s.datadate", "s.assets", "s.revenue",
                         "s.operating_income", "s.earnings_before_interest", "s.cash_flow")

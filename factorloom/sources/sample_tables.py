@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions.scalars import ratio
+from factorloom.sources.market import exchange_table
 
 # Several rows of a security share a date; this order makes them a series.
 PRICE_ORDER = ("datadate", "k_order", "k_line", "k_part", "close_price")
 TIES = ("k_order", "k_line", "k_part")
-PPP_SAMPLE_YEARS = tuple(range(1995, 2001))
+PPP_SAMPLE_YEARS = tuple(range(1995, 2002))
 
 
 # Declared, so that planning a query needs no job to look at the files.
@@ -72,6 +73,21 @@ def raw_prices(spark: SparkSession, folder: str, industry: bool = False) -> Data
         F.col("l_partkey").alias("k_part"))
 
 
+def long_prices(raw: DataFrame) -> DataFrame:
+    """Quotes of four suppliers as those of one security, whose series then exceeds the
+    longest rolling frame of 757 rows."""
+    security = F.floor(F.col("isin").cast("long") / 4)
+    return raw.withColumns({"isin": security.cast("string"), "exchg": (security % 5).cast("string")})
+
+
+def listed_twice(raw: DataFrame) -> DataFrame:
+    """Statements, with every third security also on the next exchange, 40 days later."""
+    again = raw.filter(F.col("isin").cast("long") % 3 == 0).withColumns({
+        "exchg": ((F.col("exchg").cast("int") + 1) % 5).cast("string"),
+        "datadate": F.date_add("datadate", 40)})
+    return raw.unionByName(again)
+
+
 def raw_statements(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem summed per supplier, year and quarter as statements."""
     line = table(spark, folder, "lineitem")
@@ -93,14 +109,20 @@ def raw_statements(spark: SparkSession, folder: str) -> DataFrame:
                     F.lit("C").alias("consol")))
 
 
+# The sample exchanges; one code is listed twice, as in the original.
+EXCHANGE_ROWS = (
+    ("0", "AFRICA", "Developing", "Developing Country"),
+    ("1", "AMERICA", "Developed", "Developed Country"),
+    ("2", "ASIA", "Developing", "Developing Country"),
+    ("2", "ASIA", "Developing", "Developing Country"),
+    ("3", "EUROPE", "Developed", "Developed Country"),
+    ("4", "MIDDLE EAST", "Developing", "Developing Country"),
+)
+
+
 def exchanges(spark: SparkSession, folder: str) -> DataFrame:
-    """region as exchanges; each country has several."""
-    developing = F.col("r_regionkey").isin(0, 2, 4)
-    country = F.when(developing, "Developing").otherwise("Developed")
-    return table(spark, folder, "region").select(
-        F.col("r_regionkey").cast("string").alias("exchg"),
-        F.col("r_name").alias("exchange_name"), country.alias("country"),
-        F.concat(country, F.lit(" Country")).alias("label")).dropDuplicates(["exchg"])
+    """The regions as exchanges; each country has several.  ``folder`` is not read."""
+    return exchange_table(spark, EXCHANGE_ROWS)
 
 
 def ppp(spark: SparkSession, folder: str) -> DataFrame:

@@ -169,3 +169,44 @@ def test_null_ratios_follow_from_the_group_summaries(spark):
     full = crosssec.null_ratios(crosssec.normalize_cross_section(panel, ["v", "w"]), ["v", "w"],
                                 ("country",))
     assert {tuple(r) for r in short.collect()} == {tuple(r) for r in full.collect()}
+
+
+def test_cutoffs_do_not_depend_on_the_number_of_rows():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 3))
+    x[:, 2] = x[:, 1] + 1e-8 * rng.normal(size=50)
+    factor = np.linalg.qr(np.column_stack([x, rng.normal(size=50)]), mode="r")
+    few, many = (regression._solve(n, factor, [0, 1, 2], list("abc")) for n in (50, 10**10))
+    assert [r[1] for r in few] == [r[1] for r in many]
+    assert {r[5] for r in few} == {r[5] for r in many} == {3}
+
+
+@pytest.mark.parametrize("t", [0.3, 1.645, 2.5, 5.0])
+@pytest.mark.parametrize("df", [1e6, 1e8, 1e10, 1e12])
+def test_p_values_with_many_degrees_of_freedom(t, df):
+    """Against the normal tail with the first term of the expansion in 1 / df."""
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    expected = math.erfc(t / math.sqrt(2)) + density * (t ** 3 + t) / (2 * df)
+    assert regression.student_p_value(t, df) == pytest.approx(expected, abs=1e-10)
+
+
+def test_p_values_join_where_the_method_changes():
+    for t in (0.01, 1.0, 1.645, 4.0):
+        below = regression.student_p_value(t, regression.LARGE_DF)
+        above = regression.student_p_value(t, regression.LARGE_DF * (1 + 1e-9))
+        assert below == pytest.approx(above, rel=1e-9)
+
+
+def test_groups_beyond_the_bound_are_passed_on_in_parts(spark):
+    parts = pd.concat([data(40, 2, k, f"c{k}") for k in range(12)])
+    df = spark.createDataFrame(parts).repartition(3)
+    held = regression.partial_factors(df, ["f0", "f1", "y"], "country", max_held=5)
+    assert held.count() >= 12
+    got = fit(spark, parts)
+    assert got.country.nunique() == 12
+
+
+def test_a_fraction_that_does_not_converge_is_an_error(monkeypatch):
+    monkeypatch.setattr(regression, "MAX_DEPTH", 8)
+    with pytest.raises(ArithmeticError):
+        regression.student_p_value(1.0, 10.0)

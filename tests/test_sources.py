@@ -120,3 +120,80 @@ def test_sample_sources_have_the_source_columns(spark):
     assert set(schema.RAW_PRICE.names) <= set(prices.columns)
     assert set(schema.RAW_STATEMENT.names) == set(statements.columns)
     schema.conform(prices, schema.RAW_PRICE)
+
+
+def test_statements_are_unique_within_a_country(spark):
+    rows = [("X", "106", 2010, "2010-06-30", 1.0), ("X", "251", 2010, "2010-12-31", 2.0),
+            ("X", "252", 2010, "2010-11-30", 3.0), ("X", "999", 2010, "2010-01-31", 4.0)]
+    columns = "isin string, exchg string, fyear int, datadate string, at double"
+    raw = spark.createDataFrame(rows, columns).withColumns({
+        "datadate": F.to_date("datadate"), "popsrc": F.lit("I"), "datafmt": F.lit("HIST_STD"),
+        "consol": F.lit("C"), **{c: F.lit(1.0) for c in ("revt", "oiadp", "ebitda", "oancf")}})
+    exchanges = market.exchange_table(spark, [
+        ("106", "a", "Australia", "l"), ("251", "b", "Singapore", "l"), ("252", "c", "Singapore", "l")])
+    scoped = market.scan_statements(raw, exchanges=exchanges)
+    assert {(r.exchg, r.assets) for r in scoped.collect()} == {("106", 1.0), ("252", 3.0)}
+    for country, assets in (("Australia", 1.0), ("Singapore", 3.0)):
+        kept = market.in_country(scoped, exchanges, country).collect()
+        alone = market.scan_statements(market.in_country(raw, exchanges, country)).collect()
+        assert [r.assets for r in kept] == [r.assets for r in alone] == [assets]
+    assert [r.assets for r in market.scan_statements(raw).collect()] == [4.0]
+
+
+def test_rows_of_one_day_have_a_fixed_order(spark):
+    rows = [("X", "1", "2001-01-02", float(k)) for k in range(50)]
+    df = spark.createDataFrame(rows, "isin string, exchg string, datadate string, p double")
+    df = df.withColumn("datadate", F.to_date("datadate"))
+    from factorloom.operators import series
+    picked = {series.month_anchor(df.repartition(k), "p").first().anchor_price for k in (1, 3, 7)}
+    assert len(picked) == 1
+
+
+def test_an_existing_panel_is_not_replaced_unasked(spark, tmp_path):
+    panel = spark.range(100).withColumn("year", F.lit(2000))
+    files.write_panel(panel, str(tmp_path / "panel"), rows_per_file=10)
+    assert spark.read.parquet(str(tmp_path / "panel")).count() == 100
+    with pytest.raises(Exception, match="exists"):
+        files.write_panel(panel, str(tmp_path / "panel"))
+
+
+def test_fields_of_another_type_are_counted(spark):
+    text = spark.createDataFrame([("1", "a"), ("x", "b"), (" ", None), (None, "c")], "n string, s string")
+    row = files.failed_casts(text, schema._struct("n:l s:s")).first()
+    assert (row.n, row.s) == (1, 0)
+
+
+class _Cluster:
+    """A session's settings as a cluster has them."""
+
+    def __init__(self, spark, folder, file_system="file:///"):
+        self.conf, self.sparkContext, self.master, self._folder = self, self, "spark://host:7077", folder
+        self._jsc, self._file_system = self, file_system
+
+    def get(self, key, default=None):
+        return {"spark.checkpoint.dir": self._folder, "fs.defaultFS": self._file_system}.get(key, default)
+
+    def getConf(self):
+        return self
+
+    def getCheckpointDir(self):
+        return None
+
+    def hadoopConfiguration(self):
+        return self
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    for folder in (None, "/tmp/own"):
+        with pytest.raises(RuntimeError):
+            session.shared_folder(_Cluster(spark, folder))
+    assert session.shared_folder(_Cluster(spark, "file:///mnt/shared")) == "file:///mnt/shared"
+    assert session.shared_folder(_Cluster(spark, "/shared", "hdfs://name")) == "/shared"
+
+
+def test_own_tables_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    session.materialize(spark.range(3), "gone")
+    folder = pathlib.Path(session.shared_folder(spark).removeprefix("file://"))
+    assert len(list(folder.glob("gone-*"))) == 1
+    assert session.drop_tables(spark) == 1 and not list(folder.glob("gone-*"))
