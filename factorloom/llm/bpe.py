@@ -26,10 +26,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from factorloom.llm import pretokens
-from factorloom.llm.frames import fresh, slices
+from factorloom.llm.frames import beside, named, slices
 
 STEPS = 32
 ROWS = 150_000            # token rows of a recursive query
@@ -142,11 +141,12 @@ def decode_lists(path: str, lists: list[np.ndarray]) -> list[bytes]:
     doc = np.repeat(np.arange(len(lists), dtype=np.int32), size)
     pos = (np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
     con.register("id_rows", pa.table({"doc": doc, "pos": pos, "id": ids}))
-    out = [b""] * len(lists)
+    out, known = [b""] * len(lists), 0
     for row, code, n in con.execute(_DECODE).fetchall():
-        if n != size[row]:
-            raise ValueError("an id is not in the vocabulary")
         out[row] = bytes.fromhex(code)
+        known += n
+    if known != len(ids):
+        raise ValueError("an id is not in the vocabulary")
     return out
 
 
@@ -168,7 +168,7 @@ def _encoded(path: str):
             ends = np.concatenate(([0], np.cumsum(counts)))
             take = np.arange(int(ends[-1])) - np.repeat(ends[:-1], counts) + np.repeat(low[which], counts)
             lists = pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(flat[take]))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], [*part.schema.names[1:], "ids_"])
+            yield named(part, lists)
     return run
 
 
@@ -184,27 +184,16 @@ def _decoded(path: str):
                 base = ends[low - 1] if low else 0
                 high = max(low + 1, int(np.searchsorted(ends, base + TOKENS, "right")))
                 found = pa.array(decode_lists(path, lists[low:high]), pa.binary())
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "bytes_"])
+                yield named(batch.slice(low, high - low), found)
                 low = high
     return run
 
 
-def _layout(df: DataFrame) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
-
-
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` without its text, with the ids of each."""
-    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c != text])
-    ready = df.select(F.coalesce(F.col(text), F.lit("")).alias("body_"), *[F.col(f"`{c}`") for c in rest.columns])
-    out = ready.mapInArrow(_encoded(os.fspath(vocabulary)), f"{_layout(rest)}ids_ array<int>")
-    return out.withColumnRenamed("ids_", fresh(rest, ids))
+    return beside(df, text, _encoded(os.fspath(vocabulary)), {ids: "array<int>"})
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes that its ids stand for."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != ids]
-    ready = df.select(F.col(ids), *rest)
-    out = ready.mapInArrow(_decoded(os.fspath(vocabulary)), f"{_layout(ready)}bytes_ binary")
-    return out.withColumnRenamed("bytes_", fresh(df, decoded))
+    return beside(df, ids, _decoded(os.fspath(vocabulary)), {decoded: "binary"}, keep=True)

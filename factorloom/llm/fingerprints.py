@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm import hashing
-from factorloom.llm.frames import slices
+from factorloom.llm.frames import beside, named, slices
 
 K = 128
 
@@ -55,18 +55,13 @@ def text_form(sketch: np.ndarray) -> str:
 def _sketched(k: int):
     def run(batches):
         for part in slices(batches, 0, 2 << 20):
-            found = pa.array(bottom(part.column(0), k), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], found], [*part.schema.names[1:], "sketch_"])
+            yield named(part, pa.array(bottom(part.column(0), k), pa.list_(pa.int64())))
     return run
 
 
 def sketches(df: DataFrame, text: str = "text", k: int = K, sketch: str = "sketch") -> DataFrame:
     """``df`` without its text, with the sketch of each."""
-    rest = [c for c in df.columns if c != text]
-    ready = df.select(F.col(text).alias("body_"), *[F.col(f"`{c}`") for c in rest])
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ready.schema.fields[1:])
-    out = ready.mapInArrow(_sketched(k), f"{schema}sketch_ array<bigint>")
-    return out.withColumnRenamed("sketch_", sketch)
+    return beside(df, text, _sketched(k), {sketch: "array<bigint>"})
 
 
 def merge(df: DataFrame, by: str, sketch: str = "sketch", k: int = K) -> DataFrame:

@@ -21,6 +21,36 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def beside(df: DataFrame, first: str, run, added: dict[str, str], keep: bool = False) -> DataFrame:
+    """``df`` with columns that ``run`` makes from column ``first``, which stays if ``keep``.
+
+    ``run`` gets Arrow batches with ``first`` as first column and the others after it, and
+    yields the others and the new ones, named as ``named`` does.  Columns have internal
+    names on the way, so they may have any; a new one whose name is taken gets another.
+    """
+    rest = [c for c in df.columns if keep or c != first]
+    ready = df.select(F.col(quoted(first)).alias("f"),
+                      *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(rest)])
+    kinds = [f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(rest)]
+    kinds += [f"a{k} {kind}" for k, kind in enumerate(added.values())]
+    out = ready.mapInArrow(run, ", ".join(kinds))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(rest)],
+                      *[F.col(f"a{k}").alias(fresh(df.select(*map(quoted, rest)) if rest else df.select(), name))
+                        for k, name in enumerate(added)])
+
+
+def named(part, *new):
+    """A batch of the columns of ``part`` but the first, and the new ones."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([*part.columns[1:], *new],
+                                      [*part.schema.names[1:], *[f"a{k}" for k in range(len(new))]])
+
+
 def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which of the links join two parts that earlier links have not joined."""
     parent: dict[int, int] = {}

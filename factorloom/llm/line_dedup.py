@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.frames import fresh
+from factorloom.llm.frames import fresh, quoted
 from factorloom.session import materialize
 
 MAX_RATIO = 0.2
@@ -97,9 +97,9 @@ def drop_boilerplate(pages: DataFrame, host: str | Column, text: str, max_ratio:
     whole = lines(F.col(text))
     left = F.filter(whole, lambda x: ~F.array_contains(F.col(keys), F.xxhash64(F.trim(x))))
     marked = joined.select(
-        *[F.col(f"`{c}`") for c in pages.columns if c not in (text, site)],
+        *[F.col(quoted(c)) for c in pages.columns if c not in (text, site)],
         F.when(F.col(keys).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text),
         F.when(F.col(keys).isNull() | F.col(text).isNull(), F.lit(0))
         .otherwise(F.size(whole) - F.size(left)).alias(removed))
     names = [c for c in pages.columns if c != site]
-    return marked.select(*[F.col(f"`{c}`") for c in names], removed)
+    return marked.select(*map(quoted, names), removed)

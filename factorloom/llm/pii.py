@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.frames import fresh
+from factorloom.llm.frames import fresh, quoted
 from factorloom.session import materialize
 
 # Titles and common given names by gender, syllables by script.
@@ -273,5 +273,5 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates", row_key:
     joined = F.array_join(F.zip_with(gaps, F.col(shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = keyed.join(by_text, [one, two], "left")
     return out.select(*[(F.when(F.col(shown).isNull(), body).otherwise(joined).alias(text)
-                         if c == text else F.col(f"`{c}`")) for c in df.columns],
+                         if c == text else F.col(quoted(c))) for c in df.columns],
                       F.coalesce(F.col(counted), F.lit(0)).alias(counted))

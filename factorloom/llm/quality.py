@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm import hashing
-from factorloom.llm.frames import fresh, slices
+from factorloom.llm.frames import beside, fresh, named, quoted, slices
 from factorloom.session import materialize
 
 PLACES = 1 << 16
@@ -95,25 +95,18 @@ def _means(ratios: np.ndarray):
             places, text_of = grams(part.column(0))
             n = np.bincount(text_of, minlength=part.num_rows)
             total = np.bincount(text_of, ratios[places], minlength=part.num_rows)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*part.columns, mean], [*part.schema.names, "mean_"])
+            yield named(part, pa.array(total / np.maximum(n, 1), mask=n == 0))
     return run
 
 
 def score(df: DataFrame, ratios: np.ndarray, text: str = "text", key: str = "doc_id", ratio: str = "log_ratio",
           order: str = "sample_key", keep_text: bool = False) -> DataFrame:
     """``df`` with the mean log ratio and the sum of log weight and Gumbel noise."""
-    ratio, order = fresh(df, ratio), fresh(df, order)
-    noise = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(key), F.col(text)), 11) + F.lit(0.5)) / F.lit(2.0 ** 53)
-    rest = [c for c in df.columns if c != text]
-    ready = df.select(F.col(text).alias("body_"), *[F.col(f"`{c}`") for c in rest],
-                      (-F.log(-F.log(noise))).alias("noise_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields)
-    out = ready.mapInArrow(_means(ratios), f"{schema}, mean_ double")
-    body = [F.col("body_").alias(text) if c == text else F.col(f"`{c}`")
-            for c in df.columns if keep_text or c != text]
-    return out.select(*body, F.col("mean_").alias(ratio),
-                      (F.col("mean_") * LENGTH + F.col("noise_")).alias(order))
+    ratio, order, noise = fresh(df, ratio), fresh(df, order), fresh(df, "noise")
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(key), F.col(text)), 11)
+    uniform = (share + F.lit(0.5)) / F.lit(2.0 ** 53)
+    out = beside(df.withColumn(noise, -F.log(-F.log(uniform))), text, _means(ratios), {ratio: "double"}, keep_text)
+    return out.withColumn(order, F.col(ratio) * LENGTH + F.col(noise)).drop(noise)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
@@ -171,4 +164,4 @@ def sampled(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     limit = threshold(weights, k)
     whole = score(df, ratios, text, key, keep_text=True)
     order = whole.columns[-1]
-    return whole.where(F.col(order) >= F.lit(limit)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return whole.where(F.col(order) >= F.lit(limit)).select(*map(quoted, df.columns))

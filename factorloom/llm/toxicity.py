@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm import hashing
-from factorloom.llm.frames import fresh, slices
+from factorloom.llm.frames import beside, named, slices
 from factorloom.session import materialize
 
 MAX_LABELLED = 20_000
@@ -237,8 +237,7 @@ def _scored(places: np.ndarray, weights: np.ndarray, bias: float, threshold: flo
             spans = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(
                 [pa.array(low.astype(np.int64)), pa.array(high.astype(np.int64)), pa.array(p[bad])],
                 ["start", "end", "score"]))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score), spans],
-                                             [*part.schema.names[1:], "score_", "spans_"])
+            yield named(part, pa.array(score), spans)
     return run
 
 
@@ -246,12 +245,5 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str
           score: str = "score", spans: str = "offending", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` without its text, with the score of each text and its offending sentences
     (``start`` and ``end`` in characters of the lower-cased text, ``score``)."""
-    rest = [c for c in df.columns if c != text]
-    score, spans = fresh(df, score), fresh(df, spans)
-    ready = df.select(F.col(text).alias("body_"), *[F.col(f"`{c}`") for c in rest])
-    fields = [f.simpleString().split(":", 1) for f in df.select(*[F.col(f"`{c}`") for c in rest]).schema.fields]
-    schema = ", ".join(f"`{n}` {t}" for n, t in fields)
-    schema = f"{schema}, " if schema else ""
-    out = ready.mapInArrow(_scored(*model, threshold),
-                           f"{schema}score_ double, spans_ array<struct<start:bigint,end:bigint,score:double>>")
-    return out.withColumnsRenamed({"score_": score, "spans_": spans})
+    kinds = {score: "double", spans: "array<struct<start:bigint,end:bigint,score:double>>"}
+    return beside(df, text, _scored(*model, threshold), kinds)
