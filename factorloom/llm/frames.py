@@ -75,8 +75,9 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     Alternates large and small stars until the links no longer change: each round hangs
     every neighbour of a node on the smallest one, so the depth halves.  Rounds are
-    written to the shared folder; the driver sees a count and a checksum.  Both joins are
-    plain joins on the node, which the planner can split where a node has many links.
+    written to the shared folder; the driver sees a count and a checksum.  The smallest
+    neighbours are written, too: both sides of each join on the node are then shuffled
+    scans, which adaptive execution can split where one node holds many links.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
     edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -84,11 +85,12 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     seen = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"))
+                            .select("u", F.least("u", "m").alias("m")), "links")
         large = (both.where("v > u").join(least, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
         large = materialize(large.where("u <> v").distinct(), "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "links")
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
