@@ -24,13 +24,14 @@ MAX_RATIO = 0.2
 MIN_PAGES = 5
 
 # The parts of a page that show nothing, block tags, common entities.
-HIDDEN = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-          r"|<title\b[^>]*>.*?</title\s*>")
+HIDDEN = (r"(?is)<(?:!--.*?--|script\b[^>]*>.*?</script\s*|style\b[^>]*>.*?</style\s*"
+          r"|title\b[^>]*>.*?</title\s*)>")
 BLOCK = (r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|"
          r"html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul|!doctype)\b[^>]*>")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-BLANKS = r"\s*[\t\n\r\f]\s*|  +"  # leaves single spaces alone, most of all there are
+BLANKS = r"[\t\n\r\f]+"
+GAPS = r"\n[ \n]*"
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -46,14 +47,16 @@ def url_host(url: Column) -> Column:
 
 def html_lines(html: Column) -> Column:
     """The visible text of a page, a line for each block: scripts, styles, titles and
-    comments go, block tags break lines, other tags vanish, common entities are decoded."""
+    comments go, line ends of the source become spaces, block tags break lines, other tags
+    vanish, common entities are decoded.  The patterns begin with a plain character, so
+    that most of a page is passed over quickly."""
     out = F.regexp_replace(html, HIDDEN, " ")
     out = F.regexp_replace(out, BLANKS, " ")
     out = F.regexp_replace(out, BLOCK, "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
     for entity, plain in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(out, r"[ \t]*\n\s*", "\n"), F.lit("\n "))
+    return F.trim(F.regexp_replace(out, GAPS, "\n"), F.lit("\n "))
 
 
 def line_ratios(pages: DataFrame, host: str, text: str) -> DataFrame:

@@ -85,7 +85,7 @@ def _html_sql(column: str) -> str:
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
     for entity, plain in line_dedup.ENTITIES:
         out = f"replace({out}, {_sql(entity)}, {_sql(plain)})"
-    return f"trim(regexp_replace({out}, '[ \\t]*\\n\\s*', chr(10), 'g'), chr(10) || ' ')"
+    return f"trim(regexp_replace({out}, {_sql(line_dedup.GAPS)}, chr(10), 'g'), chr(10) || ' ')"
 
 
 _OP10 = f"""
