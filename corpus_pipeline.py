@@ -29,8 +29,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that a large share of a source's documents contain; the source is the host."""
-    return _documents(line_dedup.drop_boilerplate(docs, "source", "text"))
+    """Drops lines that many otherwise different documents of a source contain; the source is the host."""
+    return _documents(line_dedup.drop_boilerplate(docs, "source", "text", documents=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,12 @@ Lines are compared without surrounding spaces; a page counts once for a line how
 often it repeats it.  Repeated rows are pages of their own.  A line is boilerplate only
 where it is on ``min_pages`` pages of the host, so that sites of a page or two, on which
 every ratio is high, lose nothing.
+
+Documents of a source are no pages of a host: what repeats among them is on few of a great
+many, and whole documents are copied.  For them (``documents``) a line goes as well from
+``DOCUMENT_RATIO`` on, if it is on ``DOCUMENT_PAGES`` documents that differ elsewhere: the
+documents with the line must have at least ``DOCUMENT_SPREAD`` times as many different
+marks (the smallest key of their other lines), which copies do not have.
 """
 
 from __future__ import annotations
@@ -22,6 +28,9 @@ from factorloom.session import materialize
 
 MAX_RATIO = 0.2
 MIN_PAGES = 5
+DOCUMENT_RATIO = 0.005
+DOCUMENT_PAGES = 20
+DOCUMENT_SPREAD = 0.5
 
 # The parts of a page that show nothing, block tags, common entities.
 HIDDEN = (r"(?is)<(?:!--.*?--|script\b[^>]*>.*?</script\s*|style\b[^>]*>.*?</style\s*"
@@ -59,33 +68,65 @@ def html_lines(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, GAPS, "\n"), F.lit("\n "))
 
 
+def _keyed(pages: DataFrame, host: str, text: str) -> DataFrame:
+    """``host`` and ``keys``, those of a page's different lines that are not blank."""
+    keys = F.transform(F.filter(F.transform(lines(F.col(text)), lambda x: F.trim(x)),
+                                lambda x: x != ""), lambda x: F.xxhash64(x))
+    return pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.array_distinct(keys).alias("keys"))
+
+
 def line_ratios(pages: DataFrame, host: str, text: str) -> DataFrame:
     """``host``, ``line_key``, ``line_pages``, ``host_pages`` and ``ratio`` of all lines that
     are not blank.  Only keys travel; counts are combined before the shuffle."""
-    keys = F.transform(F.filter(F.transform(lines(F.col(text)), lambda x: F.trim(x)),
-                                lambda x: x != ""), lambda x: F.xxhash64(x))
-    rows = pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text))
-    counted = (rows.select("host", F.explode(F.array_distinct(keys)).alias("line_key"))
+    rows = _keyed(pages, host, text)
+    counted = (rows.select("host", F.explode("keys").alias("line_key"))
                .groupBy("host", "line_key").agg(F.count("*").alias("line_pages")))
     totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     return (counted.join(totals, "host")
             .withColumn("ratio", F.col("line_pages") / F.col("host_pages")))
 
 
+def scattered(pages: DataFrame, host: str, text: str, ratios: DataFrame) -> DataFrame:
+    """``host`` and ``line_key`` of the lines in ``ratios`` whose documents differ elsewhere.
+
+    The mark of a document beside a line is the smallest key of its other lines; copies,
+    also slightly edited ones, mostly share it.  Only lines in ``ratios`` are counted.
+    """
+    least = _keyed(pages, host, text).select("host", "keys", F.array_min("keys").alias("first"))
+    least = least.withColumn("second", F.array_min(F.array_remove("keys", F.col("first"))))
+    marks = least.select("host", "first", "second", F.explode("keys").alias("line_key")).select(
+        "host", "line_key", F.when(F.col("line_key") == F.col("first"), F.col("second"))
+        .otherwise(F.col("first")).alias("mark"))
+    counted = marks.join(ratios.select("host", "line_key"), ["host", "line_key"], "left_semi").groupBy(
+        "host", "line_key").agg(F.count_distinct("mark").alias("marks"))
+    return ratios.join(counted, ["host", "line_key"]).where(
+        (F.col("marks") >= DOCUMENT_PAGES) & (F.col("marks") > DOCUMENT_RATIO * F.col("host_pages"))
+        & (F.col("marks") >= DOCUMENT_SPREAD * F.col("line_pages"))).select("host", "line_key")
+
+
 def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO,
-                min_pages: int = MIN_PAGES) -> DataFrame:
+                min_pages: int = MIN_PAGES, documents: bool = False) -> DataFrame:
     """``host`` and ``line_keys``: the keys of its boilerplate lines.
 
     A host has at most (mean lines of a page) / ``max_ratio`` of them, whatever its size,
-    so the array is bounded by the length of pages and not by their number.
+    so the array is bounded by the length of pages and not by their number; the same holds
+    of ``documents`` and ``DOCUMENT_RATIO``.
     """
-    return (line_ratios(pages, host, text)
-            .where((F.col("ratio") > max_ratio) & (F.col("line_pages") >= min_pages))
-            .groupBy("host").agg(F.sort_array(F.collect_set("line_key")).alias("line_keys")))
+    ratios = line_ratios(pages, host, text)
+    common = (F.col("ratio") > max_ratio) & (F.col("line_pages") >= min_pages)
+    if documents:
+        many = (F.col("ratio") > DOCUMENT_RATIO) & (F.col("line_pages") >= DOCUMENT_PAGES)
+        ratios = materialize(ratios.where(common | many), "line_ratios")
+        found = ratios.where(common).select("host", "line_key").union(
+            scattered(pages, host, text, ratios.where(many)))
+    else:
+        found = ratios.where(common)
+    return found.groupBy("host").agg(F.sort_array(F.collect_set("line_key")).alias("line_keys"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str | Column, text: str, max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES, removed: str = "lines_removed") -> DataFrame:
+                     min_pages: int = MIN_PAGES, removed: str = "lines_removed",
+                     documents: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines cut from ``text``, and their number in ``removed``.
 
     The keys are written first, so the planner broadcasts them only when they are small
@@ -94,7 +135,7 @@ def drop_boilerplate(pages: DataFrame, host: str | Column, text: str, max_ratio:
     """
     site, keys, removed = fresh(pages, "site"), fresh(pages, "line_keys"), fresh(pages, removed)
     pages = pages.withColumn(site, host if isinstance(host, Column) else F.col(host))
-    found = materialize(boilerplate(pages, site, text, max_ratio, min_pages), "boilerplate")
+    found = materialize(boilerplate(pages, site, text, max_ratio, min_pages, documents), "boilerplate")
     found = found.select(F.col("host").alias(site), F.col("line_keys").alias(keys))
     joined = pages.join(found, site, "left")
     whole = lines(F.col(text))

@@ -395,6 +395,25 @@ def test_pipeline_stage_by_stage(spark, documents, tmp_path):
     assert max(r.n for r in lengths) <= packing.CAPACITY
 
 
+def test_planted_lines_leave_the_documents_and_clean_ones_stay(spark):
+    """Two lines on 4 and 1 % of a source's documents go; rarer lines and those of copies stay."""
+    def own(k, n=6):
+        return [f"own line {i} of text {k}" for i in range(n)]
+    rows = []
+    for k in range(3000):
+        lines = own(k)
+        lines[3:3] = ["planted often"] * (k % 25 == 0) + ["planted now and then", "and its second line"] * (k % 100 == 7)
+        lines += ["seen rarely"] * (k % 300 == 1)
+        rows.append((k, lines))
+    rows += [(3000 + k, own("copied", 9)) for k in range(60)]  # copies, and copies with an own line
+    rows += [(3100 + k, [*own("edited", 9), f"edit {k}"]) for k in range(60)]
+    docs = spark.createDataFrame([(k, "\n".join(x), "en", "s", 1) for k, x in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.site_lines(spark, docs, SMALL).collect()}
+    planted = {"planted often", "planted now and then", "and its second line"}
+    assert found == {k: [x for x in lines if x not in planted] for k, lines in rows}
+
+
 def test_pipeline_of_odd_documents(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "A fine text of words.", None, None, 21),
             (3, "A fine text of words.", None, None, 21), (None, "A text without id, of words.", "en", "s", 5),
