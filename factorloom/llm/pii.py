@@ -6,7 +6,8 @@ entities never share one, and no replacement is itself an entity of the input.
 functions only.
 
 Kinds: email, phone, ip, card (13 to 19 digits that pass the Luhn check and begin with 2 to 6;
-other long numbers stay), ssn, iban, hex (keys and tokens of 32 and
+in a run of numbers each card layout is tested on its own, so a date, a security code or
+another number beside a card stays; other long numbers stay), ssn, iban, hex (keys and tokens of 32 and
 more hexadecimal digits), and the words of a person's name after a title or a known given
 name (given name by gender, surname).  A card number or IBAN that passes its checksum gets
 one that passes too.  Case and separators of each place are kept; private address ranges,
@@ -50,6 +51,9 @@ ENDINGS = {("latin", "given_m"): ["n", "s", "rt", "k"], ("latin", "given_f"): ["
 _NAME = r"\p{Lu}\p{Ll}{1,30}"
 _ALL_TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# A run of numbers ends before what another kind takes.
+_STOP = (rf"(?!(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}(?![\d.\-])"
+         r"|\d{3}-\d{2}-\d{4}(?![\d\-]))")
 _PARTS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -58,11 +62,12 @@ _PARTS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
              r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d.\-])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}+(?![\w])",
+    "card": rf"(?<![\w.\-])(?=\d(?:[ \-]?\d){{12}})\d++(?!\w)(?:[ \-]{_STOP}\d++(?!\w))*+",
     "person": rf"\b(?:{'|'.join(_ALL_TITLES)})\b\.? {_NAME}(?: {_NAME})?"
               rf"|\b(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_NAME}",
 }
 _PATTERN = "|".join(f"(?:{p})" for p in _PARTS.values())
+CARD_LAYOUT = r"^(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4} \d{6} \d{4,5})$"
 MAX_ROUNDS = 24
 
 
@@ -76,7 +81,11 @@ def _kind(surface: Column) -> Column:
     digits = F.regexp_replace(surface, r"\D", "")
     tests = [F.when(surface.rlike(f"^(?:{p})$"), k) for k, p in _PARTS.items() if k != "person"]
     kind = F.coalesce(*tests, F.lit("person"))
-    return F.when((kind != "card") | (digits.rlike("^[2-6]") & (_luhn(digits) == 0)), kind)
+    return F.when((kind != "card") | _is_card(digits), kind)
+
+
+def _is_card(digits: Column) -> Column:
+    return digits.rlike(r"^[2-6]\d{12,18}$") & (_luhn(digits) == 0)
 
 
 def _chars(value: Column) -> Column:
@@ -199,7 +208,8 @@ def _written(kind: Column, surface: Column, value: Column) -> Column:
 
 
 def _parts(surface: Column) -> Column:
-    """The parts of a match: what is kept has no kind, a name is one part for each word."""
+    """The parts of a match: what is kept has no kind, a name is one part for each word, a run
+    of numbers is divided into its cards and what lies between."""
     kind = _kind(surface)
     tokens = F.split(surface, " ")
     title = F.regexp_replace(tokens[0], r"\.$", "")
@@ -213,8 +223,49 @@ def _parts(surface: Column) -> Column:
                 .otherwise("surname"))
         return F.struct(role.alias("kind"), token.alias("surface"))
 
-    return F.when(kind.eqNullSafe("person"), F.transform(tokens, word)).otherwise(
-        F.array(F.struct(kind.alias("kind"), surface.alias("surface"))))
+    return (F.when(kind.eqNullSafe("person"), F.transform(tokens, word))
+            .when(surface.rlike(r"^\d+(?:[ \-]\d+)+$") & surface.rlike(f"^(?:{_PARTS['card']})$")
+                  & (F.size(_cards(surface)) > 0), _divided(surface))
+            .otherwise(F.array(F.struct(kind.alias("kind"), surface.alias("surface")))))
+
+
+def _cards(surface: Column) -> Column:
+    """``at`` and ``n`` (place and count of numbers) of the cards in a run of numbers, from left to
+    right: the longest layout that passes the Luhn check at the first number where one does."""
+    numbers = F.split(surface, r"[ \-]")
+
+    def longest(i: Column) -> Column:
+        tests = []
+        for n in (5, 4, 3, 1):
+            part = F.slice(numbers, i + 1, F.lit(n))
+            tests.append(F.when((F.size(part) == n) & F.array_join(part, " ").rlike(CARD_LAYOUT)
+                                & _is_card(F.array_join(part, "")), n))
+        return F.struct(i.alias("at"), F.coalesce(*tests, F.lit(0)).alias("n"))
+
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.size(numbers) - 1), longest), lambda x: x["n"] > 0)
+    return F.aggregate(found, F.filter(found, lambda x: F.lit(False)), lambda kept, x: F.when(
+        (F.size(kept) > 0) & (F.get(kept, F.size(kept) - 1)["at"] + F.get(kept, F.size(kept) - 1)["n"] > x["at"]), kept)
+        .otherwise(F.concat(kept, F.array(x))))
+
+
+def _divided(surface: Column) -> Column:
+    pieces = F.regexp_extract_all(surface, F.lit(r"\d+|[ \-]"), F.lit(0))  # numbers at even places
+    cards = _cards(surface)
+
+    def text(begin: Column, end: Column) -> Column:
+        return F.array_join(F.slice(pieces, begin + 1, end - begin), "")
+
+    def end(card: Column) -> Column:
+        return (card["at"] + card["n"]) * 2 - 1
+
+    def part(kind: Column, begin: Column, stop: Column) -> Column:
+        return F.struct(kind.cast("string").alias("kind"), text(begin, stop).alias("surface"))
+
+    both = F.transform(cards, lambda x, k: F.array(
+        part(F.lit(None), F.coalesce(end(F.get(cards, k - 1)), F.lit(0)), x["at"] * 2),
+        part(F.lit("card"), x["at"] * 2, end(x))))
+    rest = part(F.lit(None), end(F.element_at(cards, -1)), F.size(pieces))
+    return F.filter(F.concat(F.flatten(both), F.array(rest)), lambda x: x["surface"] != "")
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -263,8 +314,11 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates", row_key:
               .withColumn("shown", F.coalesce(_written(F.col("kind"), F.col("surface"), F.col("surrogate")),
                                               F.col("surface")))
               .groupBy("k1", "k2", "place").agg(F.sort_array(F.collect_list(F.struct("part", "shown"))).alias("parts"),
-                                                F.max(F.col("kind").isNotNull().cast("int")).alias("real"))
-              .select("k1", "k2", "place", F.array_join(F.col("parts.shown"), " ").alias("shown"), "real"))
+                                                F.greatest(F.max(F.col("kind").isNotNull().cast("int")),
+                                                           F.count_if(F.col("kind") == "card").cast("int")).alias("real"),
+                                                F.max(F.col("kind").rlike("^(given|surname)")).alias("name"))
+              .select("k1", "k2", "place", F.when(F.col("name"), F.array_join(F.col("parts.shown"), " ")).otherwise(
+                  F.array_join(F.col("parts.shown"), "")).alias("shown"), "real"))
     shown = fresh(df, "shown")
     by_text = (filled.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("place", "shown"))).alias("rows"),
                                             F.sum("real").cast("int").alias(counted))

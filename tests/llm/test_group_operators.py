@@ -274,6 +274,26 @@ def test_collisions_are_resolved(spark, monkeypatch):
     monkeypatch.setattr(pii, "_surrogate", real)
 
 
+def test_cards_beside_other_numbers_are_replaced(spark):
+    """An expiry date, a security code and numbers before a card stay and do not hide it."""
+    card, other = "4111111111111111", "378282246310005"
+    texts = ["Card 4111 1111 1111 1111 12/27", f"{card} 123", f"on 12 {card}", f"2027 4111-1111-1111-1111 {other}.",
+             "3782 822463 10005 1234 or 4111 1111 1111 1111 2nd", f"no 9870157079875996 12, {card} 10.1.2.3",
+             f"{card} 123-45-6789", "1 2 3 4 5 6 7 8 9 10 11 12 13 14"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(df).collect()}
+    new = re.search(r"\d{16}", out[1].text)[0]
+    also = re.search(r"(\d{15})\.", out[3].text)[1]
+    assert luhn(new) and luhn(also) and new != card and also != other
+    spaced, hyphened = (sep.join(new[k:k + 4] for k in (0, 4, 8, 12)) for sep in " -")
+    assert out[0].text == f"Card {spaced} 12/27" and out[1].text == f"{new} 123" and out[2].text == f"on 12 {new}"
+    assert out[3].text == f"2027 {hyphened} {also}."
+    assert out[4].text == f"{also[:4]} {also[4:10]} {also[10:]} 1234 or {spaced} 2nd"
+    assert re.fullmatch(rf"no 9870157079875996 12, {new} 10\.\d+\.\d+\.\d+", out[5].text) and "10.1.2.3" not in out[5].text
+    assert out[6].text.startswith(new) and "123-45-6789" not in out[6].text and out[7].text == texts[7]
+    assert [out[k].n_entities for k in range(8)] == [1, 1, 1, 2, 2, 2, 2, 0]
+
+
 def test_surrogates_over_the_documents(spark, documents):
     out = queries.op7_pii_surrogates(spark, SMALL).join(
         documents.select("doc_id", F.col("text").alias("before")), "doc_id")
