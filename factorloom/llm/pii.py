@@ -12,6 +12,8 @@ more hexadecimal digits), and the words of a person's name after a title or a kn
 name (given name by gender, surname).  A card number or IBAN that passes its checksum gets
 one that passes too.  Case and separators of each place are kept; private address ranges,
 reserved ``example`` domains, country codes and the fictional 555 exchange stay as such.
+From turn ``WIDE`` on, where a format has too few free values, replacements of e-mails, names
+and phones get longer and private addresses move to other reserved ranges.
 
 Undefined cases: null stays null and empty stays empty; a text of any length is replaced
 as a whole; repeated rows get equal results.  Overlapping readings of one place are taken
@@ -69,6 +71,7 @@ _PARTS = {
 _PATTERN = "|".join(f"(?:{p})" for p in _PARTS.values())
 CARD_LAYOUT = r"^(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4} \d{6} \d{4,5})$"
 MAX_ROUNDS = 24
+WIDE = 5
 
 
 def find(text: Column) -> Column:
@@ -149,27 +152,34 @@ def _canonical(kind: Column, surface: Column) -> Column:
 def _surrogate(kind: Column, value: Column, turn: Column, key: str) -> Column:
     """The canonical form of the replacement that ``value`` gets in a turn."""
     digest = _digest(key, kind, value, turn)
+    longer = F.greatest(turn - WIDE + 1, F.lit(0))
+    extra = F.substring(digest, F.lit(201), longer)
+    letters = F.translate(extra, "0123456789", "ghijklmnop")
+    cyrillic = F.translate(extra, "0123456789abcdef", "абвгдежзиклмнопр")
     swapped = _swapped(value, digest)
     local = F.substring_index(swapped, "@", 1)
     host = F.substring_index(value, "@", -1)
     reserved = F.regexp_extract(host, r"(?:^|\.)(example\.(?:com|org|net)|[^.]+\.example|example)$", 1)
     site = _swapped(F.when(reserved != "", F.expr("''")).otherwise(F.substring_index(host, ".", 1)), digest)
     prefix = F.substring(host, F.lit(1), F.length(host) - F.length(reserved))
-    email = F.concat(local, F.lit("@"), F.when(reserved != "", F.concat(
+    email = F.concat(local, letters, F.lit("@"), F.when(reserved != "", F.concat(
         _swapped(prefix, F.reverse(digest)), reserved)).otherwise(F.concat(site, F.lit(".example"))))
     octets = [_number(digest, F.lit(k)) for k in range(4)]
     private = F.regexp_extract(value, r"^(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
     parts = [(octets[0] % 223 + 1), octets[1], octets[2], octets[3] % 254 + 1]
     address = F.concat_ws(".", *[p.cast("string") for p in parts])
     kept = F.size(F.split(private, r"\.")) - 1
-    address = F.when(private == "", address).otherwise(F.concat(
+    other = F.when(turn < (WIDE + MAX_ROUNDS) // 2, F.lit("10")).otherwise((octets[0] % 16 + 240).cast("string"))
+    address = F.when(private == "", address).when(turn >= WIDE, F.concat_ws(
+        ".", other, *[p.cast("string") for p in parts[1:]])).otherwise(F.concat(
         private, F.array_join(F.slice(F.split(address, r"\."), kept + 1, F.lit(4) - kept), ".")))
     code = F.regexp_extract(value, r"^(\+(?:[17]|\d{2}))", 1)
     national = F.substring(swapped, F.length(code) + 1, F.length(swapped))
     real = F.substring(value, F.length(code) + 1, F.length(value))
     fictional = (F.substring(real, 4, 3) == "555") & (F.length(real) == 10) & (turn < 4)
     phone = F.concat(code, F.when(fictional, F.concat(
-        F.substring(national, 1, 3), F.lit("555"), F.substring(national, 7, 4))).otherwise(national))
+        F.substring(national, 1, 3), F.lit("555"), F.substring(national, 7, 4))).otherwise(national),
+        F.translate(extra, "abcdef", "012345"))
     stem = F.concat(F.substring(value, 1, 1), F.substring(swapped, F.lit(2), F.length(swapped) - 2))
     check = F.pmod(F.lit(10) - _luhn(F.concat(stem, F.lit("0"))), F.lit(10)).cast("string")
     card = F.concat(stem, check)
@@ -184,6 +194,7 @@ def _surrogate(kind: Column, value: Column, turn: Column, key: str) -> Column:
                                _number(digest, F.lit(7)))).otherwise(""),
         F.when(turn > 3, _pick(CYRILLIC_SYLLABLES if script == "cyrillic" else LATIN_SYLLABLES,
                                _number(digest, F.lit(8)))).otherwise(""),
+        cyrillic if script == "cyrillic" else letters,
         _pick(ends, _number(digest, F.lit(9)))))
         for (script, k), ends in ENDINGS.items()]
     return (F.when(kind == "email", email).when(kind == "ip", address).when(kind == "phone", phone)
@@ -200,6 +211,8 @@ def _written(kind: Column, surface: Column, value: Column) -> Column:
         F.regexp_replace(c, mark, F.lit("")) == "", c).otherwise(F.substring(
             bare, F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), mark, F.lit(""))),
             F.lit(1)))), "")
+    filled = F.when(kind == "phone", F.concat(filled, F.substring(  # a longer number goes on after the last place
+        bare, F.length(F.regexp_replace(surface, r"\D", "")) + 1, F.length(bare)))).otherwise(filled)
     shown = F.when(kind.isin("phone", "card", "ssn", "iban"), filled).otherwise(value)
     return (F.when(kind.rlike("^(given|surname)"), F.when(
         (F.length(surface) > 1) & (F.upper(surface) == surface), F.upper(shown)).otherwise(F.initcap(shown)))
@@ -288,7 +301,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if open_.isEmpty():
             return reduce(DataFrame.union, settled)
         taken = taken.union(won.select("kind", "surrogate"))
-    raise ValueError(f"no free replacement after {MAX_ROUNDS} turns: a format has too few values")
+    raise ValueError(f"no free replacement after {MAX_ROUNDS} turns: a format has too few values, also when widened")
 
 
 def replace(df: DataFrame, text: str = "text", key: str = "surrogates", row_key: str | None = "doc_id",

@@ -294,6 +294,21 @@ def test_cards_beside_other_numbers_are_replaced(spark):
     assert [out[k].n_entities for k in range(8)] == [1, 1, 1, 2, 2, 2, 2, 0]
 
 
+def test_formats_with_too_few_values_are_widened(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WIDE", 1)  # fewer turns that cannot succeed
+    mails = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    found = pii.assign(spark.createDataFrame(mails, "kind string, value string"), "k").collect()
+    assert sorted((r.kind, r.value) for r in found) == mails
+    assert len({r.surrogate for r in found}) == 26
+    assert all(re.fullmatch(r"[a-z]{2,}@example\.com", r.surrogate) for r in found)
+    df = spark.createDataFrame([("ip", "192.168.3.4"), ("phone", "+12345")], "k string, v string").coalesce(1)
+    address, phone = [r[0] for r in df.select(pii._surrogate(F.col("k"), F.col("v"), F.lit(23), "k")).collect()]
+    assert 240 <= int(address.split(".")[0]) <= 255 and re.fullmatch(r"\+1\d{27}", phone)
+    shown = spark.createDataFrame([("phone", "+1 23 45", "+198765")], "k string, s string, v string").select(
+        pii._written(F.col("k"), F.col("s"), F.col("v"))).first()[0]
+    assert shown == "+1 98 765"
+
+
 def test_surrogates_over_the_documents(spark, documents):
     out = queries.op7_pii_surrogates(spark, SMALL).join(
         documents.select("doc_id", F.col("text").alias("before")), "doc_id")
