@@ -7,10 +7,10 @@ minimum rank of every piece and contracts it, until no piece has a pair left.  A
 is a token by itself is taken as such.  Decoding joins the tokens of each text with their
 bytes and puts these together in an aggregation ordered by position.
 
-The database is in memory, of one thread, and belongs to the Python worker of a task.  Batches
-are bounded in pieces and bytes, and a query runs at most ``STEPS`` steps before its last
-rows begin the next one, so memory is bounded for long pieces too; a piece of n bytes takes
-up to n steps.
+The database is in memory, of one thread and ``MEMORY``, and belongs to the Python worker of a
+task.  Batches are bounded in bytes, and a query runs at most ``STEPS`` steps, fewer if it has
+many rows, before its last rows begin the next one, so memory is bounded for long pieces too;
+a piece of n bytes takes up to n steps.
 
 Undefined cases: a null text counts as empty, and an empty one has no ids and decodes to
 no bytes; special tokens are ordinary text; null ids decode to nothing; an id that is not in the
@@ -31,19 +31,22 @@ from factorloom.llm import pretokens
 from factorloom.llm.frames import beside, named, slices
 
 STEPS = 32
-ROWS = 150_000            # token rows of a recursive query
-TOKENS = 400_000          # token rows of a decoding query
-CACHED = 300_000
+ROWS = 100_000            # token rows of a recursive query
+HELD = 2_000_000          # token rows of all its steps together
+TOKENS = 100_000          # token rows of a decoding query
+TEXT_BYTES = 1 << 20      # of texts cut into pieces at a time
+CACHED = 48 << 20         # bytes of pieces with their ids that a task remembers
+MEMORY = "128MB"          # of the database
 
 # A place is the piece in the upper and the position in the lower 32 bits.
-_ENCODE = f"""
+_ENCODE = """
 WITH RECURSIVE state(step, place, id) AS (
   SELECT 0, place, id FROM begin_rows
   UNION ALL
   (WITH paired AS (
      SELECT step, place, id, place >> 32 AS piece, lead(id) OVER w AS next_id,
             lead(place) OVER w AS next_place, lag(place) OVER w AS last_place
-     FROM state WHERE step < {STEPS} WINDOW w AS (ORDER BY place)),
+     FROM state WHERE step < $steps WINDOW w AS (ORDER BY place)),
    best AS (
      SELECT p.piece, min((m.merged::BIGINT << 32) | (p.place & 4294967295)) AS pair
      FROM paired p JOIN merges m ON p.id = m.left_id AND p.next_id = m.right_id
@@ -74,11 +77,12 @@ def _database(path: str):
     import duckdb
 
     known = ranks(path)
-    merges = [(known[t[:k]], known[t[k:]], rank) for t, rank in known.items()
-              for k in range(1, len(t)) if t[:k] in known and t[k:] in known]
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-    left, right, merged = (pa.array(c, pa.int32()) for c in zip(*merges)) if merges else [pa.array([], pa.int32())] * 3
-    con.register("merge_rows", pa.table({"left_id": left, "right_id": right, "merged": merged}))
+    merges = np.fromiter((x for t, rank in known.items() for k in range(1, len(t))
+                          if t[:k] in known and t[k:] in known for x in (known[t[:k]], known[t[k:]], rank)),
+                         np.int32).reshape(-1, 3)
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
+    con.register("merge_rows", pa.table({name: pa.array(merges[:, k].copy()) for k, name in
+                                         enumerate(("left_id", "right_id", "merged"))}))
     con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
     con.register("token_rows", pa.table({"id": pa.array(list(known.values()), pa.int32()),
                                          "code": [t.hex() for t in known]}))
@@ -92,9 +96,10 @@ def _contract(con, place: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np
     pieces, ids = [], []
     while len(place):
         con.register("begin_rows", pa.table({"place": place, "id": token}))
-        found = con.sql(_ENCODE).to_arrow_table()
+        steps = min(STEPS, max(1, HELD // len(place)))  # the query keeps the rows of every step
+        found = con.sql(_ENCODE, params={"steps": steps}).to_arrow_table()
         place, token, step = (found[c].to_numpy() for c in ("place", "id", "step"))
-        going = step >= STEPS  # perhaps not at the end yet
+        going = step >= steps  # perhaps not at the end yet
         pieces.append(place[~going] >> 32)
         ids.append(token[~going])
         place, token = place[going], token[going]
@@ -116,6 +121,7 @@ def encode_pieces(path: str, pieces: list[bytes]) -> list[bytes]:
             rest.append(k)
         else:
             out[k] = whole.to_bytes(4, "little")
+    rest.sort(key=lambda k: len(pieces[k]))  # long pieces take many steps and go together
     low = 0
     while low < len(rest):
         high, rows = low, 0
@@ -152,23 +158,11 @@ def decode_lists(path: str, lists: list[np.ndarray]) -> list[bytes]:
 
 def _encoded(path: str):
     def run(batches):
-        known: dict[int, bytes] = {}
-        for part in slices(batches, 0, 2 << 20):
-            hashes, body, which, first = pretokens.distinct(part.column(0))
-            if len(known) > CACHED:
-                known.clear()
-            keys = hashes.tolist()
-            new = [k for k, h in enumerate(keys) if h not in known]
-            for k, ids in zip(new, encode_pieces(path, body.take(pa.array(new, pa.int64())).to_pylist())):
-                known[keys[k]] = ids
-            parts = [known[h] for h in keys]
-            size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-            flat, low = np.frombuffer(b"".join(parts), "<i4"), np.cumsum(size) - size
-            counts = size[which]
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            take = np.arange(int(ends[-1])) - np.repeat(ends[:-1], counts) + np.repeat(low[which], counts)
-            lists = pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(flat[take]))
-            yield named(part, lists)
+        known = pretokens.Remembered(lambda pieces: encode_pieces(path, pieces), CACHED)
+        for part in slices(batches, 0, TEXT_BYTES):
+            ids, first = known.ids(part.column(0))
+            yield named(part, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)),
+                                                       pa.array(ids.astype(np.int32))))
     return run
 
 

@@ -6,6 +6,8 @@ text.  All functions work on one Arrow array of texts and hold a few times its b
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,8 +15,7 @@ import pyarrow.compute as pc
 WINDOW = 1 << 20          # bytes hashed at a time
 SHINGLE_WORDS = 5
 
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
-_BYTES = np.cumsum(np.full(256, 0xD1B54A32D192ED03, np.uint64)) ^ np.uint64(0x2545F4914F6CDD1D)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(256, bool)
 _WORD[0x80:] = True
 for _first, _last in ("09", "az", "AZ"):
@@ -39,15 +40,28 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def byte_ranges(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The byte ranges as binary values; the ranges ascend and do not overlap."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[starts + lengths] -= 1
+    held = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(ends), pa.py_buffer(data[held])])
+
+
 def token_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; the ranges ascend and none is empty."""
+    """A 64-bit hash of each byte range; the ranges ascend and none is empty or overlaps.
+
+    Equal ranges are found by their bytes, and each different one is hashed by BLAKE2b, so no
+    pattern of letters makes two of them meet.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    first = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    at = within + np.repeat(starts, lengths)
-    terms = _BYTES[data[at]] * _POWERS[within & 4095]
-    return mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64))
+    coded = byte_ranges(data, starts, lengths).dictionary_encode()
+    digests = b"".join([hashlib.blake2b(x, digest_size=8).digest() for x in coded.dictionary.to_pylist()])
+    return np.frombuffer(digests, np.uint64)[coded.indices.to_numpy()]
 
 
 def tokens(texts: pa.Array, classes: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -73,7 +87,7 @@ def tokens(texts: pa.Array, classes: np.ndarray, lower: bool) -> tuple[np.ndarra
         change[1:-1] |= part[1:] != part[:-1]
         start = np.flatnonzero((part > 0) & change[:-1])
         end = np.flatnonzero((part > 0) & change[1:]) + 1
-        hashes.append(token_hashes(data, start + low, end - start))
+        hashes.append(token_hashes(data[low:high], start, end - start))
         begins.append(start + low)
         low = high
     starts = np.concatenate(begins) if begins else np.zeros(0, np.int64)
@@ -103,7 +117,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray,
         here = at + k
         inside = here < end
         part = hashes[np.minimum(here, max(len(hashes) - 1, 0))] if len(hashes) else found
-        found = (found + np.where(inside, part, np.uint64(0x51ED270B))) * _POWERS[0]
+        found = (found + np.where(inside, part, np.uint64(0x51ED270B))) * _ODD
         found ^= found >> np.uint64(29)
     return mix(found), start
 

@@ -34,43 +34,27 @@ CAPACITY = 1024
 END = 0
 LINEAR, QUADRATIC = 1.0, 1 / 1024
 BATCH = 1 << 20
-CACHED = 500_000
 
 
 def cost(length, linear: float = LINEAR, quadratic: float = QUADRATIC):
     return linear * length + quadratic * length * length
 
 
-class Encoder:
+class Encoder(pretokens.Remembered):
     """Ids of whole texts; each distinct piece of a text is encoded once and remembered."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[int, bytes] = {}
-
-    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        hashes, body, which, first = pretokens.distinct(texts)
-        if len(self.known) > CACHED:
-            self.known.clear()
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
-            strings = pretokens.as_strings(body.take(pa.array(new)))
-            for k, found in zip(new, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
-                self.known[keys[k]] = np.array(found.ids, "<u4").tobytes()
-        ids = [self.known[h] for h in keys]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, low = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        counts = size[which]
-        ends = np.cumsum(counts)
-        take = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(low[which], counts)
-        cuts = np.concatenate(([0], ends))[first]
-        every = flat[take]
-        return [every[p:q] for p, q in zip(cuts[:-1], cuts[1:])]
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.encode_special_tokens = True
+
+        def encode(pieces: list[bytes]) -> list[bytes]:
+            strings = [x.decode() for x in pieces]
+            return [np.array(found.ids, "<u4").tobytes()
+                    for found in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        super().__init__(encode)
 
 
 def assign(lengths: np.ndarray, capacities: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -131,8 +115,10 @@ def _packed(vocabulary: str, end: int):
 
         for part in slices(batches, 1, 1 << 20):
             rows = []
-            for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
+            every, cuts = encode.ids(part.column(1))
+            cuts = cuts.tolist()
+            for key, p, q in zip(part.column(0).to_pylist(), cuts, cuts[1:]):
+                ids = np.append(every[p:q], np.uint32(end)).astype("<u4")
                 full = len(ids) // CAPACITY * CAPACITY
                 for start in range(0, full, CAPACITY):
                     rows.append((key, start, CAPACITY, len(ids), counter, 0, ids[start:start + CAPACITY].tobytes()))

@@ -24,9 +24,8 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """The class of each code point."""
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    every, table = "".join(map(chr, points)), np.full(0x110000, OTHER, np.uint8)
-    points = np.array(points)
+    points = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000))).astype("<u4")
+    every, table = points.tobytes().decode("utf-32-le"), np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for found in regex.finditer(pattern, every):
             table[points[found.start():found.end()]] = kind
@@ -85,19 +84,37 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, from_byte, np.diff(np.append(from_byte, len(data))), np.searchsorted(begin, first)
 
 
-def distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Distinct pieces: their 64-bit hashes and (as binary) themselves, then which one each
-    piece is, and the first piece of each text."""
-    data, start, length, first = pieces(texts)
-    hashes = hashing.token_hashes(data, start, length)
-    known, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-    low, size = start[sample], length[sample]
-    offsets = np.concatenate(([0], np.cumsum(size)))
-    take = np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], size) + np.repeat(low, size)
-    body = pa.Array.from_buffers(pa.large_binary(), len(known), [
-        None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data[take].tobytes())])
-    return known, body, which, first
+def distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pieces (binary), told apart by their bytes, which one each piece is, and
+    the first piece of each text."""
+    data, start, _, first = pieces(texts)
+    ends = np.append(start, len(data)).astype(np.int64)  # pieces follow each other without gaps
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [
+        None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), first
 
 
-def as_strings(pieces_: pa.Array) -> list[str]:
-    return pc.cast(pieces_, pa.large_string()).to_pylist()
+class Remembered:
+    """The ids of pieces, held by the bytes of the piece up to about ``limit`` bytes in all."""
+
+    def __init__(self, encode, limit: int = 48 << 20):
+        self.encode, self.limit = encode, limit
+        self.held, self.known = 0, {}
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and where those of each begin (one entry more than texts)."""
+        values, which, first = distinct(texts)
+        keys = values.to_pylist()
+        if self.held > self.limit:
+            self.held, self.known = 0, {}
+        new = [k for k in keys if k not in self.known]
+        for key, ids in zip(new, self.encode(new)):
+            self.known[key] = ids
+            self.held += 160 + len(key) + len(ids)  # two objects and their entry
+        parts = [self.known[k] for k in keys]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, low = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
+        counts = size[which]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        take = np.arange(int(ends[-1])) + np.repeat(low[which] - ends[:-1], counts)
+        return flat[take], ends[first]

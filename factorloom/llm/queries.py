@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, chat, embedding_dedup, fingerprints, line_dedup, near_dedup, packing, pii, quality, toxicity
+from factorloom.llm import (alignment, bpe, chat, embedding_dedup, fingerprints, line_dedup, merkle, near_dedup, packing,
+                            pii, quality, suffixes, toxicity)
 from factorloom.llm.frames import read
 
 
@@ -74,6 +77,22 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(pages, "host", "text")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.statistics(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(read(spark, sf_dir, "documents"))
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -159,8 +178,100 @@ SELECT c.pair_id, c.n::INTEGER AS common_turns,
 FROM common c LEFT JOIN ends e ON c.pair_id = e.pair_id GROUP BY c.pair_id, c.n
 """
 
+_LOWERED = f"translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_WORDS = f"regexp_extract_all({_LOWERED.format('text')}, {_sql(suffixes.WORDS)})"
+
+_OP12 = f"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS words
+  FROM (SELECT item_id, w, least(len(w), {suffixes.WINDOW}) AS n,
+               unnest(range(1, greatest(len(w) - {suffixes.WINDOW}, 0) + 2)) AS p FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+hits AS (
+  SELECT t.rid, t.p, t.n, w.item_id
+  FROM (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS words
+        FROM (SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM texts JOIN sizes ON len(w) >= n)) t
+  JOIN windows w ON w.n = t.n AND w.words = t.words),
+hit_words AS (
+  SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS place FROM hits) GROUP BY rid),
+found AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(f.n_items, 0)::BIGINT AS n_items, sha256(coalesce(f.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hit_words h ON t.rid = h.rid LEFT JOIN found f ON t.rid = f.rid
+"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, (
+        "doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+
+
+_CRC32 = """xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                           lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _steps_sql(nodes: str) -> str:
+    """The siblings before and after each node of a tree's runs."""
+    run = f"PARTITION BY tree, level, pos // {merkle.FAN} ORDER BY pos"
+    return f"""SELECT tree, level, pos,
+      coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || ':' ||
+      coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS step
+      FROM {nodes} WHERE size > 1"""
+
+
+def _grow_sql(name: str, leaves: str) -> str:
+    return f"""{name}(tree, level, pos, size, node) AS (
+  {leaves}
+  UNION ALL
+  SELECT tree, level + 1, pos // {merkle.FAN}, (size + {merkle.FAN - 1}) // {merkle.FAN},
+         sha256(string_agg(node, '' ORDER BY pos)) FROM {name}
+  WHERE size > 1 GROUP BY tree, level, pos // {merkle.FAN}, size)"""
+
+
+_OP13 = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, {_leaf_sql('text')} AS leaf,
+         CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf_sql(_LOWERED.format('text'))} END AS tampered FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY tree) AS size FROM hashed),
+{_grow_sql('low', 'SELECT tree, 0::BIGINT, pos::BIGINT, size::BIGINT, leaf FROM leaves')},
+subroots AS (
+  SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS size FROM low WHERE size = 1),
+{_grow_sql('top', "SELECT '', 0::BIGINT, pos::BIGINT, size::BIGINT, node FROM subroots")},
+low_steps AS ({_steps_sql('low')}),
+top_steps AS ({_steps_sql('top')}),
+steps AS (
+  SELECT l.tree, l.pos, s.level, s.step FROM leaves l JOIN low_steps s ON s.tree = l.tree AND s.pos = l.pos >> (4 * s.level)
+  UNION ALL
+  SELECT l.tree, l.pos, 1000 + s.level, s.step FROM leaves l JOIN subroots r ON r.tree = l.tree
+  JOIN top_steps s ON s.pos = r.pos >> (4 * s.level)),
+witnesses AS (SELECT tree, pos, list(step ORDER BY level) AS steps FROM steps GROUP BY tree, pos),
+folded AS (
+  SELECT l.*, coalesce(w.steps, []) AS steps,
+         list_reduce(list_prepend(coalesce(l.tampered, l.leaf), coalesce(w.steps, [])),
+                     lambda h, s: sha256(split_part(s, ':', 1) || h || split_part(s, ':', 2))) AS folded_root
+  FROM leaves l LEFT JOIN witnesses w ON w.tree = l.tree AND w.pos = l.pos)
+SELECT f.doc_id, f.leaf, r.node AS subroot, t.node AS root,
+       sha256(replace(array_to_string(f.steps, ''), ':', '')) AS proof_sha256, f.folded_root,
+       f.folded_root = t.node AS verified
+FROM folded f JOIN subroots r ON r.tree = f.tree JOIN top t ON t.size = 1
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_cost_packing, op3_importance_resampling, op4_fingerprints, op5_weighted_near_dedup,
     op6_embedding_near_dedup, op7_pii_surrogates, op8_recursive_bpe, op9_preference_format,
-    op10_site_lines)}
-ORACLES = {"op9_preference_format": _OP9, "op10_site_lines": _OP10}
+    op10_site_lines, op11_token_alignment, op12_suffix_decontamination, op13_merkle_manifest)}
+ORACLES = {"op9_preference_format": _OP9, "op10_site_lines": _OP10, "op12_suffix_decontamination": _OP12,
+           "op13_merkle_manifest": _OP13}
