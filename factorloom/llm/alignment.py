@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ from factorloom.llm import packing
 from factorloom.llm.frames import slices
 from factorloom.session import materialize
 
-SLICE = 1 << 20           # bytes of text tokenised at a time
-CHUNK = 8 << 20           # bytes of text whose different pairs are counted together
+SLICE = 1 << 19           # bytes of text tokenised at a time
+CHUNK = 4 << 20           # bytes of text whose different pairs are counted together
+LINKS = 1 << 18           # links unpacked at a time
 
 
 def _text(value: str) -> pa.Scalar:
@@ -89,7 +91,7 @@ def piece_side(path: str) -> Side:
     def ids(texts: pa.Array):
         found = model.encode(texts.to_pylist(), num_threads=1)
         first = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
-        flat = np.fromiter((k for x in found for k in x), np.int32, int(first[-1]))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(first[-1]))
         return flat, first
     return Side(ids, codes)
 
@@ -134,7 +136,7 @@ def grouped(a: pa.Table, b: pa.Table, common: np.ndarray, docs: int, sides: tupl
 
 
 _ALIGNED = ("key_ long, chunk long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-            "a array<int>, b array<int>")
+            "links binary")
 _NAMES = [x.split()[0] for x in _ALIGNED.split(", ")]
 
 
@@ -150,7 +152,8 @@ def aligned_batch(texts: pa.Array, sides: tuple[Side, Side]) -> list[pa.Array]:
     a, b = (t.filter(pa.array(good[t["doc"].to_numpy()])) for t in (a, b))
     found = links(a, b)
     docs = len(filled)
-    common = np.unique(_keys(found))
+    common = _keys(found)  # ascending
+    common = common[np.append(True, common[1:] != common[:-1])] if len(common) else common
     texts_of_groups = grouped(a, b, common, docs, sides)
 
     def per_text(values: np.ndarray) -> np.ndarray:
@@ -161,9 +164,27 @@ def aligned_batch(texts: pa.Array, sides: tuple[Side, Side]) -> list[pa.Array]:
     hashes = np.full(n, "", object)
     hashes[filled] = [hashlib.sha256(x.encode()).hexdigest() if ok else "" for x, ok in zip(texts_of_groups, good)]
     counts = [per_text(x) for x in (a["doc"].to_numpy(), b["doc"].to_numpy(), common >> 40, found["doc"].to_numpy())]
-    offsets = pa.array(np.concatenate(([0], np.cumsum(counts[3]))), pa.int32())
-    return [*map(pa.array, counts), pa.array(hashes, pa.string()),
-            *[pa.ListArray.from_arrays(offsets, found[c].combine_chunks()) for c in ("a", "b")]]
+    one, two, ends = found["a"].to_numpy(), found["b"].to_numpy(), np.concatenate(([0], np.cumsum(counts[3])))
+    held = [packed_links(one[p:q], two[p:q]) for p, q in zip(ends.tolist(), ends[1:].tolist())]
+    return [*map(pa.array, counts), pa.array(hashes, pa.string()), pa.array(held, pa.binary())]
+
+
+def packed_links(a: np.ndarray, b: np.ndarray) -> bytes:
+    """The ids of a document's links, all of A and then all of B, compressed: links are as many as
+    tokens, and this is what is written and shuffled of them."""
+    if not len(a):
+        return b""
+    width = 2 if max(a.max(), b.max()) < 1 << 16 else 4
+    raw = np.concatenate((a, b)).astype(f"<u{width}").tobytes()
+    return width.to_bytes(1, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def links_of(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not packed:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    raw = pa.decompress(packed[9:], int.from_bytes(packed[1:9], "little"), "zstd", asbytes=True)
+    ids = np.frombuffer(raw, f"<u{packed[0]}").astype(np.int32)
+    return ids[:len(ids) // 2], ids[len(ids) // 2:]
 
 
 def _aligned(a_path: str, b_path: str):
@@ -182,19 +203,33 @@ def _aligned(a_path: str, b_path: str):
 
 def _flat(table: pa.Table, *kept: str) -> pa.Table:
     """A row for each link: the kept columns of its document, and the ids."""
-    a, b = (table[c].combine_chunks() for c in ("a", "b"))
+    sides = [links_of(x) for x in table["links"].to_pylist()]
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(a) for a, _ in sides], dtype=np.int64))), pa.int64())
+    a, b = (pa.LargeListArray.from_arrays(offsets, pa.array(np.concatenate([*[x[k] for x in sides], np.zeros(0, np.int32)])))
+            for k in (0, 1))
     of = pc.list_parent_indices(a)
     return pa.table({**{c: table[c].take(of) for c in kept}, "a": pc.list_flatten(a), "b": pc.list_flatten(b)})
 
 
+def _parts(table: pa.Table):
+    """Consecutive rows with at most about ``LINKS`` links."""
+    ends, low = np.cumsum(table["n_links"].to_numpy()), 0
+    while low < table.num_rows:
+        base = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, base + LINKS, "right")))
+        yield table.slice(low, high - low)
+        low = high
+
+
 def _partial_counts(batches):
     """The pairs of a batch and how many links have each, by chunk."""
     for batch in batches:
-        found = _flat(pa.Table.from_batches([batch]), "chunk")
-        if found.num_rows:
-            counted = found.group_by(["chunk", "a", "b"], use_threads=False).aggregate([([], "count_all")])
-            yield from counted.select(["chunk", "a", "b", "count_all"]).rename_columns(
-                ["chunk", "a", "b", "n"]).combine_chunks().to_batches()
+        for part in _parts(pa.Table.from_batches([batch])):
+            found = _flat(part, "chunk")
+            if found.num_rows:
+                counted = found.group_by(["chunk", "a", "b"], use_threads=False).aggregate([([], "count_all")])
+                yield from counted.select(["chunk", "a", "b", "count_all"]).rename_columns(
+                    ["chunk", "a", "b", "n"]).combine_chunks().to_batches()
 
 
 _SUMS = ("key_ long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
@@ -204,10 +239,10 @@ _SUMS = ("key_ long, n_a long, n_b long, n_groups long, n_links long, n_best lon
 def _summed(rows: pa.Table, pairs: pa.Table) -> pa.Table:
     """The counts of a chunk's pairs added over the links of each of its documents."""
     rows = rows.append_column("row", pa.array(np.arange(rows.num_rows)))
+    pairs = pairs.select(["a", "b", "n", "best"])
     best, sums = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)
-    found = _flat(rows, "row")
-    if found.num_rows:
-        joined = found.join(pairs.select(["a", "b", "n", "best"]), keys=["a", "b"], join_type="inner", use_threads=False)
+    for part in _parts(rows):
+        joined = _flat(part, "row").join(pairs, keys=["a", "b"], join_type="inner", use_threads=False)
         joined = joined.group_by("row", use_threads=False).aggregate([("best", "sum"), ("n", "sum")])
         at = joined["row"].to_numpy()
         best[at], sums[at] = joined["best_sum"].to_numpy(), joined["n_sum"].to_numpy()
@@ -216,7 +251,7 @@ def _summed(rows: pa.Table, pairs: pa.Table) -> pa.Table:
 
 
 def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key_``, ``chunk``, counts, ``groups_sha256`` and the linked ids ``a`` and ``b`` of every row, written."""
+    """``key_``, ``chunk``, counts, ``groups_sha256`` and the ``links`` (see ``links_of``) of every row, written."""
     rows = df.select(F.col(key).cast("long").alias("key_"), F.col(text).alias("body"))
     return materialize(rows.mapInArrow(_aligned(os.fspath(a_path), os.fspath(b_path)), _ALIGNED), "aligned")
 
@@ -224,7 +259,7 @@ def align(df: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: st
 def pair_counts(aligned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The different pairs of each ``chunk``, and for all pairs of the corpus ``n``, the number of links,
     and ``best``, 1 where no other pair of the same ``b`` has more."""
-    parts = materialize(aligned.select("chunk", "a", "b").mapInArrow(
+    parts = materialize(aligned.select("chunk", "n_links", "links").mapInArrow(
         _partial_counts, "chunk long, a int, b int, n long"), "pairs")
     counts = materialize(parts.groupBy("a", "b").agg(F.sum("n").alias("n")), "counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))

@@ -8,11 +8,11 @@ Undefined cases: a page without a host has no site, so its lines are kept; a nul
 stays null; an empty text stays empty; blank lines are never boilerplate and are kept.
 Lines are compared without surrounding spaces; a page counts once for a line however
 often it repeats it.  Repeated rows are pages of their own.  A line is boilerplate only
-where it is on ``min_pages`` pages of the host, so that sites of a page or two, on which
+where it is on ``min_pages`` pages of the host (3), so that sites of a page or two, on which
 every ratio is high, lose nothing.
 
 Documents of a source are no pages of a host: what repeats among them is on few of a great
-many, and whole documents are copied.  For them (``documents``) a line goes as well from
+many, and whole documents are copied.  For them (``documents``) ``min_pages`` is 5, and a line goes as well from
 ``DOCUMENT_RATIO`` on, if it is on ``DOCUMENT_PAGES`` documents that differ elsewhere: the
 documents with the line must have at least ``DOCUMENT_SPREAD`` times as many different
 marks (the smallest key of their other lines), which copies do not have.
@@ -27,9 +27,10 @@ from factorloom.llm.frames import fresh, quoted
 from factorloom.session import materialize
 
 MAX_RATIO = 0.2
-MIN_PAGES = 5
+MIN_PAGES = 3
 DOCUMENT_RATIO = 0.005
 DOCUMENT_PAGES = 20
+DOCUMENT_LEAST = 5
 DOCUMENT_SPREAD = 0.5
 
 # The parts of a page that show nothing, block tags, common entities.
@@ -75,12 +76,17 @@ def _keyed(pages: DataFrame, host: str, text: str) -> DataFrame:
     return pages.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.array_distinct(keys).alias("keys"))
 
 
+def _each(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each key.  The outer form, as the planner would repeat the cleaning of a page in a
+    filter below a plain one."""
+    return rows.select(*columns, F.explode_outer("keys").alias("line_key")).where("line_key IS NOT NULL")
+
+
 def line_ratios(pages: DataFrame, host: str, text: str) -> DataFrame:
     """``host``, ``line_key``, ``line_pages``, ``host_pages`` and ``ratio`` of all lines that
     are not blank.  Only keys travel; counts are combined before the shuffle."""
     rows = _keyed(pages, host, text)
-    counted = (rows.select("host", F.explode("keys").alias("line_key"))
-               .groupBy("host", "line_key").agg(F.count("*").alias("line_pages")))
+    counted = (_each(rows, "host").groupBy("host", "line_key").agg(F.count("*").alias("line_pages")))
     totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     return (counted.join(totals, "host")
             .withColumn("ratio", F.col("line_pages") / F.col("host_pages")))
@@ -94,7 +100,7 @@ def scattered(pages: DataFrame, host: str, text: str, ratios: DataFrame) -> Data
     """
     least = _keyed(pages, host, text).select("host", "keys", F.array_min("keys").alias("first"))
     least = least.withColumn("second", F.array_min(F.array_remove("keys", F.col("first"))))
-    marks = least.select("host", "first", "second", F.explode("keys").alias("line_key")).select(
+    marks = _each(least, "host", "first", "second").select(
         "host", "line_key", F.when(F.col("line_key") == F.col("first"), F.col("second"))
         .otherwise(F.col("first")).alias("mark"))
     counted = marks.join(ratios.select("host", "line_key"), ["host", "line_key"], "left_semi").groupBy(
@@ -105,7 +111,7 @@ def scattered(pages: DataFrame, host: str, text: str, ratios: DataFrame) -> Data
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO,
-                min_pages: int = MIN_PAGES, documents: bool = False) -> DataFrame:
+                min_pages: int | None = None, documents: bool = False) -> DataFrame:
     """``host`` and ``line_keys``: the keys of its boilerplate lines.
 
     A host has at most (mean lines of a page) / ``max_ratio`` of them, whatever its size,
@@ -113,6 +119,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
     of ``documents`` and ``DOCUMENT_RATIO``.
     """
     ratios = line_ratios(pages, host, text)
+    min_pages = min_pages or (DOCUMENT_LEAST if documents else MIN_PAGES)
     common = (F.col("ratio") > max_ratio) & (F.col("line_pages") >= min_pages)
     if documents:
         many = (F.col("ratio") > DOCUMENT_RATIO) & (F.col("line_pages") >= DOCUMENT_PAGES)
@@ -125,7 +132,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
 
 
 def drop_boilerplate(pages: DataFrame, host: str | Column, text: str, max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES, removed: str = "lines_removed",
+                     min_pages: int | None = None, removed: str = "lines_removed",
                      documents: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines cut from ``text``, and their number in ``removed``.
 

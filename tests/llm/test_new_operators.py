@@ -84,6 +84,13 @@ def test_alignment_equals_a_plain_loop(spark):
     assert alignment.statistics(frame(spark, []), A, B).count() == 0
 
 
+def test_links_of_any_vocabulary_are_packed_and_unpacked():
+    for top in (0, 40_000, 65_535, 65_536, 2_000_000):
+        a, b = np.arange(9, dtype=np.int32) * top // 8, np.arange(9, dtype=np.int32)
+        assert [x.tolist() for x in alignment.links_of(alignment.packed_links(a, b))] == [a.tolist(), b.tolist()]
+    assert [len(x) for x in alignment.links_of(alignment.packed_links(a[:0], b[:0]))] == [0, 0]
+
+
 def test_alignment_of_the_whole_table_does_not_depend_on_chunks(spark, monkeypatch):
     documents = spark.read.parquet(f"{TINY}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in documents.collect()]
@@ -91,7 +98,8 @@ def test_alignment_of_the_whole_table_does_not_depend_on_chunks(spark, monkeypat
     aligned = alignment.align(documents.repartition(7), A, B).where("chunk % 2 = 0 OR n_links >= 0")
     pairs, scored = alignment.pair_counts(aligned)
     total = aligned.agg(F.sum("n_links")).first()[0]
-    assert scored.agg(F.sum("n")).first()[0] == total == aligned.agg(F.sum(F.size("b"))).first()[0]
+    unpacked = [alignment.links_of(bytes(r.links)) for r in aligned.select("links").collect()]
+    assert scored.agg(F.sum("n")).first()[0] == total == sum(len(b) for _, b in unpacked)
     assert pairs.count() >= scored.count()
 
 
