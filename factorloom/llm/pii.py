@@ -75,10 +75,17 @@ WIDE = 5
 
 
 def find(text: Column) -> Column:
-    """All entities of a text, as written, from left to right."""
+    """All matches of a text, as written, from left to right; a run of numbers is one."""
     return F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))
 
 
+def entities(text: Column) -> Column:
+    """What ``replace`` counts: the matches of a text, a run of numbers with cards as its cards."""
+    return F.flatten(F.transform(find(text), lambda whole: F.when(
+        _is_run(whole), F.transform(F.filter(_divided(whole), lambda x: x["kind"] == "card"), lambda x: x["surface"]))
+        .otherwise(F.array(whole))))
+
+
 def _kind(surface: Column) -> Column:
     """The kind of a match; NULL for a long number that is no card."""
     digits = F.regexp_replace(surface, r"\D", "")
@@ -237,11 +244,16 @@ def _parts(surface: Column) -> Column:
         return F.struct(role.alias("kind"), token.alias("surface"))
 
     return (F.when(kind.eqNullSafe("person"), F.transform(tokens, word))
-            .when(surface.rlike(r"^\d+(?:[ \-]\d+)+$") & surface.rlike(f"^(?:{_PARTS['card']})$")
-                  & (F.size(_cards(surface)) > 0), _divided(surface))
+            .when(_is_run(surface), _divided(surface))
             .otherwise(F.array(F.struct(kind.alias("kind"), surface.alias("surface")))))
 
 
+def _is_run(surface: Column) -> Column:
+    """Several numbers with a card among them."""
+    return (surface.rlike(r"^\d+(?:[ \-]\d+)+$") & surface.rlike(f"^(?:{_PARTS['card']})$")
+            & (F.size(_cards(surface)) > 0))
+
+
 def _cards(surface: Column) -> Column:
     """``at`` and ``n`` (place and count of numbers) of the cards in a run of numbers, from left to
     right: the longest layout that passes the Luhn check at the first number where one does."""

@@ -312,7 +312,7 @@ def test_formats_with_too_few_values_are_widened(spark, monkeypatch):
 def test_surrogates_over_the_documents(spark, documents):
     out = queries.op7_pii_surrogates(spark, SMALL).join(
         documents.select("doc_id", F.col("text").alias("before")), "doc_id")
-    rows = out.select("text", "before", "n_entities", pii.find("before").alias("old"), pii.find("text").alias("new")).collect()
+    rows = out.select("text", "before", "n_entities", pii.entities("before").alias("old"), pii.entities("text").alias("new")).collect()
     mapping, kept = {}, 0
     for row in rows:
         assert len(row.old) == len(row.new)

@@ -346,3 +346,67 @@ def test_base64_of_a_sketch_is_the_hashes():
     sketch = np.array([-5, 3, 9], np.int64)
     raw = base64.b64decode(fingerprints.text_form(sketch))
     assert np.frombuffer(raw, ">i8").tolist() == [-5, 3, 9] and math.isclose(fingerprints.likeness(sketch, sketch), 1)
+
+
+# --- texts that simple hashes confuse --------------------------------------------
+
+def thue_morse(size, one, two):
+    return "".join(two if bin(k).count("1") % 2 else one for k in range(size))
+
+
+def confusing():
+    """Pairs of different single words: Thue-Morse words, and two letters exchanged 4,096 places apart."""
+    pairs = [(thue_morse(n, "a", "b"), thue_morse(n, "b", "a")) for n in (1024, 2048, 4096)]
+    word = [chr(97 + k % 23) for k in range(9000)]
+    other = list(word)
+    other[100], other[4196] = word[4196], word[100]
+    assert other != word
+    return pairs + [("".join(word), "".join(other))]
+
+
+def test_confusing_words_are_told_apart(spark):
+    from factorloom.llm import near_dedup
+    texts = [t for pair in confusing() for t in pair]
+    hashes, _, _, _ = hashing.words(pa.array(texts))
+    assert len(set(hashes.tolist())) == len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.id: r.class_id for r in near_dedup.classes(df).collect()} == {k: k for k in range(len(texts))}
+    sketched = [tuple(r.sketch) for r in fingerprints.sketches(df).collect()]
+    assert len(set(sketched)) == len(texts)
+    rows = fingerprints.edited_neighbours(df).collect()
+    assert all(r.near_next == 0 for r in rows)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_confusing_pieces_get_their_own_ids(spark, turned):
+    import tiktoken
+    texts = [t for pair in confusing() for t in (pair[::-1] if turned else pair)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    check_packing(packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect(), dict(enumerate(texts)))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    short = df.where("length(text) <= 2048")  # a step of the query contracts one pair of a piece
+    for row in bpe.decode(bpe.encode(short.select("doc_id", "text"), path), path).collect():
+        assert row.ids == encoding.encode_ordinary(texts[row.doc_id])
+        assert bytes(row.decoded).decode() == texts[row.doc_id]
+
+
+def test_the_memory_of_a_bpe_worker_is_bounded():
+    """Peak of a process of its own over 6 MB of distinct words."""
+    import subprocess
+    import sys
+    code = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from factorloom.llm import bpe
+random = np.random.default_rng(5)
+words = ["".join(chr(97 + k) for k in random.integers(0, 26, 9)) for _ in range(600_000)]
+texts = [" ".join(words[k:k + 500]) for k in range(0, len(words), 500)]
+batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["f"])
+n = sum(len(out.column(0)) for out in bpe._encoded(sys.argv[1])([batch]))
+assert n == len(texts)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    done = subprocess.run([sys.executable, "-c", code, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")],
+                          capture_output=True, text=True, check=True, timeout=600)
+    assert int(done.stdout) < 500
