@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factorloom.llm import (alignment, bpe, chat, embedding_dedup, fingerprints, line_dedup, merkle, near_dedup, packing,
                             pii, quality, suffixes, toxicity)
 from factorloom.llm.frames import read
+from factorloom.session import materialize
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -74,6 +75,7 @@ def op10_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(
         "page_id", line_dedup.url_host(F.col("url")).alias("host"),
         line_dedup.html_lines(F.col("html")).alias("text"))
+    pages = materialize(pages, "page_lines")  # read twice, and cleaning is the dear part
     return line_dedup.drop_boilerplate(pages, "host", "text")
 
 
