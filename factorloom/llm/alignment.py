@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm import packing
+from factorloom.llm import packing, pretokens
 from factorloom.llm.frames import slices
 from factorloom.session import materialize
 
@@ -76,8 +76,7 @@ def byte_side(path: str) -> Side:
     codes = [b""] * (max(vocabulary.values()) + 1)
     for token, at in vocabulary.items():
         codes[at] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode()
-    return Side(lambda texts: encoder.ids(pc.binary_join_element_wise(
-        _text(" "), texts, _text(""))), codes)
+    return Side(lambda texts: encoder.ids(_after_space(texts)), codes)
 
 
 @lru_cache(2)
@@ -88,12 +87,40 @@ def piece_side(path: str) -> Side:
     codes = [bytes([int(model.id_to_piece(k)[1:-1], 16)]) if model.is_byte(k)
              else model.id_to_piece(k).replace("▁", " ").encode() for k in range(model.get_piece_size())]
 
-    def ids(texts: pa.Array):
+    def whole(texts: pa.Array):
         found = model.encode(texts.to_pylist(), num_threads=1)
         first = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(first[-1]))
-        return flat, first
-    return Side(ids, codes)
+        return np.fromiter(chain.from_iterable(found), np.int32, int(first[-1])), first
+
+    space = np.array([model.piece_to_id("▁")], "<u4").tobytes()
+
+    def encode(pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces that begin with a space, which the model puts there itself."""
+        found = model.encode([x[1:].decode() for x in pieces], num_threads=1)
+        return [np.array(ids, "<u4").tobytes() if ids else space for ids in found]
+
+    words = pretokens.Remembered(encode, split=pretokens.spaced)
+    return Side((lambda texts: words.ids(_after_space(texts))) if _by_words(model) else whole, codes)
+
+
+#: A text in which a model that changes texts changes something.
+_PROBE = " a  b ﬁ ½ Å Å ｱ\u3000…  "
+
+
+def _by_words(model) -> bool:
+    """Whether a text's ids are those of its runs of spaces with what follows each: no piece goes on
+    over the beginning of a run, and the model leaves texts as they are.  (A text that itself has the
+    model's mark for a space has no tokens in the end, as its bytes are not the tokens'.)"""
+    pieces = [model.id_to_piece(k) for k in range(model.get_piece_size())]
+    if any("▁" in p.lstrip("▁") for p in pieces):
+        return False
+    found = b"".join(bytes([int(p[1:-1], 16)]) if model.is_byte(k) else p.encode()
+                     for k in model.encode(_PROBE) for p in [pieces[k]])
+    return found.decode() == "▁" + _PROBE.replace(" ", "▁")
+
+
+def _after_space(texts: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(_text(" "), texts, _text(""))
 
 
 def placed(side: Side, lists: pa.LargeListArray, expected: pa.Array) -> tuple[pa.Table, np.ndarray]:
@@ -145,9 +172,8 @@ def aligned_batch(texts: pa.Array, sides: tuple[Side, Side]) -> list[pa.Array]:
     n = len(texts)
     filled = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
     own = texts.take(pa.array(filled)).cast(pa.large_string())
-    spaced = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), own.cast(pa.large_binary()),
-                                         pa.scalar(b"", pa.large_binary()))
-    (a, good_a), (b, good_b) = (placed(side, side.lists(own), spaced) for side in sides)
+    expected = _after_space(own).cast(pa.large_binary())
+    (a, good_a), (b, good_b) = (placed(side, side.lists(own), expected) for side in sides)
     good = good_a & good_b
     a, b = (t.filter(pa.array(good[t["doc"].to_numpy()])) for t in (a, b))
     found = links(a, b)

@@ -84,10 +84,20 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, from_byte, np.diff(np.append(from_byte, len(data))), np.searchsorted(begin, first)
 
 
-def distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``pieces`` for texts that each begin with a space: a piece is a run of spaces and what follows it."""
+    data, offsets = hashing.text_bytes(texts)
+    begins = data == 0x20
+    begins[1:] &= data[:-1] != 0x20
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+    start = np.flatnonzero(begins)
+    return data, start, np.diff(np.append(start, len(data))), np.searchsorted(start, offsets)
+
+
+def distinct(texts: pa.Array, split=pieces) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct pieces (binary), told apart by their bytes, which one each piece is, and
     the first piece of each text."""
-    data, start, _, first = pieces(texts)
+    data, start, _, first = split(texts)
     ends = np.append(start, len(data)).astype(np.int64)  # pieces follow each other without gaps
     coded = pa.Array.from_buffers(pa.large_binary(), len(start), [
         None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
@@ -97,13 +107,13 @@ def distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 class Remembered:
     """The ids of pieces, held by the bytes of the piece up to about ``limit`` bytes in all."""
 
-    def __init__(self, encode, limit: int = 48 << 20):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode, limit: int = 48 << 20, split=pieces):
+        self.encode, self.limit, self.split = encode, limit, split
         self.held, self.known = 0, {}
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and where those of each begin (one entry more than texts)."""
-        values, which, first = distinct(texts)
+        values, which, first = distinct(texts, self.split)
         keys = values.to_pylist()
         if self.held > self.limit:
             self.held, self.known = 0, {}

@@ -84,6 +84,16 @@ def test_alignment_equals_a_plain_loop(spark):
     assert alignment.statistics(frame(spark, []), A, B).count() == 0
 
 
+def test_pieces_by_words_equal_whole_texts():
+    from sentencepiece import SentencePieceProcessor
+    model = SentencePieceProcessor(model_file=B)
+    assert alignment._by_words(model)
+    texts = [t for _, t, _ in TEXTS if t] + [" ", "  ", "a ", " a", "a  b   c    ", "▁", "a▁b", "x\u00a0y \u3000z", "\n \n"]
+    flat, first = alignment.piece_side(B).ids(pa.array(texts, pa.large_string()))
+    for k, text in enumerate(texts):
+        assert flat[first[k]:first[k + 1]].tolist() == model.encode(text)
+
+
 def test_links_of_any_vocabulary_are_packed_and_unpacked():
     for top in (0, 40_000, 65_535, 65_536, 2_000_000):
         a, b = np.arange(9, dtype=np.int32) * top // 8, np.arange(9, dtype=np.int32)
