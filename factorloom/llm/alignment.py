@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -68,7 +69,7 @@ class Side:
 
 @lru_cache(2)
 def byte_side(path: str) -> Side:
-    encoder = packing.Encoder(path)
+    encoder = packing.encoder(path)
     from tokenizers import Tokenizer
 
     symbol = byte_of_symbol()
@@ -97,7 +98,7 @@ def piece_side(path: str) -> Side:
     def encode(pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces that begin with a space, which the model puts there itself."""
         found = model.encode([x[1:].decode() for x in pieces], num_threads=1)
-        return [np.array(ids, "<u4").tobytes() if ids else space for ids in found]
+        return [array("I", ids).tobytes() if ids else space for ids in found]
 
     words = pretokens.Remembered(encode, split=pretokens.spaced)
     return Side((lambda texts: words.ids(_after_space(texts))) if _by_words(model) else whole, codes)

@@ -20,6 +20,8 @@ table, so that a repeated task sees the same rows.
 from __future__ import annotations
 
 import os
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ CAPACITY = 1024
 END = 0
 LINEAR, QUADRATIC = 1.0, 1 / 1024
 BATCH = 1 << 20
+ROW = 2048                # new words encoded in one string
+REMEMBERED = 96 << 20     # bytes of pieces with their ids that a worker keeps
 
 
 def cost(length, linear: float = LINEAR, quadratic: float = QUADRATIC):
@@ -50,11 +54,38 @@ class Encoder(pretokens.Remembered):
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.encode_special_tokens = True
 
+        vocabulary_ = tokenizer.get_vocab()
+        sizes = np.zeros(max(vocabulary_.values()) + 1, np.int64)  # bytes of each token
+        for token, at in vocabulary_.items():
+            sizes[at] = len(token)
+
+        def ids(strings: list[str]) -> list[bytes]:
+            return [array("I", found.ids).tobytes()
+                    for found in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
         def encode(pieces: list[bytes]) -> list[bytes]:
+            """Pieces of a space and a word are encoded in rows, which the library cuts at the spaces
+            again, and their ids are told apart by the bytes of the tokens."""
             strings = [x.decode() for x in pieces]
-            return [np.array(found.ids, "<u4").tobytes()
-                    for found in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        super().__init__(encode)
+            in_row = [len(x) > 1 and x[0] == " " and not x[1].isspace() for x in strings]
+            alone = ids([x for x, row in zip(strings, in_row) if not row])
+            words = [x for x, row in zip(strings, in_row) if row]
+            cut = ids(["".join(words[k:k + ROW]) for k in range(0, len(words), ROW)])
+            flat = b"".join(cut)
+            ends = np.cumsum(sizes[np.frombuffer(flat, "<u4")])
+            held = np.cumsum([len(x) for x, row in zip(pieces, in_row) if row])
+            at = np.concatenate(([0], np.searchsorted(ends, held) + 1)) * 4 if len(held) else np.zeros(1, np.int64)
+            assert not len(held) or (ends[at[1:] // 4 - 1] == held).all()
+            at = at.tolist()
+            rows, rest = iter([flat[p:q] for p, q in zip(at, at[1:])]), iter(alone)
+            return [next(rows if row else rest) for row in in_row]
+        super().__init__(encode, REMEMBERED)
+
+
+@lru_cache(1)
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of a Python worker, for all its tasks."""
+    return Encoder(vocabulary)
 
 
 def assign(lengths: np.ndarray, capacities: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -85,7 +116,7 @@ _NAMES = ["key_", "start", "length", "doc_tokens", "sequence_id", "offset", "ids
 
 def _packed(vocabulary: str, end: int):
     def run(batches):
-        encode, task = Encoder(vocabulary), TaskContext.get().partitionId()
+        encode, task = encoder(vocabulary), TaskContext.get().partitionId()
         counter, waiting, held = task << 40, [], 0  # waiting: (key, start, ids, document's ids)
 
         def flush(last: bool):

@@ -105,22 +105,33 @@ def distinct(texts: pa.Array, split=pieces) -> tuple[pa.Array, np.ndarray, np.nd
 
 
 class Remembered:
-    """The ids of pieces, held by the bytes of the piece up to about ``limit`` bytes in all."""
+    """The ids of pieces, held by the bytes of the piece up to about ``limit`` bytes in all.
+
+    Half of it is for new pieces; when that is full the other half is given up, but pieces
+    that come up again move over, so frequent ones stay.
+    """
 
     def __init__(self, encode, limit: int = 48 << 20, split=pieces):
         self.encode, self.limit, self.split = encode, limit, split
-        self.held, self.known = 0, {}
+        self.held, self.known, self.older = 0, {}, {}
+
+    def _learn(self, keys: list[bytes]) -> None:
+        if self.held > self.limit // 2:
+            self.held, self.known, self.older = 0, {}, self.known
+        known, older = self.known, self.older
+        missing = [k for k in keys if k not in known]
+        again = [(k, older[k]) for k in missing if k in older]
+        new = [k for k in missing if k not in older]
+        made = list(zip(new, self.encode(new)))
+        for pairs in (again, made):
+            known.update(pairs)
+            self.held += sum(160 + len(k) + len(ids) for k, ids in pairs)  # two objects and their entry
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and where those of each begin (one entry more than texts)."""
         values, which, first = distinct(texts, self.split)
         keys = values.to_pylist()
-        if self.held > self.limit:
-            self.held, self.known = 0, {}
-        new = [k for k in keys if k not in self.known]
-        for key, ids in zip(new, self.encode(new)):
-            self.known[key] = ids
-            self.held += 160 + len(key) + len(ids)  # two objects and their entry
+        self._learn(keys)
         parts = [self.known[k] for k in keys]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, low = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
