@@ -247,6 +247,32 @@ SHORTER = [c for c in FACTORS if c != "daily_vol_36m"]
 FIT_COLUMNS = f"country, factor, {r('beta', 5)}, {r('pvalue')}, n_obs, df_resid, rank"
 
 
+# Every third security is also on the next exchange, where its statements come 40 days later.
+LISTED_TWICE = """twice AS (
+  SELECT s_suppkey, s_name, n_regionkey AS region, 0 AS later
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL
+  SELECT s_suppkey, s_name, (n_regionkey + 1) % 5, 40
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0),
+listing AS (
+  SELECT s_suppkey, s_name AS conm, CAST(region AS VARCHAR) AS exchg, later, region IN (0, 2, 4) AS developing
+  FROM twice)"""
+DUAL = FIT.replace(LISTING, LISTED_TWICE).replace(
+    "PARTITION BY l_suppkey, fyear ORDER BY datadate", "PARTITION BY l_suppkey, developing, fyear ORDER BY datadate + later")
+SERIES = """SELECT exchg, isin, count(*) AS n_rows, min(datadate) AS first_day, max(datadate) AS last_day
+FROM price GROUP BY exchg, isin"""
+EXPORT = """lines AS (
+  SELECT CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS rank,
+    CASE WHEN c_custkey % 13 <> 0 THEN c_name ELSE ' ' END AS country,
+    CASE WHEN c_custkey % 7 = 0 THEN 'n/a' WHEN c_custkey % 17 <> 0 THEN CAST(c_acctbal AS VARCHAR) END AS value,
+    c_acctbal FROM customer
+  UNION ALL SELECT DISTINCT 'Section', c_mktsegment, NULL, NULL FROM customer),
+judged AS (SELECT *, CASE WHEN rank = 'Section' THEN 'no data row' WHEN rank IS NULL THEN 'rank is missing'
+    WHEN country = ' ' THEN 'country is missing' WHEN value = 'n/a' THEN 'value is no double' END AS reason FROM lines)"""
+LONG_PANEL = f"""long AS (SELECT * FROM (UNPIVOT (SELECT exchg, year, {TARGET}, {listed(
+    f"CAST({c} AS DOUBLE) AS {c}" for c in FACTORS)} FROM panel) ON {listed(FACTORS)} INTO NAME "column" VALUE value))"""
+
+
 def significant(level: float) -> str:
     return f"""significant AS (SELECT c.country, f.factor, f.beta, f.pvalue, c.label
   FROM (SELECT DISTINCT country, label FROM exchange) c
@@ -320,6 +346,34 @@ MONTHS = listed(f"CAST(date_trunc('month', o_orderdate) + INTERVAL {k} MONTH AS
                 for k in BACK)
 
 ORACLES = {
+    "store_factor_panel": f"WITH {panel(7)} SELECT {panel_columns()} FROM panel",
+    "store_country_prices": f"""WITH {PRICE}, {EXCHANGE}
+SELECT exchg, isin, datadate, {TIES}, close_price FROM price
+WHERE exchg IN (SELECT exchg FROM exchange WHERE country = 'Developing')""",
+    "store_series": f"WITH {PRICE} {SERIES}",
+    "replace_years_readback": """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey,
+  CASE WHEN year(o_orderdate) IN (1996, 1997) THEN o_totalprice + 1::double ELSE o_totalprice END AS o_totalprice
+  FROM orders""",
+    "export_accepted": f"""WITH {EXPORT} SELECT CAST(rank AS BIGINT) AS rank, country,
+  CASE WHEN value IS NOT NULL THEN c_acctbal END AS value FROM judged WHERE reason IS NULL""",
+    "export_rejected": f"""WITH {EXPORT} SELECT reason, coalesce(rank, '-') AS rank, country,
+  coalesce(value, '-') AS value FROM judged WHERE reason IS NOT NULL""",
+    "quartiles_by_exchange_year": f"""WITH {panel(7)}, long AS (SELECT * FROM (UNPIVOT (SELECT exchg, year, {listed(
+        f"CAST({c} AS DOUBLE) AS {c}" for c in [*FACTORS, TARGET])} FROM panel)
+  ON {listed([*FACTORS, TARGET])} INTO NAME "column" VALUE value))
+SELECT exchg, year, "column", count(*) AS n, {listed(
+    f"round(quantile_cont(value, {q}) + 0.0000137::double, 3) + 0.0::double AS q{int(100 * q)}"
+    for q in (0.25, 0.5, 0.75))} FROM long GROUP BY exchg, year, "column\"""",
+    "spearman_by_country": f"""WITH {panel(7)}, {EXCHANGE}, {LONG_PANEL},
+pairs AS (SELECT country, "column", value AS x, {TARGET} AS y FROM long JOIN exchange USING (exchg)
+  WHERE {TARGET} IS NOT NULL),
+ranked AS (SELECT country, "column",
+    rank() OVER (PARTITION BY country, "column" ORDER BY x)
+      + (count(*) OVER (PARTITION BY country, "column", x) - 1) / 2::double AS rx,
+    rank() OVER (PARTITION BY country, "column" ORDER BY y)
+      + (count(*) OVER (PARTITION BY country, "column", y) - 1) / 2::double AS ry FROM pairs)
+SELECT country, "column", count(*) AS n, {r('corr(rx, ry)', 9, 'spearman')} FROM ranked GROUP BY country, "column\"""",
+    "analyze_dual_listed": f"{DUAL} SELECT {FIT_COLUMNS} FROM fit",
     "scan_price_panel": f"""WITH {PRICE}
 SELECT isin, datadate, conm, exchg, open_price, high_price, low_price, close_price,
   trading_volume, open_price / ajexdi AS adj_open_price, high_price / ajexdi AS adj_high_price,

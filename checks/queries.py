@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from factorloom.functions.scalars import (bucket, capitalization, month_number, month_start,
                                           reporting_year, shift_months, split_adjusted_price,
                                           split_adjusted_volume)
-from factorloom.operators import crosssec, groups, ranks, reconcile, regression, series
+from factorloom.operators import crosssec, groups, ranks, reconcile, regression, selection, series
 from factorloom.plans import analysis, development, factors, report
 from factorloom.schema import (HDI_CUTS, HDI_LEVELS, PPP_CUTS, PPP_GROUPS, QUALITY, TARGET, VALUE,
                                _struct, factor_columns, growth_columns, liquidity_columns,
                                momentum_columns, volatility_columns)
 from factorloom.session import materialize, shared_folder
-from factorloom.sources import files, market
+from factorloom.sources import files, market, store
 from factorloom.sources import sample_tables as st
 
 ORDER = st.PRICE_ORDER
@@ -126,6 +126,47 @@ def write_panel_readback(spark, sf):
     return spark.read.parquet(path).select("year", "o_orderkey", "o_totalprice")
 
 
+def replace_years_readback(spark, sf):
+    """A panel of which two years are written again with other figures, twice."""
+    path = _shared_path(spark, "panel")
+    rows = st.table(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey",
+                                                "o_totalprice")
+    files.write_panel(rows, path)
+    later = rows.filter("year IN (1996, 1997)").withColumn("o_totalprice", F.col("o_totalprice") + 1.0)
+    for _ in range(2):
+        files.replace_partitions(later, path)
+    return spark.read.parquet(path).select("year", "o_orderkey", "o_totalprice")
+
+
+def _export_lines(spark, sf):
+    """Customers as text, some with fields that are missing or not of their type, and sections."""
+    customer = st.table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    data = customer.select(
+        F.when(key % 11 != 0, key.cast("string")).alias("rank"),
+        F.when(key % 13 != 0, F.col("c_name")).otherwise(F.lit(" ")).alias("country"),
+        F.when(key % 7 == 0, F.lit("n/a")).when(key % 17 != 0, F.col("c_acctbal").cast("string")).alias("value"))
+    sections = customer.select("c_mktsegment").distinct().select(
+        F.lit("Section").alias("rank"), F.col("c_mktsegment").alias("country"),
+        F.lit(None).cast("string").alias("value"))
+    return data.unionByName(sections)
+
+
+def _quarantined(spark, sf):
+    return files.quarantined(_export_lines(spark, sf), _struct("rank:l country:s value:d"),
+                             F.col("rank").isNull() | files.is_number("rank"), ["rank", "country"])
+
+
+def export_accepted(spark, sf):
+    return _quarantined(spark, sf)[0]
+
+
+def export_rejected(spark, sf):
+    return _quarantined(spark, sf)[1].select(
+        "reason", *[F.coalesce(F.get("fields", F.lit(k)), F.lit("-")).alias(c)
+                    for k, c in enumerate(("rank", "country", "value"))])
+
+
 def preview_first_n(spark, sf):
     return files.first_rows(st.table(spark, sf, "customer").select("c_custkey", "c_name"),
                             ["c_custkey"])
@@ -229,6 +270,33 @@ def factor_growth(spark, sf):
     return rounded(factors.growth(factors.quality(statements(spark, sf))), growth_columns())
 
 
+def _store(spark, sf):
+    return store.DailyStore.create(prices(spark, sf), f"daily_{uuid.uuid4().hex}", _shared_path(spark, "store"))
+
+
+def store_factor_panel(spark, sf):
+    """The panel from a table of daily prices in buckets: no daily row is moved."""
+    daily = _store(spark, sf)
+    return _rounded_panel(factors.factor_panel(daily.prices(), statements(spark, sf), order=ORDER,
+                                               days_per_month=SPARSE, sizes=daily.series()))
+
+
+def store_country_prices(spark, sf):
+    """Prices of a country from the table; only the folders of its exchanges are read."""
+    known = store.store_exchanges(st.exchanges(spark, sf), _shared_path(spark, "exchanges"))
+    scoped = market.in_country(_store(spark, sf).prices(), known, "Developing")
+    return scoped.select("exchg", "isin", "datadate", *st.TIES, "close_price")
+
+
+def store_series(spark, sf):
+    """The series of a table that was loaded in two parts."""
+    rows = prices(spark, sf)
+    early = F.col("datadate") < F.lit("1997-07-01").cast("date")
+    daily = store.DailyStore.create(rows.filter(early), f"daily_{uuid.uuid4().hex}", _shared_path(spark, "store"), 8)
+    daily.append(rows.filter(~early))
+    return daily.series()
+
+
 def _rounded_panel(df):
     df = rounded_amounts(rounded(df, VALUE, 4), liquidity_columns())
     return rounded(df, [*QUALITY, *volatility_columns(), *growth_columns(), *momentum_columns(),
@@ -278,6 +346,19 @@ def null_ratio_columns(spark, sf):
     return rounded(ratios, ["null_ratio"]).withColumn("kept", F.col("null_ratio") < 0.2)
 
 
+def quartiles_by_exchange_year(spark, sf):
+    """Quartiles of all factors and the target in each exchange and year, in one go."""
+    found = selection.group_quantiles(_panel(spark, sf), ["exchg", "year"], [*factor_columns(), TARGET], few=4)
+    cuts = {f"q{25 * (k + 1)}": r(F.get("quantiles", F.lit(k)) + F.lit(OFF_GRID), 3) for k in range(3)}
+    return found.select("exchg", "year", "column", "n", *[c.alias(name) for name, c in cuts.items()])
+
+
+def spearman_by_country(spark, sf):
+    """Rank correlation of every factor with the next year's return, in each country."""
+    panel = _panel(spark, sf).join(st.exchanges(spark, sf).select("exchg", "country"), "exchg")
+    return rounded(selection.spearman_matrix(panel, ["country"], factor_columns(), TARGET), ["spearman"], 9)
+
+
 def dropna_complete_rows(spark, sf):
     return rounded(crosssec.complete_rows(st.ppp(spark, sf)), [str(y) for y in YEARS], 4)
 
@@ -474,7 +555,7 @@ def spearman_index_difference(spark, sf):
 # --- reports -----------------------------------------------------------------
 
 def _results(spark, sf, country=None):
-    return analysis.analyze_countries(prices(spark, sf), statements(spark, sf),
+    return analysis.analyze_countries(prices(spark, sf), st.raw_statements(spark, sf),
                                       st.exchanges(spark, sf), country, order=ORDER,
                                       days_per_month=SPARSE)
 
@@ -513,7 +594,17 @@ def analyze_all_countries(spark, sf):
     return _rounded_fit(_results(spark, sf))
 
 
+def analyze_dual_listed(spark, sf):
+    """Countries with securities that are listed in two of them, from the source's rows."""
+    quotes = market.scan_prices(st.quoted_twice(st.raw_prices(spark, sf)), keep=st.TIES)
+    return _rounded_fit(analysis.analyze_countries(
+        quotes, st.listed_twice(st.raw_statements(spark, sf)), st.exchanges(spark, sf), order=ORDER,
+        days_per_month=SPARSE))
+
+
 QUERIES = {f.__name__: f for f in (
+    store_factor_panel, store_country_prices, store_series, replace_years_readback, export_accepted,
+    export_rejected, quartiles_by_exchange_year, spearman_by_country, analyze_dual_listed,
     scan_price_panel, scan_fundamentals_first, scan_skip_preamble, statements_by_country,
     read_export_file, read_csv_file, write_panel_readback, exchange_map, preview_first_n,
     sample_n, price_semi_country, scalar_adjusted_prices, scalar_calendar, january_snapshot,

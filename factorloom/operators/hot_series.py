@@ -15,8 +15,8 @@ place is the size of the earlier ranges plus its place in its own.  Rows that th
 order does not tell apart are told apart by a hash of all their columns, in split
 and whole series alike when the order is the date alone.
 
-Costs: the counts per security, of which only the oversized are written, then, if
-there are any, one pass that writes their rows.  When there is none (the normal
+Costs: the counts per security, unless the caller has them, of which only the oversized
+are written, then, if there are any, one pass that writes their rows.  When there is none (the normal
 case) the plan is that of a plain window: the data is shuffled once, by security,
 and later steps per security reuse that partitioning.
 """
@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.operators.packed_order import PackedOrder
 from factorloom.schema import SERIES_KEYS
 from factorloom.session import materialize
 
@@ -39,8 +40,11 @@ def order_key(df: DataFrame, order, columns):
 
     A date alone is followed by a hash of ``columns``, those that the result
     takes, so that rows of one day have a fixed order; both fit into a long,
-    which aggregates by hash.
+    which aggregates by hash, as does a ``PackedOrder``.  Other orders of several
+    columns are compared as a struct, for which rows are sorted.
     """
+    if isinstance(order, PackedOrder):
+        return order.key(df)
     if len(order) > 1:
         return F.struct(*order)
     if dict(df.dtypes).get(order[0]) != "date":
@@ -56,31 +60,34 @@ def window_order(order) -> list[str]:
 
 def split_hot_series(prices: DataFrame, *, halo_rows: int, carry: str | None = None,
                      order=("datadate",), keys=SERIES_KEYS,
-                     split_rows: int | None = SPLIT_ROWS,
-                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                     split_rows: int | None = SPLIT_ROWS, chunk_rows: int = CHUNK_ROWS,
+                     sizes: DataFrame | None = None) -> DataFrame:
     """Add ``chunk``, ``is_halo``, ``carried`` and ``offset``; repeat rows that serve as halo.
 
     ``offset`` is the number of rows of the series before the first one of the
     chunk, halo included; ``carried`` is the last non-null value of ``carry``
     among them.  With the date as the only order there is a column ``_tie``,
-    too.  ``split_rows=None`` skips the search, for callers that know their
-    series to be short (one row per security and day).
+    too.  ``sizes`` has ``n_rows`` of every series where that is known (``DailyStore``
+    has it), at least as many as there are; else they are counted.
+    ``split_rows=None`` skips the search, for callers that know their series to be
+    short (one row per security and day).
     """
     keys, columns = list(keys), list(prices.columns)
     if len(order) == 1:
         prices = prices.withColumn(TIE, F.xxhash64(*columns))
     oversized = None
     if split_rows is not None:
-        oversized = materialize(prices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-                                .filter(F.col("_rows") > split_rows), "oversized-series")
+        counted = (prices.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")) if sizes is None
+                   else sizes.select(*keys, F.col("n_rows").alias("_rows")))
+        oversized = materialize(counted.filter(F.col("_rows") > split_rows), "oversized-series")
         total = oversized.agg(F.sum("_rows")).first()[0]
     if oversized is None or not total:
         return prices.withColumns({"chunk": F.lit(0).cast("long"), "is_halo": F.lit(False),
                                    "carried": F.lit(None).cast("double"),
                                    "offset": F.lit(0).cast("long")})
     oversized = oversized.select(*keys)
-    placed = _placed(prices.join(oversized, keys, "left_semi"), keys, order, columns,
-                     max(2, -(-total // chunk_rows)))
+    placed = materialize(_placed(prices.join(oversized, keys, "left_semi"), keys, order, columns,
+                                 max(2, -(-total // chunk_rows))), "placed-series")
     last = F.floor((F.col("_place") + halo_rows) / chunk_rows)
     spread = placed.withColumn("_own", F.floor(F.col("_place") / chunk_rows)).withColumn(
         "chunk", F.explode(F.sequence("_own", last)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.session import materialize
@@ -63,13 +63,18 @@ def add_rank(df: DataFrame, column: str, name: str, method: str = "average",
             .drop("_value"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: the correlation of two columns, NULL where one is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, x: str, y: str, ranges: int | None = None) -> DataFrame:
     """One row (n, spearman): correlation of the average ranks of complete pairs."""
     pairs = materialize(df.select(F.col(x).cast("double").alias("x"),
                                   F.col(y).cast("double").alias("y"))
                         .filter("x IS NOT NULL AND y IS NOT NULL"), "pairs")
     ranked = add_rank(add_rank(pairs, "x", "rx", ranges=ranges), "y", "ry", ranges=ranges)
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("spearman"))
 
 
 def quantile_cuts(df: DataFrame, column: str, probabilities=(0.25, 0.5, 0.75),

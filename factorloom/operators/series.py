@@ -92,10 +92,11 @@ def _with_returns(split: DataFrame, price: str, order, also=None) -> DataFrame:
 
 
 def daily_returns(prices: DataFrame, price: str = "adj_close_price", order=("datadate",),
-                  split_rows: int | None = SPLIT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                  split_rows: int | None = SPLIT_ROWS, chunk_rows: int = CHUNK_ROWS,
+                  sizes: DataFrame | None = None) -> DataFrame:
     """Add ``daily_return``: change of the forward-filled price against the row before."""
     split = split_hot_series(prices, halo_rows=1, carry=price, order=order,
-                             split_rows=split_rows, chunk_rows=chunk_rows)
+                             split_rows=split_rows, chunk_rows=chunk_rows, sizes=sizes)
     return (_with_returns(split, price, window_order(order)).filter(~F.col("is_halo"))
             .drop(*SPLIT_COLUMNS))
 
@@ -236,18 +237,18 @@ def add_rolling(df: DataFrame, *, spans=None, means=None, order=("datadate",),
     return df.select(*kept, *wanted)
 
 
-def _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, price):
+def _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, price, sizes):
     # One row more than the longest frame, because a return looks one row back.
     return split_hot_series(prices, halo_rows=days_per_month * max(months) + 2, carry=price,
-                            order=order, split_rows=split_rows, chunk_rows=chunk_rows)
+                            order=order, split_rows=split_rows, chunk_rows=chunk_rows, sizes=sizes)
 
 
 def rolling_volatility(prices: DataFrame, price: str = "adj_close_price", order=("datadate",),
                        months=ROLLING_MONTHS, days_per_month: int = DAYS_PER_MONTH,
-                       split_rows: int | None = SPLIT_ROWS,
-                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                       split_rows: int | None = SPLIT_ROWS, chunk_rows: int = CHUNK_ROWS,
+                       sizes: DataFrame | None = None) -> DataFrame:
     """Sample deviation of daily returns over full frames; NULL while a frame is incomplete."""
-    split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, price)
+    split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, price, sizes)
     order = window_order(order)
     rolled = add_rolling(_with_returns(split, price, order), order=order,
                          spans={"daily_return": "daily_vol"}, months=months,
@@ -258,10 +259,10 @@ def rolling_volatility(prices: DataFrame, price: str = "adj_close_price", order=
 def rolling_liquidity(prices: DataFrame, price: str = "adj_close_price",
                       volume: str = "adj_trading_volume", order=("datadate",),
                       months=ROLLING_MONTHS, days_per_month: int = DAYS_PER_MONTH,
-                      split_rows: int | None = SPLIT_ROWS,
-                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                      split_rows: int | None = SPLIT_ROWS, chunk_rows: int = CHUNK_ROWS,
+                      sizes: DataFrame | None = None) -> DataFrame:
     """Average traded amount over frames that may be partial at the start of a series."""
-    split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, None)
+    split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows, None, sizes)
     amounts = split.withColumn("transaction_amount", F.col(price) * F.col(volume))
     rolled = add_rolling(amounts, order=window_order(order),
                          means={"transaction_amount": "avg_transaction_amount"},
@@ -271,14 +272,14 @@ def rolling_liquidity(prices: DataFrame, price: str = "adj_close_price",
 
 def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS,
                    days_per_month: int = DAYS_PER_MONTH, split_rows: int | None = SPLIT_ROWS,
-                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                   chunk_rows: int = CHUNK_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Volatility and liquidity in one pass.
 
     Adds ``_position``, the place of a row in its series from 1, and
     ``_opens_month``, which marks (at least) the first row of each month.
     """
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows,
-                           "adj_close_price")
+                           "adj_close_price", sizes)
     order = window_order(order)
     window = _series_window(*order)
     month = month_number(order[0])

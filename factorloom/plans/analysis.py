@@ -16,7 +16,7 @@ from factorloom.operators.regression import fit_grouped, masked_design
 from factorloom.plans.factors import factor_panel
 from factorloom.schema import (MOMENTUM_MONTHS, ROLLING_MONTHS, TARGET, factor_columns)
 from factorloom.session import materialize
-from factorloom.sources.market import in_country
+from factorloom.sources.market import STATEMENT_FILTER, in_country, scan_statements
 
 NULL_LIMIT = 0.2
 
@@ -31,6 +31,13 @@ class Design:
     kept: DataFrame
 
 
+def scoped_statements(statements: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Statements of the chosen exchanges, one of each (country, security, fiscal year)."""
+    if set(STATEMENT_FILTER) <= set(statements.columns):  # not scanned yet
+        return scan_statements(statements, exchanges=chosen)
+    return in_country(statements, chosen)
+
+
 def regression_design(prices: DataFrame, statements: DataFrame, exchanges: DataFrame,
                       country: str | None = None, null_limit: float = NULL_LIMIT,
                       **options) -> Design:
@@ -42,8 +49,9 @@ def regression_design(prices: DataFrame, statements: DataFrame, exchanges: DataF
     planner broadcasts them when small.  The factors a country keeps follow from
     the summaries, and are written for the same reason.
 
-    ``statements`` should be unique within a country (``scan_statements`` with a map
-    of exchanges), as a security may be listed in several.
+    ``statements`` may be the source's rows: they are scanned here, so that a security
+    that is listed in several countries keeps a statement of each year in each.  Rows
+    that are scanned already should be unique within a country.
     """
     factors = factor_columns(options.get("months", ROLLING_MONTHS),
                              options.get("back", MOMENTUM_MONTHS))
@@ -51,7 +59,7 @@ def regression_design(prices: DataFrame, statements: DataFrame, exchanges: DataF
     if country is not None:
         chosen = chosen.filter(F.col("country") == country)
     panel = materialize(
-        factor_panel(in_country(prices, chosen), in_country(statements, chosen), **options)
+        factor_panel(in_country(prices, chosen), scoped_statements(statements, chosen), **options)
         .join(chosen, "exchg"), "panel")
     columns = [*factors, TARGET]
     stats = materialize(cross_section_stats(panel, columns), "panel-stats")

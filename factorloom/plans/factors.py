@@ -103,10 +103,11 @@ def merge_families(frames) -> DataFrame:
 def price_panel(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS,
                 back=MOMENTUM_MONTHS, forward: int = 12,
                 days_per_month: int = DAYS_PER_MONTH, split_rows: int | None = SPLIT_ROWS,
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int = CHUNK_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Size, yield, volatility, liquidity, momentum and target in one pass.
 
-    Daily rows are shuffled once, by security.  They are then combined per
+    Daily rows are shuffled once, by security, and not at all when they come from a
+    ``DailyStore``, whose ``series`` are the ``sizes`` to pass.  They are then combined per
     security and month: each month yields its anchor, and each January also the
     first non-null value of every snapshot column.  The horizons are looked up
     among these monthly rows.  The result equals the inner merge of the five
@@ -120,7 +121,7 @@ def price_panel(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS,
     daily = daily_features(prices.filter(F.col("exchg").isNotNull() & F.col("isin").isNotNull())
                            .select(*needed), order=order, months=months,
                            days_per_month=days_per_month, split_rows=split_rows,
-                           chunk_rows=chunk_rows)
+                           chunk_rows=chunk_rows, sizes=sizes)
     # Only Januaries and the first row of each month can be used below.
     january = F.month(day) == 1
     monthly = (daily.filter(january | F.col("_opens_month"))

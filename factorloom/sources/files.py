@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorloom.schema import conform
+from factorloom.session import materialize
 
 ROWS_PER_FILE = 2_000_000
 
@@ -68,20 +67,68 @@ def matches(name: str, pattern: str):
     return F.coalesce(F.col(name).rlike(pattern), F.lit(False))
 
 
+def checked_rows(text: DataFrame, schema: T.StructType, is_data=None, required=()) -> DataFrame:
+    """All rows of an all-string frame, cast to ``schema``, with why a row is rejected.
+
+    ``reason`` is NULL for a good row, else the first of: the line is broken (``_broken``,
+    where the reader gives it), it is no data row (``is_data``), a required field is
+    missing, a field is not of its type.  ``fields`` are the row's texts as read.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    typed = {name: F.expr(f"try_cast(trim(`{name}`) AS {kind})") for name, kind in kinds.items()}
+    held = {name: F.coalesce(F.trim(F.col(f"`{name}`")) != "", F.lit(False)) for name in kinds}
+    reason = F.lit(None).cast("string")
+    for name in reversed(list(kinds)):
+        reason = F.when(held[name] & typed[name].isNull(), F.lit(f"{name} is no {kinds[name]}")).otherwise(reason)
+    for name in reversed(list(required)):
+        reason = F.when(~held[name], F.lit(f"{name} is missing")).otherwise(reason)
+    if is_data is not None:
+        reason = F.when(~F.coalesce(is_data, F.lit(False)), F.lit("no data row")).otherwise(reason)
+    if "_broken" in text.columns:
+        reason = F.when(F.col("_broken").isNotNull(), F.lit("broken line")).otherwise(reason)
+    fields = F.array(*[F.col(f"`{c}`") for c in text.columns])
+    return text.select(*[typed[name].alias(name) for name in kinds], fields.alias("fields"), reason.alias("reason"))
+
+
+def quarantined(text: DataFrame, schema: T.StructType, is_data=None, required=()) -> tuple[DataFrame, DataFrame]:
+    """The good rows, and the rejected ones (``fields``, ``reason``), of one read of the source."""
+    rows = materialize(checked_rows(text, schema, is_data, required), "checked")
+    good = rows.filter("reason IS NULL").select(*[f.name for f in schema.fields])
+    return good, rows.filter("reason IS NOT NULL").select("fields", "reason")
+
+
+def read_export_lines(spark: SparkSession, path: str, columns) -> DataFrame:
+    """A spreadsheet exported as CSV as text columns, with ``_broken`` for lines of another number of fields."""
+    layout = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_broken"]])
+    return (spark.read.schema(layout).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_broken").csv(path))
+
+
+def _spread(df: DataFrame, by: list[str], rows_per_file: int):
+    """A writer with one shuffle by partition, whose large partitions adaptive execution divides by
+    size, equal rows too, and whose small ones it puts together."""
+    return (df.hint("rebalance", *[F.col(c) for c in by]).write
+            .option("maxRecordsPerFile", rows_per_file).partitionBy(*by))
+
+
 def write_panel(df: DataFrame, path: str, by=("year",), mode: str = "errorifexists",
                 rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write an annual panel partitioned for pruned reads, one shuffle, few files.
 
-    A year is spread over as many writers as its rows call for, which one count
-    by year tells; an existing table is not replaced unless ``mode`` says so.
+    An existing table is not replaced unless ``mode`` says so.
+    """
+    _spread(df, list(by), rows_per_file).mode(mode).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, by=("year",), rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write the partitions that ``df`` has rows of, in place of those of the table.
+
+    The rows are staged beside the table and put in place when all tasks are done, so a
+    load may be repeated, or fail and be repeated, and other partitions are not touched.
+    A partition of which ``df`` has no row stays as it is.
     """
-    by = list(by)
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_writers"))
-    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
-    spread = df.alias("p").join(sizes.alias("s"), same).select("p.*", F.pmod(
-        F.xxhash64(*[F.col(f"p.`{c}`") for c in df.columns]), F.col("s._writers")).alias("_writer"))
-    (spread.repartition(*by, "_writer").drop("_writer")
-     .write.mode(mode).partitionBy(*by).parquet(path))
+    (_spread(df, list(by), rows_per_file).mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
 def first_rows(df: DataFrame, order, n: int = 5) -> DataFrame:

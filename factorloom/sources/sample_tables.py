@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.functions.scalars import ratio
+from factorloom.operators.packed_order import Field, PackedOrder, date_field
 from factorloom.sources.market import exchange_table
 
 # Several rows of a security share a date; this order makes them a series.
-PRICE_ORDER = ("datadate", "k_order", "k_line", "k_part", "close_price")
+PRICE_ORDER = PackedOrder(date_field("datadate"), Field("k_order", 33), Field("k_line", 6), Field("k_part", 27),
+                          Field("close_price", 36, per_unit=100))
 TIES = ("k_order", "k_line", "k_part")
 PPP_SAMPLE_YEARS = tuple(range(1995, 2002))
 
@@ -88,6 +90,13 @@ def listed_twice(raw: DataFrame) -> DataFrame:
     return raw.unionByName(again)
 
 
+def quoted_twice(raw: DataFrame) -> DataFrame:
+    """Quotes, with every third security also on the next exchange."""
+    again = raw.filter(F.col("isin").cast("long") % 3 == 0).withColumn(
+        "exchg", ((F.col("exchg").cast("int") + 1) % 5).cast("string"))
+    return raw.unionByName(again)
+
+
 def raw_statements(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem summed per supplier, year and quarter as statements."""
     line = table(spark, folder, "lineitem")

@@ -10,7 +10,8 @@ from tests.conftest import SMALL, TINY
 # The regression needs more rows than predictors, which the tiny tables lack.
 REGRESSION = {"ols_grouped", "gram_sums", "significant_factors", "sig_count_by_label",
               "sig_avg_by_label", "fill_missing_groups", "beta_matrix", "analyze_one_country",
-              "analyze_all_countries", "null_ratio_columns", "ols_grouped_dropped"}
+              "analyze_all_countries", "null_ratio_columns", "ols_grouped_dropped",
+              "analyze_dual_listed", "quartiles_by_exchange_year", "spearman_by_country"}
 
 
 @pytest.fixture(scope="module")
