@@ -347,6 +347,7 @@ MONTHS = listed(f"CAST(date_trunc('month', o_orderdate) + INTERVAL {k} MONTH AS
 
 ORACLES = {
     "store_factor_panel": f"WITH {panel(7)} SELECT {panel_columns()} FROM panel",
+    "grown_factor_panel": f"WITH {panel(7)} SELECT {panel_columns()} FROM panel",
     "store_country_prices": f"""WITH {PRICE}, {EXCHANGE}
 SELECT exchg, isin, datadate, {TIES}, close_price FROM price
 WHERE exchg IN (SELECT exchg FROM exchange WHERE country = 'Developing')""",
@@ -354,6 +355,15 @@ WHERE exchg IN (SELECT exchg FROM exchange WHERE country = 'Developing')""",
     "replace_years_readback": """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey,
   CASE WHEN year(o_orderdate) IN (1996, 1997) THEN o_totalprice + 1::double ELSE o_totalprice END AS o_totalprice
   FROM orders""",
+    "propose_repairs": """WITH named AS (SELECT p_partkey AS k, concat_ws(' ', p_name, p_type, p_brand) AS n FROM part),
+known AS (SELECT n AS known, min(k) AS code, regexp_replace(lower(n), '[^A-Za-z0-9]', '', 'g') AS b FROM named GROUP BY n),
+wanted AS (SELECT DISTINCT CASE WHEN k % 3 = 0 THEN n[1:2] || n[4:] WHEN k % 3 = 1 THEN 'x' || upper(n)
+    ELSE n[1:5] || ', the q' || n[6:] END AS country FROM named WHERE k % 20 < 2),
+cleaned AS (SELECT country, regexp_replace(lower(country), '[^A-Za-z0-9]', '', 'g') AS a FROM wanted),
+compared AS (SELECT country, known, code, CAST(levenshtein(a, b) AS INTEGER) AS distance, greatest(length(a), length(b)) AS n
+  FROM cleaned, known),
+near_names AS (SELECT *, min(distance) OVER (PARTITION BY country) AS least FROM compared WHERE distance <= n * 0.2::double)
+SELECT country, known AS proposed_name, code, distance FROM near_names WHERE distance = least""",
     "export_accepted": f"""WITH {EXPORT} SELECT CAST(rank AS BIGINT) AS rank, country,
   CASE WHEN value IS NOT NULL THEN c_acctbal END AS value FROM judged WHERE reason IS NULL""",
     "export_rejected": f"""WITH {EXPORT} SELECT reason, coalesce(rank, '-') AS rank, country,

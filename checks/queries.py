@@ -16,7 +16,7 @@ from factorloom.functions.scalars import (bucket, capitalization, month_number,
                                           reporting_year, shift_months, split_adjusted_price,
                                           split_adjusted_volume)
 from factorloom.operators import crosssec, groups, ranks, reconcile, regression, selection, series
-from factorloom.plans import analysis, development, factors, report
+from factorloom.plans import analysis, development, factors, growing_panel, report
 from factorloom.schema import (HDI_CUTS, HDI_LEVELS, PPP_CUTS, PPP_GROUPS, QUALITY, TARGET, VALUE,
                                _struct, factor_columns, growth_columns, liquidity_columns,
                                momentum_columns, volatility_columns)
@@ -281,6 +281,16 @@ def store_factor_panel(spark, sf):
                                                days_per_month=SPARSE, sizes=daily.series()))
 
 
+def grown_factor_panel(spark, sf):
+    """The panel of three loads, the later ones computed from the state before and their own rows."""
+    rows, cuts = prices(spark, sf), [F.lit(d).cast("date") for d in ("1997-06-15", "1998-01-12")]
+    day = F.col("datadate")
+    state = growing_panel.begin(rows.filter(day < cuts[0]), ORDER, days_per_month=SPARSE)
+    for low, high in ((cuts[0], cuts[1]), (cuts[1], F.lit("9999-12-31").cast("date"))):
+        state = growing_panel.extend(state, rows.filter((day >= low) & (day < high)))
+    return _rounded_panel(factors.with_statements(state.panel(), statements(spark, sf)))
+
+
 def store_country_prices(spark, sf):
     """Prices of a country from the table; only the folders of its exchanges are read."""
     known = store.store_exchanges(st.exchanges(spark, sf), _shared_path(spark, "exchanges"))
@@ -485,6 +495,19 @@ def repair_keys(spark, sf):
     return reconcile.repair_keys(_labelled_documents(spark, sf), overrides, "doc_id", "quality")
 
 
+def propose_repairs(spark, sf):
+    """Codes for misspelt names of parts, by the nearest known name."""
+    part = st.table(spark, sf, "part")
+    name = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    known = part.groupBy(name.alias("known")).agg(F.min("p_partkey").alias("code"))
+    key = F.col("p_partkey")
+    misspelt = F.when(key % 3 == 0, F.concat(F.substring(name, 1, 2), F.substring(name, 4, 90))).when(
+        key % 3 == 1, F.concat(F.lit("x"), F.upper(name))).otherwise(F.concat(F.substring(name, 1, 5), F.lit(", the q"),
+                                                                             F.substring(name, 6, 90)))
+    wanted = part.filter(key % 20 < 2).select(misspelt.alias("country"))
+    return reconcile.propose_repairs(wanted, known, "country", "known", "code")
+
+
 def rejoin_after_repair(spark, sf):
     metadata = st.country_metadata(spark, sf)
     coded = reconcile.left_lookup(
@@ -603,8 +626,8 @@ def analyze_dual_listed(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    store_factor_panel, store_country_prices, store_series, replace_years_readback, export_accepted,
-    export_rejected, quartiles_by_exchange_year, spearman_by_country, analyze_dual_listed,
+    store_factor_panel, grown_factor_panel, store_country_prices, store_series, replace_years_readback, export_accepted,
+    export_rejected, propose_repairs, quartiles_by_exchange_year, spearman_by_country, analyze_dual_listed,
     scan_price_panel, scan_fundamentals_first, scan_skip_preamble, statements_by_country,
     read_export_file, read_csv_file, write_panel_readback, exchange_map, preview_first_n,
     sample_n, price_semi_country, scalar_adjusted_prices, scalar_calendar, january_snapshot,

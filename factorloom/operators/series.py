@@ -280,6 +280,11 @@ def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS
     """
     split = _rolling_split(prices, months, days_per_month, order, split_rows, chunk_rows,
                            "adj_close_price", sizes)
+    return features_of_split(split, order, months, days_per_month).filter(~F.col("is_halo")).drop(*SPLIT_COLUMNS)
+
+
+def features_of_split(split: DataFrame, order, months, days_per_month: int) -> DataFrame:
+    """``daily_features`` of rows that have the columns of ``split_hot_series``, halo rows included."""
     order = window_order(order)
     window = _series_window(*order)
     month = month_number(order[0])
@@ -289,12 +294,11 @@ def daily_features(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS
                            {"_position": position, "_opens_month": opens})
              .withColumn("transaction_amount",
                          F.col("adj_close_price") * F.col("adj_trading_volume")))
-    rolled = add_rolling(daily, order=order, spans={"daily_return": "daily_vol"},
-                         means={"transaction_amount": "avg_transaction_amount"},
-                         months=months, days_per_month=days_per_month)
-    return rolled.filter(~F.col("is_halo")).drop(*SPLIT_COLUMNS)
+    return add_rolling(daily, order=order, spans={"daily_return": "daily_vol"},
+                       means={"transaction_amount": "avg_transaction_amount"},
+                       months=months, days_per_month=days_per_month)
 
 
 __all__ = ["first_non_null", "january_snapshot", "month_anchor", "horizon_lookup",
            "daily_returns", "change_over_rows", "frame_plan", "add_rolling",
-           "rolling_volatility", "rolling_liquidity", "daily_features"]
+           "rolling_volatility", "rolling_liquidity", "daily_features", "features_of_split"]

@@ -113,27 +113,44 @@ def price_panel(prices: DataFrame, order=("datadate",), months=ROLLING_MONTHS,
     among these monthly rows.  The result equals the inner merge of the five
     families, because all of them have a row for the same Januaries.
     """
-    rolled = volatility_columns(months) + liquidity_columns(months)
-    snapshot = ["market_capitalization", "dividend_per_share", *rolled]
-    needed = dict.fromkeys(["exchg", "isin", *order, "adj_close_price", "adj_trading_volume",
-                            "market_capitalization", "dividend_per_share"])
     day = order[0]
-    daily = daily_features(prices.filter(F.col("exchg").isNotNull() & F.col("isin").isNotNull())
-                           .select(*needed), order=order, months=months,
+    daily = daily_features(panel_rows(prices, order), order=order, months=months,
                            days_per_month=days_per_month, split_rows=split_rows,
                            chunk_rows=chunk_rows, sizes=sizes)
-    # Only Januaries and the first row of each month can be used below.
+    return panel_of_months(monthly_rows(daily, day, months), months, back, forward)
+
+
+def panel_rows(prices: DataFrame, order) -> DataFrame:
+    """The rows and columns of daily prices that a panel needs."""
+    needed = dict.fromkeys(["exchg", "isin", *order, "adj_close_price", "adj_trading_volume",
+                            "market_capitalization", "dividend_per_share"])
+    return prices.filter(F.col("exchg").isNotNull() & F.col("isin").isNotNull()).select(*needed)
+
+
+def snapshot_columns(months=ROLLING_MONTHS) -> list[str]:
+    return ["market_capitalization", "dividend_per_share", *volatility_columns(months),
+            *liquidity_columns(months)]
+
+
+def monthly_rows(daily: DataFrame, day: str = "datadate", months=ROLLING_MONTHS) -> DataFrame:
+    """One row per month of a security: its anchor and, in January, the first known value of
+    every snapshot column.  Only Januaries and the first row of each month are used."""
     january = F.month(day) == 1
-    monthly = (daily.filter(january | F.col("_opens_month"))
-               .groupBy("exchg", "isin", month_number(day).alias("month_no"))
-               .agg(F.min(day).alias("anchor_date"),
-                    F.min_by("adj_close_price", "_position").alias("anchor_price"),
-                    *[first_non_null(c, F.col("_position"), january).alias(c)
-                      for c in snapshot]))
+    return (daily.filter(january | F.col("_opens_month"))
+            .groupBy("exchg", "isin", month_number(day).alias("month_no"))
+            .agg(F.min(day).alias("anchor_date"),
+                 F.min_by("adj_close_price", "_position").alias("anchor_price"),
+                 *[first_non_null(c, F.col("_position"), january).alias(c)
+                   for c in snapshot_columns(months)]))
+
+
+def panel_of_months(monthly: DataFrame, months=ROLLING_MONTHS, back=MOMENTUM_MONTHS,
+                    forward: int = 12) -> DataFrame:
+    """The panel's rows from monthly ones: horizons are looked up among them."""
     found = horizon_lookup(monthly, back, (forward,))
     return found.withColumns(_momentum_ratios(back, forward)).select(
         "exchg", "isin", F.floor(F.col("month_no") / 12).cast("int").alias("year"),
-        *snapshot, *momentum_columns(back), TARGET)
+        *snapshot_columns(months), *momentum_columns(back), TARGET)
 
 
 def statement_panel(statements: DataFrame) -> DataFrame:
@@ -142,9 +159,15 @@ def statement_panel(statements: DataFrame) -> DataFrame:
         .select(*PANEL_KEYS, *QUALITY, *growth_columns())
 
 
+def with_statements(price_rows: DataFrame, statements: DataFrame, months=ROLLING_MONTHS,
+                    back=MOMENTUM_MONTHS) -> DataFrame:
+    """A price panel with what statements add to it."""
+    merged = price_rows.join(statement_panel(statements), list(PANEL_KEYS))
+    names = factor_columns(months, back)
+    return merged.withColumns(_price_ratios()).select(*PANEL_KEYS, *names, TARGET)
+
+
 def factor_panel(prices: DataFrame, statements: DataFrame, **options) -> DataFrame:
     """All predictors and the target, one row per (exchange, security, year)."""
-    merged = price_panel(prices, **options).join(statement_panel(statements), list(PANEL_KEYS))
-    names = factor_columns(options.get("months", ROLLING_MONTHS),
-                           options.get("back", MOMENTUM_MONTHS))
-    return merged.withColumns(_price_ratios()).select(*PANEL_KEYS, *names, TARGET)
+    return with_statements(price_panel(prices, **options), statements,
+                           options.get("months", ROLLING_MONTHS), options.get("back", MOMENTUM_MONTHS))
