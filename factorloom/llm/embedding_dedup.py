@@ -1,20 +1,22 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-In each pass every vector gets a key of concatenated random hashes (projections on random
-directions, cut into cells), vectors are ordered lexicographically by label and key, and
-each is compared with the ``WINDOW`` next ones.  Pairs of at least ``THRESHOLD`` cosine (double
-precision) join; the union over ``PASSES`` passes gives components.  Within a component all
-pairs are then compared, block by block, so that the number of links is exact and does
-not depend on windows.
-
-Equal vectors of one label are collapsed first and count as links of each other.  Passes
-are sorted in one shuffle by (pass, label, size, key), so a label of any size is spread
-over many tasks; a task passes on a forest of its pairs.
+In each pass every vector gets a key of concatenated random hashes.  A hash is the one of
+``DIRECTIONS`` random directions, or its opposite, that the vector lies nearest to, as seen from the mean of
+its label, so that it also divides labels whose vectors all point the same way.  Vectors are
+ordered lexicographically by key; each is compared with the neighbours in its window, a block of
+``BLOCK`` places and the first ``OVERLAP`` of the next one.  Places are counted over the whole order,
+so windows do not depend on partitions.  Pairs of at least ``THRESHOLD`` cosine (double precision)
+join.  ``PASSES`` passes are a round; rounds follow, with new hashes, until one joins nothing that was not
+joined before, so a label that is large or dense gets as many as it takes.
+
+Within a component all pairs are then compared, block by block, so that the number of links is exact
+and does not depend on windows.  Equal vectors of one label are collapsed first and count as links of each
+other.  Only keys are sorted; a vector travels once for each pass and window.
 
 Undefined cases: a vector without label or id, a null or empty one, one of zeros only, or one with a
-null or non-finite component links with nothing; vectors of different length are not
-compared; rows that share an id share a component; repeated rows are copies of each other.  An
-empty table gives no rows.
+null or non-finite component links with nothing; labels are equal if they are the same as text; vectors
+of different length are not compared; rows that share an id share a component; repeated rows are
+copies of each other.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,15 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.frames import components, forest, fresh
+from factorloom.llm.frames import components, fresh, placed
 from factorloom.session import materialize
 
 THRESHOLD = 0.98
-PASSES = 12
-WINDOW = 48
-HASHES = 10
-CELL = 0.9
+PASSES = 6                # of a round
+HASHES, DIRECTIONS = 4, 32
 BLOCK = 1024
+OVERLAP = 128
 
 
 def _digested(batches):
@@ -56,54 +57,117 @@ def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
     return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
-def _keyed(passes: int):
+def _sums(batches):
+    """The sum of the unit vectors of each label and length in a batch."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        names, sizes = np.array(table["label"].to_pylist(), object), table["size"].to_numpy()
+        rows = []
+        for label, size in sorted(set(zip(names.tolist(), sizes.tolist()))):
+            own = np.flatnonzero((names == label) & (sizes == size))
+            unit = _matrix(table["vector"].combine_chunks().take(pa.array(own)), size)
+            rows.append((label, size, len(own), unit.sum(axis=0)))
+        labels, sizes_, counts, sums = zip(*rows) if rows else ((),) * 4
+        yield pa.RecordBatch.from_arrays([
+            pa.array(labels, pa.string()), pa.array(sizes_, pa.int32()), pa.array(counts, pa.int64()),
+            pa.array(list(sums), pa.list_(pa.float64()))], ["label", "size", "n", "sums"])
+
+
+def _mean(group: pa.Table) -> pa.Table:
+    total = np.sum([np.array(x) for x in group["sums"].to_pylist()], axis=0) / sum(group["n"].to_pylist())
+    return pa.table({"label": group["label"][:1], "size": group["size"][:1],
+                     "centre": pa.array([total], pa.list_(pa.float64()))})
+
+
+def _keyed(first: int, passes: int):
+    """The keys of each vector in ``passes`` passes from ``first`` on."""
     def run(batches):
         for batch in batches:
-            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            node, sizes, vectors, centres = (batch.column(k) for k in range(4))
+            sizes = sizes.to_numpy(zero_copy_only=False)
             keys: list = [None] * batch.num_rows
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size)
-                unit = _matrix(batch.column(3).take(pa.array(rows)), size)
+                at = pa.array(rows)
+                centre = centres.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                apart = _matrix(vectors.take(at), size) - centre
                 made = []
-                for p in range(passes):
+                for p in range(first, first + passes):
                     random = np.random.default_rng([p, size])
-                    spread = unit @ random.standard_normal((size, HASHES))
-                    cells = np.floor(spread / CELL + random.random(HASHES))
-                    key = np.clip(cells + 128, 0, 255).astype(np.uint8)
-                    last = np.clip((spread[:, :1] + 32) / 64 * 2 ** 32, 0, 2 ** 32 - 1).astype(">u4").view(np.uint8)
-                    made.append(np.concatenate((key, last.reshape(len(rows), 4)), axis=1))
+                    seen = (apart @ random.standard_normal((size, HASHES * DIRECTIONS))).reshape(len(rows), HASHES, DIRECTIONS)
+                    nearest = np.abs(seen).argmax(axis=2)
+                    side = np.take_along_axis(seen, nearest[:, :, None], 2)[:, :, 0] < 0
+                    line = (apart @ random.standard_normal((size, 1))).astype(np.float32).view(np.uint32)[:, 0]
+                    line = np.where(line >> 31, ~line, line | np.uint32(1 << 31))  # sorts like the number
+                    made.append(np.concatenate(((nearest * 2 + side).astype(np.uint8),
+                                                line.astype(">u4")[:, None].view(np.uint8)), axis=1))
                 for k, row in enumerate(rows.tolist()):
                     keys[row] = [m[k].tobytes() for m in made]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.binary()))],
-                                             [*batch.schema.names, "keys"])
+            yield pa.RecordBatch.from_arrays([node, batch.column(4), batch.column(1), pa.array(keys, pa.list_(pa.binary()))],
+                                             ["node", "label", "size", "keys"])
     return run
 
 
-def _windows(threshold: float, window: int):
-    """Compares each row with the next ones of its pass, label and size."""
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            ids = table["node"].to_numpy()
-            runs = np.stack([table[c].to_numpy() for c in ("pass", "label", "size")])
-            edge = np.flatnonzero((runs[:, 1:] != runs[:, :-1]).any(axis=0)) + 1
-            left, right = [], []
-            for low, high in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)]):
-                unit = _matrix(table["vector"].slice(low, high - low).combine_chunks(), int(runs[2, low]))
-                for step in range(1, min(window, high - low - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", unit[:-step], unit[step:]) >= threshold) + low
-                    left.append(ids[near])
-                    right.append(ids[near + step])
-            if left:
-                left, right = np.concatenate(left), np.concatenate(right)
-                keep = forest(left, right)
-                yield pa.RecordBatch.from_arrays([pa.array(left[keep]), pa.array(right[keep])], ["a", "b"])
-            held = table.slice(max(0, len(ids) - window))
+def _joined(threshold: float):
+    """Compares all vectors of a window; each that links with others is joined with the smallest of its part."""
+    def run(group: pa.Table) -> pa.Table:
+        ids = group["node"].to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        unit = _matrix(group["vector"].combine_chunks(), group["size"][0].as_py())[order]
+        linked = unit @ unit.T >= threshold
+        part = np.full(len(ids), -1)
+        for k in np.flatnonzero(linked.sum(axis=1) > linked.diagonal()).tolist():
+            if part[k] < 0:  # spreads from the smallest
+                reached = np.array([k])
+                part[k] = k
+                while len(reached):
+                    reached = np.flatnonzero(linked[reached].any(axis=0) & (part < 0))
+                    part[reached] = k
+        apart = np.flatnonzero((part >= 0) & (part != np.arange(len(ids))))
+        return pa.table({"a": pa.array(ids[part[apart]]), "b": pa.array(ids[apart])})
     return run
 
 
+def passes_of(nodes: DataFrame, centres: DataFrame, first: int, passes: int, threshold: float,
+              block: int, overlap: int) -> DataFrame:
+    """``a`` and ``b`` of nodes that the passes from ``first`` on join."""
+    seen = nodes.join(centres, ["label", "size"]).select("node", "size", "vector", "centre", "label")
+    keyed = seen.mapInArrow(_keyed(first, passes), "node long, label string, size int, keys array<binary>")
+    rows = keyed.select("node", "label", "size", F.posexplode("keys").alias("pass", "key")).select(
+        "node", "key", F.concat_ws("/", F.col("pass").cast("string"), F.col("size").cast("string"), "label").alias("tree"))
+    at = placed(rows, "key", "node")
+    own = F.floor(F.col("pos") / block)
+    windows = F.when((F.col("pos") % block < overlap) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    spread = at.select("node", "tree", F.explode(windows).alias("window"))
+    return (spread.join(nodes.select("node", "size", "vector"), "node").groupBy("tree", "window")
+            .applyInArrow(_joined(threshold), "a long, b long").distinct())
+
+
+def all_passes(nodes: DataFrame, threshold: float, passes: int, block: int, overlap: int) -> DataFrame:
+    """``node`` and ``component`` of nodes with links, from rounds of passes until one joins nothing new."""
+    centres = materialize(nodes.select("label", "size", "vector").mapInArrow(
+        _sums, "label string, size int, n long, sums array<double>").groupBy("label", "size").applyInArrow(
+        _mean, "label string, size int, centre array<double>"), "centres")
+    known = materialize(components(passes_of(nodes, centres, 0, passes, threshold, block, overlap), "a", "b"), "components")
+    first = passes
+    while True:
+        links = passes_of(nodes, centres, first, passes, threshold, block, overlap)
+        part = [known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")) for c in "ab"]
+        a, b = (F.coalesce(f"{c}_part", c) for c in "ab")
+        new = materialize(links.join(part[0], "a", "left").join(part[1], "b", "left")
+                          .select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+                          .where("low <> high").distinct(), "new-links")
+        if new.isEmpty():
+            return known
+        merged = components(new, "low", "high").select(F.col("node").alias("component"), F.col("component").alias("under"))
+        nodes_now = known.unionByName(new.select(F.explode(F.array("low", "high")).alias("node")).distinct().join(
+            known.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
+        known = materialize(nodes_now.join(merged, "component", "left").select(
+            "node", F.coalesce("under", "component").alias("component")), "components")
+        first += passes
+
+
 def _degrees(threshold: float):
     """For each vector of block i (and j) the vectors of the other block it links with."""
     def run(group: pa.Table) -> pa.Table:
@@ -122,26 +186,19 @@ def _degrees(threshold: float):
 
 
 def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
-         threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+         threshold: float = THRESHOLD, passes: int = PASSES, block: int = BLOCK,
+         overlap: int = OVERLAP) -> DataFrame:
     """``key``, ``n_links``, ``component_id`` and ``kept`` of every row."""
     element = F.col(vector).cast("array<double>")
-    rows = materialize(df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"),
+    rows = materialize(df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"),
                                  element.alias("vector"))
-                       .mapInArrow(_digested, "id long, label long, vector array<double>, digest binary"), "vectors")
+                       .mapInArrow(_digested, "id long, label string, vector array<double>, digest binary"), "vectors")
     usable = rows.where("id IS NOT NULL AND label IS NOT NULL AND digest IS NOT NULL")
     copies = usable.groupBy("label", "digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     nodes = materialize(
         usable.join(copies, ["label", "digest"]).where("id = node").dropDuplicates(["label", "digest"])
         .select("node", "label", F.size("vector").alias("size"), "vector", "copies"), "nodes")
-    keyed = nodes.drop("copies").mapInArrow(
-        _keyed(passes), "node long, label long, size int, vector array<double>, keys array<binary>")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["pass", "label", "size", "key", "node"]
-    ordered = (keyed.select("node", "label", "size", "vector", F.posexplode("keys").alias("pass", "key"))
-               .repartitionByRange(parts, *order).sortWithinPartitions(*order)
-               .select("node", "label", "size", "vector", "pass"))
-    links = ordered.mapInArrow(_windows(threshold, window), "a long, b long")
-    joined = materialize(components(links, "a", "b"), "components")
+    joined = all_passes(nodes.drop("copies"), threshold, passes, block, overlap)
     sizes = joined.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = nodes.join(joined.join(sizes, "component"), "node").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -1,9 +1,9 @@
-"""Table reading, forests of links, and connected components."""
+"""Table reading, columns made in Arrow batches, places in an order, and connected components."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.session import materialize
@@ -51,23 +51,24 @@ def named(part, *new):
                                       [*part.schema.names[1:], *[f"a{k}" for k in range(len(new))]])
 
 
-def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which of the links join two parts that earlier links have not joined."""
-    parent: dict[int, int] = {}
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``pos``, the place of a row in its ``tree`` (a column) by ``order``, and the tree's ``size``.
 
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = parent[x]
-        return x
-
-    kept = np.zeros(len(left), bool)
-    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept[k] = True
-    return kept
+    One shuffle by ranges, which divides trees of any size, and counts per range; places do not
+    depend on the ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (df.repartitionByRange(parts, "tree", *order).sortWithinPartitions("tree", *order)
+               .withColumn("at_", F.monotonically_increasing_id()))
+    rows = materialize(ordered, "placed").withColumn("part_", F.shiftright("at_", 33))
+    runs = rows.groupBy("tree", "part_").agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
+    whole = Window.partitionBy("tree")
+    runs = materialize(runs.select(
+        "tree", "part_", "first_", F.sum("n_").over(whole).alias("size"),
+        (F.sum("n_").over(whole.orderBy("part_")) - F.col("n_")).alias("before_")), "runs")
+    return (rows.join(runs, ["tree", "part_"])
+            .withColumn("pos", F.col("at_") - F.col("first_") + F.col("before_"))
+            .drop("at_", "part_", "first_", "before_"))
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:

@@ -27,10 +27,10 @@ import hashlib
 import string
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.frames import quoted
+from factorloom.llm.frames import placed, quoted
 from factorloom.session import materialize
 
 FAN = 16
@@ -139,22 +139,6 @@ def _extended(extra: list[str]):
     return run
 
 
-def placed(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``pos``, the place of a row in its ``tree`` by ``order``, and the tree's ``size``."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(parts, "tree", *order).sortWithinPartitions("tree", *order)
-               .withColumn("at_", F.monotonically_increasing_id()))
-    rows = materialize(ordered, "leaves").withColumn("part_", F.shiftright("at_", 33))
-    runs = rows.groupBy("tree", "part_").agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
-    whole = Window.partitionBy("tree")
-    runs = materialize(runs.select(
-        "tree", "part_", "first_", F.sum("n_").over(whole).alias("size"),
-        (F.sum("n_").over(whole.orderBy("part_")) - F.col("n_")).alias("before_")), "runs")
-    return (rows.join(runs, ["tree", "part_"])
-            .withColumn("pos", F.col("at_") - F.col("first_") + F.col("before_"))
-            .drop("at_", "part_", "first_", "before_"))
-
-
 def _block_of(pos: str) -> Column:
     return F.shiftright(pos, (BLOCK - 1).bit_length()).alias("block")
 

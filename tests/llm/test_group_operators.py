@@ -174,6 +174,39 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch):
     assert check_embeddings(rows, found) > 1000
 
 
+@pytest.mark.parametrize("partitions", [8, 400])
+def test_pairs_in_a_dense_label_of_100000_vectors_are_found(spark, partitions):
+    """Vectors whose mean cosine is 0.8, and pairs of them planted at about 0.983."""
+    random = np.random.default_rng(12)
+    n, size, planted = 100_000, 64, 2_000
+    vectors = random.standard_normal((n, size)) / size ** .5
+    vectors = vectors * .2 ** .5 + np.eye(size)[0] * .8 ** .5
+    step = random.standard_normal((planted, size)) / size ** .5
+    length = np.linalg.norm(vectors[:planted], axis=1, keepdims=True)
+    vectors[n - planted:] = vectors[:planted] + step * length * (1 / .983 ** 2 - 1) ** .5
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    truth = np.einsum("ij,ij->i", unit[:planted], unit[n - planted:]) >= .98
+    assert truth.sum() > .8 * planted
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(vectors.ravel()))
+    table = pa.table({"vec_id": np.arange(n), "label": ["dense"] * n, "embedding": lists})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        found = embedding_dedup.link(spark.createDataFrame(table).repartition(8))
+        rows = {r.vec_id: r for r in found.where("n_links > 0").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    hit = [k for k in np.flatnonzero(truth).tolist()
+           if k in rows and n - planted + k in rows and rows[k].component_id == rows[n - planted + k].component_id]
+    assert len(hit) >= .99 * truth.sum()
+    assert len(rows) >= 2 * len(hit) and set(rows) <= {*range(planted), *range(n - planted, n)}
+    DENSE.append({k: (r.n_links, r.component_id) for k, r in rows.items()})
+    assert DENSE[0] == DENSE[-1]  # whatever the partitions
+
+
+DENSE: list[dict] = []
+
+
 def test_embeddings_of_edge_cases(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [1.0, None], 1),
             (6, [float("nan"), 1.0], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0], 2), (9, [1.0, 0.0, 0.0], 1),
