@@ -71,7 +71,7 @@ def placed(df: DataFrame, *order: str) -> DataFrame:
             .drop("at_", "part_", "first_", "before_"))
 
 
-def components(links: DataFrame, left: str, right: str) -> DataFrame:
+def components(links: DataFrame, left: str, right: str, kind: str = "long") -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node that has a link.
 
     Alternates large and small stars until the links no longer change: each round hangs
@@ -80,7 +80,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     neighbours are written, too: both sides of each join on the node are then shuffled
     scans, which adaptive execution can split where one node holds many links.
     """
-    a, b = F.col(left).cast("long"), F.col(right).cast("long")
+    a, b = F.col(left).cast(kind), F.col(right).cast(kind)
     edges = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                         .where("u <> v").distinct(), "links")
     seen = None

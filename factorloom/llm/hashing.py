@@ -100,6 +100,20 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     return tokens(texts, _WORD.view(np.uint8), lower=True)
 
 
+def word_digests(first: np.ndarray, starts: np.ndarray, body: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """A digest (128 bits) of each text's words, put together with zero bytes between; the arguments are
+    what ``words`` gives."""
+    data, offsets = body
+    held = _WORD[data]
+    gap = np.zeros(len(data), bool)
+    gap[1:] = ~held[1:] & held[:-1]
+    gap[offsets[:-1][offsets[:-1] < len(data)]] = False
+    kept = held | gap
+    flat = np.where(held, data, 0)[kept].astype(np.uint8).tobytes()
+    ends = np.concatenate(([0], np.cumsum(kept)))[offsets].tolist()
+    return [hashlib.blake2b(flat[p:q].rstrip(b"\0"), digest_size=16).digest() for p, q in zip(ends, ends[1:])]
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray,
              size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words, and the first of each text.

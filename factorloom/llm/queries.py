@@ -43,7 +43,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(read(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(
+        F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
