@@ -2,16 +2,17 @@
 
 Two generative models of hashed n-grams (tokens and pairs of tokens) are counted: one on
 target text (texts labelled good) and one on all raw text.  The log weight of a text is the
-log ratio of their likelihoods, per n-gram and times ``LENGTH``, so that long texts are not
-favoured; Gumbel noise is added and the texts with the k largest sums stay, which samples k
-texts without replacement in proportion to their weights.
+log ratio of its likelihoods under them, tempered to ``LENGTH`` n-grams: the text counts as if it had
+that many, so that long texts are not favoured.  Gumbel noise is added and the texts with the k largest
+sums stay, which samples k texts without replacement in proportion to their weights.
 
 Tokens are runs of letters and digits, or of other marks, with case; a token equal to the
 one before it becomes a mark of repetition.  The target model reads a bounded sample of labelled
 texts (``MAX_TARGET``, smallest hash of the key first); raw counts cover every text.  The
 ratio of a place is (target + ``PRIOR``) / (expected + ``PRIOR``), so rare places say little.
 
-k is given, or the number of texts whose mean log ratio is at least ``MIN_RATIO``.
+k is given, or the number of target texts to be expected: the sum of the odds w / (1 + w) over all texts, where
+a weight is multiplied by ``exp(LOG_ODDS)``, the odds for a text that nothing is known of.
 
 Undefined cases: a null or empty text, or one without tokens, has no weight and never
 stays; without target text all ratios are 0; rows with equal key and text get equal noise,
@@ -33,8 +34,8 @@ from factorloom.session import materialize
 PLACES = 1 << 16
 MAX_TARGET = 20_000
 PRIOR = 5.0
-LENGTH = 200.0
-MIN_RATIO = -0.25
+LENGTH = 20.0
+LOG_ODDS = 8.0
 SEED = 17
 BINS = 4096
 FEW = 20_000
@@ -136,11 +137,17 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return inside[-1]["v"]
 
 
+def expected(scored: DataFrame, ratio: str = "log_ratio") -> int:
+    """The number of target texts that the weights let expect; the same whatever the order of adding."""
+    odds = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col(ratio) * LENGTH + LOG_ODDS)))
+    return round(scored.agg(F.sum(odds.cast("decimal(18,9)"))).first()[0] or 0)
+
+
 def threshold(scored: DataFrame, k: int | None = None, ratio: str = "log_ratio",
               order: str = "sample_key") -> float:
     """What the sum must reach for a text to be among the k sampled."""
     if k is None:
-        k = scored.where(F.col(ratio) >= MIN_RATIO).count()
+        k = expected(scored, ratio)
     found = kth_largest(scored, order, k)
     return float("-inf") if found is None and k > 0 else float("inf") if found is None else found
 

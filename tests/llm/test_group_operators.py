@@ -491,7 +491,8 @@ def test_pipeline_stage_by_stage(spark, documents, tmp_path):
         if name == "quality":
             kept = {r.doc_id for r in docs.select("doc_id").collect()}
             known = labels.quality.groupby(level=0).max()
-            assert all((k in kept) == bool(q) for k, q in known.items())
+            assert np.mean([k in kept for k, q in known.items() if q]) > .98
+            assert np.mean([k not in kept for k, q in known.items() if not q]) > .9
         if name == "lines":
             pages = [(r.doc_id, r.source, r.text) for r in before.collect()]
             hosts = Counter(s for _, s, _ in pages)

@@ -160,6 +160,29 @@ def test_gumbel_noise_samples_in_proportion():
     np.testing.assert_allclose(np.bincount(first) / 20000, weights, atol=0.02)
 
 
+def test_texts_are_sampled_in_proportion_to_their_weights(spark, monkeypatch):
+    """Inclusion frequencies of three kinds of texts against drawing one after the other by weight."""
+    kinds, weights, n, k = ("low lo", "mid mi", "high hi"), (-1.5, 0.0, 1.0), 3000, 4000
+    ratios = np.zeros(quality.PLACES)
+    for text, weight in zip(kinds, weights):  # all n-grams of a text have its ratio
+        ratios[quality.grams(pa.array([text]))[0]] = weight / quality.LENGTH
+    df = spark.createDataFrame([(i * 3 + j, t) for i in range(n) for j, t in enumerate(kinds)], "doc_id long, text string")
+    scored = quality.score(df, ratios).join(df, "doc_id").cache()
+    assert scored.where(F.abs(F.col("log_ratio") * quality.LENGTH - F.when(F.col("text") == "low lo", -1.5).when(
+        F.col("text") == "mid mi", 0.0).otherwise(1.0)) > 1e-9).isEmpty()
+    limit = quality.threshold(scored, k)
+    found = {r.text: r["count"] / n for r in scored.where(F.col("sample_key") >= limit).groupBy("text").count().collect()}
+    # Drawing without replacement: time to the draw is exponential, so a kind is in with 1 - exp(-w t).
+    rate, low, high = np.exp(weights), 0.0, 50.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (1 - np.exp(-rate * middle)).sum() * n < k else (low, middle)
+    for text, p in zip(kinds, 1 - np.exp(-rate * low)):
+        assert abs(found[text] - p) < 4 * (p * (1 - p) / n) ** .5, text
+    expected = sum(n / (1 + np.exp(-(w + quality.LOG_ODDS))) for w in weights)
+    assert quality.expected(scored) == round(expected)
+
+
 def test_quality_of_edge_cases(spark, labels):
     rows = quality.resample(edge(spark), labels).collect()
     assert len(rows) == len(EDGE)
