@@ -24,7 +24,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the sampled documents; the number to sample follows from the weights."""
+    """Keeps the sampled documents, as many as the weights let expect of the target."""
     return quality.sampled(docs, read(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
@@ -34,19 +34,8 @@ def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, that with the smallest id; documents without an id stay.
-
-    Of rows that repeat an id one stays.
-    """
-    found = near_dedup.classes(docs)
-    repeated = found.groupBy("id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    drop = repeated.where("id <> class_id").select(F.col("id").alias("doc_id"))
-    again = repeated.where("id = class_id AND n > 1").select(F.col("id").alias("doc_id"))
-    left = docs.join(drop, "doc_id", "left_anti")
-    if again.isEmpty():
-        return left.select(*COLUMNS)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+    """Keeps one document of each class, that with the smallest id; of rows that are the same one stays."""
+    return near_dedup.deduplicated(docs).select(*COLUMNS)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
