@@ -51,17 +51,33 @@ def byte_ranges(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa
         None, pa.py_buffer(ends), pa.py_buffer(data[held])])
 
 
+def _lane(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Up to eight bytes of each range as a number; ``data`` goes on for eight bytes after the last."""
+    every = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    kept = np.clip(lengths, 0, 8).astype(np.uint64)
+    return every[starts] & np.where(kept < 8, (np.uint64(1) << (kept * np.uint64(8) & np.uint64(63))) - np.uint64(1),
+                                    np.uint64(0xFFFFFFFFFFFFFFFF))
+
+
 def token_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range; the ranges ascend and none is empty or overlaps.
 
-    Equal ranges are found by their bytes, and each different one is hashed by BLAKE2b, so no
-    pattern of letters makes two of them meet.
+    Ranges of up to 16 bytes are two numbers, mixed one after the other; those of one
+    length of up to eight bytes cannot meet.  Longer ones are told apart by their bytes, and each
+    different one is hashed by BLAKE2b, so no pattern of letters makes two of them meet.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    coded = byte_ranges(data, starts, lengths).dictionary_encode()
-    digests = b"".join([hashlib.blake2b(x, digest_size=8).digest() for x in coded.dictionary.to_pylist()])
-    return np.frombuffer(digests, np.uint64)[coded.indices.to_numpy()]
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    found = mix(_lane(padded, starts, lengths)) ^ (lengths.astype(np.uint64) * _ODD)
+    second = np.where(lengths > 8, starts + 8, starts)
+    found = mix(mix(found) + _lane(padded, second, lengths - 8))
+    long = np.flatnonzero(lengths > 16)
+    if len(long):
+        coded = byte_ranges(data, starts[long], lengths[long]).dictionary_encode()
+        digests = b"".join([hashlib.blake2b(x, digest_size=8).digest() for x in coded.dictionary.to_pylist()])
+        found[long] = np.frombuffer(digests, np.uint64)[coded.indices.to_numpy()]
+    return found
 
 
 def tokens(texts: pa.Array, classes: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:

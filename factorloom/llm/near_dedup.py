@@ -27,6 +27,7 @@ it has none; repeated rows are copies.  An empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +67,11 @@ _INVERSE_R = 1 / _R
 _LN_C = np.log(_gamma_quantiles(1 << 16)).astype(np.float32)
 
 
-def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def vectors(texts: pa.Array, digested: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Distinct shingles, ascending in each text, their counts, the first of each text (one
-    entry more), and a digest of each text's words."""
+    entry more), and if ``digested`` a digest of each text's words."""
     words, first_word, starts, body = hashing.words(texts)
-    digests = hashing.word_digests(first_word, starts, body)
+    digests = hashing.word_digests(first_word, starts, body) if digested else []
     found, first = hashing.shingles(words, first_word)
     own, counts = [], []
     for k in range(len(first) - 1):
@@ -192,7 +193,7 @@ def bands(sampled: np.ndarray) -> np.ndarray:
 def _signed(weights: Weights):
     def run(batches):
         for part in slices(batches, 1, 2 << 20):
-            found, counts, first, digests = vectors(part.column(1))
+            found, counts, first, digests = vectors(part.column(1), True)
             sampled = samples(found, counts * weights.of(found), first)
             keys = bands(sampled)
             filled = np.diff(first) > 0
@@ -227,7 +228,7 @@ def _alike(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     runs = np.stack([x[order] for x in (bucket, i, j)])
     run = np.cumsum(np.append(0, (band[1:] != band[:-1]) | (runs[:, 1:] != runs[:, :-1]).any(axis=0)))
     marks = np.frombuffer(b"".join(group["marks"].to_pylist()), "<u2").reshape(-1, HASHES)[order]
-    part = group["part"].combine_chunks().dictionary_encode().indices.to_numpy()[order]
+    part = group["part"].to_numpy()[order]
     left, right, agreed = [], [], []
     for step in range(1, int(np.bincount(run).max())):
         a = np.flatnonzero((run[:-step] == run[step:]) & (part[:-step] != part[step:])
@@ -246,7 +247,7 @@ def _alike(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([*x, none]).astype(np.int64) for x in (left, right, agreed))
 
 
-_RUN = "band int, bucket long, i int, j int, block int, digest binary, marks binary, part binary"
+_RUN = "band int, bucket long, i int, j int, block int, node long, marks binary, part long"
 
 
 def _sieved(group: pa.Table) -> pa.Table:
@@ -261,10 +262,8 @@ def _compared(weights: Weights, threshold: float):
     compared whole."""
     def run(group: pa.Table) -> pa.Table:
         left, right, agreed = _alike(group)
-        coded = group["digest"].combine_chunks().dictionary_encode()
-        which = coded.indices.to_numpy()
-        parts = group["part"].combine_chunks().dictionary_encode().indices.to_numpy()
-        _, sample = np.unique(which, return_index=True)
+        nodes, sample, which = np.unique(group["node"].to_numpy(), return_index=True, return_inverse=True)
+        parts = np.unique(group["part"].to_numpy(), return_inverse=True)[1]
         found, counts, first, _ = vectors(group["body"].combine_chunks().take(pa.array(sample)))
         held = (counts * weights.of(found)).astype(np.float64)
         sums = np.add.reduceat(np.append(held, 0), first[:-1])
@@ -286,8 +285,8 @@ def _compared(weights: Weights, threshold: float):
                                          (found[first[b]:first[b + 1]], held[first[b]:first[b + 1]])) >= threshold:
                 parent[down] = up
                 kept.append((a, b))
-        ends = [coded.dictionary.take(pa.array([x[k] for x in kept], pa.int64())) for k in (0, 1)]
-        return pa.table({"a": ends[0], "b": ends[1]})
+        a, b = np.array(kept, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(nodes[a]), "b": pa.array(nodes[b])})
     return run
 
 
@@ -298,44 +297,49 @@ def _dealt(rows: DataFrame, small: int) -> DataFrame:
     return rows.withColumn("task", F.when(F.col("blocks") == 1, few).otherwise(F.xxhash64("band", "bucket", "i", "j")))
 
 
-def _round(members: DataFrame, bodies: DataFrame, known: DataFrame | None, weights: Weights, threshold: float) -> DataFrame:
+def _round(members: DataFrame, bodies: DataFrame, marks: DataFrame, known: DataFrame | None, weights: Weights,
+           threshold: float) -> DataFrame:
     """Links between contents that share a bucket of the round."""
-    here = members if known is None else members.join(known.withColumnsRenamed({"node": "digest", "component": "known"}),
-                                                      "digest", "left")
-    part = F.col("digest") if known is None else F.coalesce("known", "digest")
-    runs = here.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    seen = marks if known is None else marks.join(known.withColumnRenamed("component", "known"), "node", "left")
+    part = F.col("node") if known is None else F.coalesce("known", "node")
+    here = members.join(seen.withColumn("part", part), "node")
+    runs = here.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", "bucket", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "digest", "marks", "part")
+        "block", "node", "marks", "part")
     alike = materialize(_dealt(runs, TOGETHER[0]).groupBy("task").applyInArrow(_sieved, _RUN), "alike")
     whole = alike.withColumn("blocks", F.when(F.col("j") > 0, 2).otherwise(1))
-    return (_dealt(whole, TOGETHER[1]).join(bodies, "digest").groupBy("task")
-            .applyInArrow(_compared(weights, threshold), "a binary, b binary"))
+    return (_dealt(whole, TOGETHER[1]).join(bodies, "node").groupBy("task")
+            .applyInArrow(_compared(weights, threshold), "a long, b long"))
 
 
 def contents(df: DataFrame, key: str = "doc_id", text: str = "text",
              threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """``id`` and ``digest`` of every row, and ``node`` and ``component`` of the contents that have links."""
+    """``id``, ``digest`` and ``node`` (a number for each content) of every row, and ``node`` and ``component`` of the
+    contents that have links."""
     texts = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     weights = inverse_frequencies(texts.select("body"))
     rows = materialize(texts.mapInArrow(
         _signed(weights), "id long, digest binary, bands array<bigint>, marks binary"), "signatures")
-    nodes = rows.dropDuplicates(["digest"])
-    every = nodes.select("digest", "marks", F.posexplode("bands").alias("band", "bucket"))
+    nodes = materialize(rows.select("digest", "bands", "marks").dropDuplicates(["digest"])
+                        .withColumn("node", F.monotonically_increasing_id()), "contents")
+    every = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     sizes = every.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     members = materialize(every.join(sizes, ["band", "bucket"]).select(
-        "band", "bucket", "digest", "marks", blocks.alias("blocks"),
-        F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block")), "members")
-    shared = materialize(members.select("digest").distinct(), "shared")
-    bodies = texts.mapInArrow(_with_digest, "digest binary, body string").join(shared, "digest", "left_semi").dropDuplicates(["digest"])
+        "band", "bucket", "node", blocks.alias("blocks"),
+        F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")), "members")
+    shared = nodes.join(members.select("node").distinct(), "node").select("node", "digest", "marks")
+    shared = materialize(shared, "shared")
+    # Both sides of this join grow with the input: it moves each text once at every size.
+    bodies = texts.mapInArrow(_with_digest, "digest binary, body string").hint("merge").join(
+        shared.select("node", "digest"), "digest").dropDuplicates(["digest"]).select("node", "body")
     bodies = materialize(bodies, "bodies")
     links, known = [], None
     for low, high in ROUNDS:
         own = members.where((F.col("band") >= low) & (F.col("band") < high))
-        links.append(materialize(_round(own, bodies, known, weights, threshold), "links"))
-        every_link = links[0] if len(links) == 1 else links[0].union(links[1])
-        known = materialize(components(every_link, "a", "b", "binary"), "components")
-    return rows.select("id", "digest"), known
+        links.append(materialize(_round(own, bodies, shared.select("node", "marks"), known, weights, threshold), "links"))
+        known = materialize(components(reduce(DataFrame.union, links), "a", "b"), "components")
+    return rows.select("id", "digest").join(nodes.select("digest", "node"), "digest"), known
 
 
 def _with_digest(batches):
@@ -353,8 +357,7 @@ def _digested(batches):
 
 def _classed(rows: DataFrame, known: DataFrame) -> DataFrame:
     """``rows`` with ``part``, the content that stands for their class."""
-    parts = known.select(F.col("node").alias("digest"), "component")
-    return rows.join(parts, "digest", "left").select("id", "digest", F.coalesce("component", "digest").alias("part"))
+    return rows.join(known, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("part"))
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

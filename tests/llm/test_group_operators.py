@@ -83,7 +83,7 @@ def test_components_equal_union_find(spark):
 
 def all_links(texts):
     """All pairs of different word sequences, with weights from the documents themselves."""
-    found, counts, first, digests = near_dedup.vectors(pa.array([t or "" for _, t in texts]))
+    found, counts, first, digests = near_dedup.vectors(pa.array([t or "" for _, t in texts]), True)
     values, frequency = np.unique(found, return_counts=True)
     frequency = np.maximum(frequency[np.searchsorted(values, found)], len(texts) / near_dedup.RARE)
     weights = counts * np.log1p(len(texts) / frequency)
@@ -137,10 +137,10 @@ def test_a_chain_of_many_texts_moves_each_body_a_bounded_number_of_times(spark,
     sent = []
     own = near_dedup._round
 
-    def counted(members, bodies, known, weights, threshold):
+    def counted(*arguments):
         monkeypatch.setattr(near_dedup, "materialize", lambda df, name="step": (
             sent.append(kept(df, name)) or sent[-1]))
-        return own(members, bodies, known, weights, threshold)
+        return own(*arguments)
 
     from factorloom.session import materialize as kept
     monkeypatch.setattr(near_dedup, "_round", counted)
