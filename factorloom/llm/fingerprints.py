@@ -20,11 +20,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm import hashing
-from factorloom.llm.frames import beside, named, slices
+from factorloom.llm.frames import beside, named, quoted, slices
 
 K = 128
 
@@ -71,12 +71,11 @@ def merge(df: DataFrame, by: str, sketch: str = "sketch", k: int = K) -> DataFra
     only its ``k`` smallest of a group, so a group of any size reaches the last task as a
     few times ``k`` numbers.
     """
-    rows = df.select(by, F.explode(sketch).alias("h")).groupBy(by, "h").agg(F.lit(1).alias("one"))
-    rows.createOrReplaceTempView("sketch_rows")
-    ranked = df.sparkSession.sql(
-        f"SELECT * FROM (SELECT `{by}`, h, row_number() OVER (PARTITION BY `{by}` ORDER BY h) AS r "
-        f"FROM sketch_rows) WHERE r <= {int(k)}")
-    return ranked.groupBy(by).agg(F.sort_array(F.collect_list("h")).alias(sketch))
+    rows = df.select(F.col(quoted(by)).alias("by"), F.explode(quoted(sketch)).alias("h")).groupBy("by", "h").agg(
+        F.lit(1).alias("one"))
+    smallest = F.row_number().over(Window.partitionBy("by").orderBy("h"))
+    ranked = rows.withColumn("r", smallest).where(F.col("r") <= int(k))
+    return ranked.groupBy("by").agg(F.sort_array(F.collect_list("h")).alias(sketch)).withColumnRenamed("by", by)
 
 
 def _union(a: Column, b: Column, k: int) -> Column:

@@ -15,7 +15,7 @@ from factorloom.session import materialize
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +181,23 @@ SELECT c.pair_id, c.n::INTEGER AS common_turns,
 FROM common c LEFT JOIN ends e ON c.pair_id = e.pair_id GROUP BY c.pair_id, c.n
 """
 
+_OP6 = f"""
+WITH RECURSIVE usable AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b FROM usable a JOIN usable b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+reached AS (SELECT rid, rid AS there FROM usable UNION SELECT r.rid, l.b FROM reached r JOIN links l ON l.a = r.there),
+parts AS (SELECT r.rid, min(u.vec_id) AS component_id FROM reached r JOIN usable u ON u.rid = r.there GROUP BY r.rid),
+degrees AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(p.component_id, e.vec_id) AS component_id,
+       coalesce(e.vec_id = coalesce(p.component_id, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN usable u ON u.vec_id = e.vec_id LEFT JOIN parts p ON p.rid = u.rid LEFT JOIN degrees d ON d.rid = u.rid
+"""
+
 _LOWERED = f"translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = f"regexp_extract_all({_LOWERED.format('text')}, {_sql(suffixes.WORDS)})"
 
@@ -276,5 +293,5 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_cost_packing, op3_importance_resampling, op4_fingerprints, op5_weighted_near_dedup,
     op6_embedding_near_dedup, op7_pii_surrogates, op8_recursive_bpe, op9_preference_format,
     op10_site_lines, op11_token_alignment, op12_suffix_decontamination, op13_merkle_manifest)}
-ORACLES = {"op9_preference_format": _OP9, "op10_site_lines": _OP10, "op12_suffix_decontamination": _OP12,
+ORACLES = {"op6_embedding_near_dedup": _OP6, "op9_preference_format": _OP9, "op10_site_lines": _OP10, "op12_suffix_decontamination": _OP12,
            "op13_merkle_manifest": _OP13}
