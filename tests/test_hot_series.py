@@ -104,7 +104,7 @@ def test_a_split_series_scans_the_prices_twice(spark, plan_text, tmp_path):
     df = spark.read.parquet(str(tmp_path / "prices"))
     text = plan_text(series.daily_features(df, months=(1,), split_rows=500, chunk_rows=100))
     assert text.count(str(tmp_path / "prices")[-20:]) <= 2
-    assert "hot-series" in text
+    assert "placed-series" in text
 
 
 def test_no_oversized_series_means_one_range(spark):
