@@ -12,6 +12,10 @@ more hexadecimal digits), and the words of a person's name after a title or a kn
 name (given name by gender, surname).  A card number or IBAN that passes its checksum gets
 one that passes too.  Case and separators of each place are kept; private address ranges,
 reserved ``example`` domains, country codes and the fictional 555 exchange stay as such.
+Words of a name found in this way (surnames, and given names of the list) are also replaced
+where they stand alone in the same text, capitalised or in capitals, unless the text has the
+word in small letters too, as it has common words; hyphens, apostrophes and capitals within a
+name are part of it.  A given name has the gender of its title, else that of the list.
 From turn ``WIDE`` on, where a format has too few free values, replacements of e-mails, names
 and phones get longer and private addresses move to other reserved ranges.
 
@@ -50,7 +54,7 @@ ENDINGS = {("latin", "given_m"): ["n", "s", "rt", "k"], ("latin", "given_f"): ["
            ("cyrillic", "given_m"): ["н", "р", "й"], ("cyrillic", "given_f"): ["на", "я", "ла"],
            ("cyrillic", "given_n"): ["ша", "ня"], ("cyrillic", "surname"): ["ов", "ин", "ко"]}
 
-_NAME = r"\p{Lu}\p{Ll}{1,30}"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}{1,30}(?:[\-'’]?\p{Lu}\p{Ll}{1,30}){0,3}"
 _ALL_TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # A run of numbers ends before what another kind takes.
@@ -66,7 +70,7 @@ _PARTS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": rf"(?<![\w.\-])(?=\d(?:[ \-]?\d){{12}})\d++(?!\w)(?:[ \-]{_STOP}\d++(?!\w))*+",
     "person": rf"\b(?:{'|'.join(_ALL_TITLES)})\b\.? {_NAME}(?: {_NAME})?"
-              rf"|\b(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)}) {_NAME}",
+              rf"|\b(?:{'|'.join(MALE_NAMES + FEMALE_NAMES)})(?:-\p{{Lu}}\p{{Ll}}{{1,30}})? {_NAME}",
 }
 _PATTERN = "|".join(f"(?:{p})" for p in _PARTS.values())
 CARD_LAYOUT = r"^(?:\d{13,19}|\d{4}(?: \d{4}){3}(?: \d{1,3})?|\d{4} \d{6} \d{4,5})$"
@@ -75,15 +79,42 @@ WIDE = 5
 
 
 def find(text: Column) -> Column:
-    """All matches of a text, as written, from left to right; a run of numbers is one."""
+    """All matches of a text, as written, from left to right, but for names that stand alone; a
+    run of numbers is one."""
     return F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))
 
 
-def entities(text: Column) -> Column:
+def _alone(text: Column, people: Column) -> Column:
+    """The names in the matches ``people`` of a text as an alternative to ``_PATTERN`` that finds
+    them standing alone; NULL if there are none.  Only names whose kind can be told from the
+    word itself take part, so that a place has the same replacement as the marked one."""
+    words = F.flatten(F.transform(people, lambda w: F.filter(
+        _words(w), lambda x: x["kind"] == _kind_alone(x["surface"]))))
+    in_text = F.split(text, r"[^\p{L}\p{M}'’\-]+")
+    common = F.array_intersect(F.transform(words, lambda x: F.lower(x["surface"])), in_text)
+    names = F.array_distinct(F.transform(F.filter(
+        words, lambda x: ~F.array_contains(common, F.lower(x["surface"]))), lambda x: x["surface"]))
+    forms = F.array_join(F.array_union(names, F.transform(names, F.upper)), "|")
+    return F.when(forms != "", F.concat(F.lit(r"|(?<![\p{L}\p{N}\-])(?:"), forms,
+                                        F.lit(r")(?![\p{L}\p{N}]|-\p{Lu})")))
+
+
+def found(df: DataFrame, text: str, matches: str, alone: str) -> DataFrame:
+    """``df`` with the matches of ``text`` and what finds the names that stand alone in it."""
+    people = fresh(df, "people")
+    out = df.withColumn(matches, find(F.col(text)))
+    out = out.withColumn(people, F.filter(matches, lambda w: w.rlike(f"^(?:{_PARTS['person']})$")))
+    out = out.withColumn(alone, F.when(F.size(people) > 0, _alone(F.col(text), F.col(people)))).drop(people)
+    return out.withColumn(matches, F.when(F.col(alone).isNull(), F.col(matches)).otherwise(
+        F.regexp_extract_all(F.col(text), F.concat(F.lit(_PATTERN), F.col(alone)), F.lit(0))))
+
+
+def entities(df: DataFrame, text: str, name: str) -> DataFrame:
     """What ``replace`` counts: the matches of a text, a run of numbers with cards as its cards."""
-    return F.flatten(F.transform(find(text), lambda whole: F.when(
-        _is_run(whole), F.transform(F.filter(_divided(whole), lambda x: x["kind"] == "card"), lambda x: x["surface"]))
-        .otherwise(F.array(whole))))
+    alone = fresh(df, "alone")
+    return found(df, text, name, alone).drop(alone).withColumn(name, F.flatten(F.transform(name, lambda w: F.when(
+        F.size(_run(w)) > 0, F.transform(F.filter(_divided(w, _run(w)), lambda x: x["kind"] == "card"),
+                                         lambda x: x["surface"])).otherwise(F.array(w)))))
 
 
 def _kind(surface: Column) -> Column:
@@ -227,31 +258,43 @@ def _written(kind: Column, surface: Column, value: Column) -> Column:
               F.upper(shown)).otherwise(shown))
 
 
-def _parts(surface: Column) -> Column:
-    """The parts of a match: what is kept has no kind, a name is one part for each word, a run
-    of numbers is divided into its cards and what lies between."""
-    kind = _kind(surface)
+def _words(surface: Column) -> Column:
+    """The words of a person's name with their kinds; a title has none."""
     tokens = F.split(surface, " ")
     title = F.regexp_replace(tokens[0], r"\.$", "")
-    male, female = title.isin(MALE_TITLES + MALE_NAMES), title.isin(FEMALE_TITLES + FEMALE_NAMES)
-    given = F.when(male, "given_m").when(female, "given_f").otherwise("given_n")
     titled = title.isin(_ALL_TITLES)
 
     def word(token: Column, i: Column) -> Column:
+        first = F.substring_index(token, "-", 1)
+        given = (F.when(title.isin(MALE_TITLES), "given_m").when(title.isin(FEMALE_TITLES), "given_f")
+                 .when(first.isin(MALE_NAMES), "given_m").when(first.isin(FEMALE_NAMES), "given_f")
+                 .otherwise("given_n"))
         role = (F.when(titled & (i == 0), F.lit(None).cast("string"))
+                .when(F.size(tokens) == 1, _kind_alone(token))
                 .when((titled & (i == 1) & (F.size(tokens) > 2)) | (~titled & (i == 0)), given)
                 .otherwise("surname"))
         return F.struct(role.alias("kind"), token.alias("surface"))
 
-    return (F.when(kind.eqNullSafe("person"), F.transform(tokens, word))
-            .when(_is_run(surface), _divided(surface))
+    return F.transform(tokens, word)
+
+
+def _kind_alone(word: Column) -> Column:
+    """The kind of a name that stands alone: a given name if the list has it, else a surname."""
+    proper = F.initcap(F.substring_index(word, "-", 1))
+    return F.when(proper.isin(MALE_NAMES), "given_m").when(proper.isin(FEMALE_NAMES), "given_f").otherwise("surname")
+
+
+def _parts(surface: Column, kind: Column, run: Column) -> Column:
+    """The parts of a match: what is kept has no kind, a name is one part for each word, a run
+    of numbers is divided into its cards and what lies between."""
+    return (F.when(kind.eqNullSafe("person"), _words(surface))
+            .when(F.size(run) > 0, _divided(surface, run))
             .otherwise(F.array(F.struct(kind.alias("kind"), surface.alias("surface")))))
 
 
-def _is_run(surface: Column) -> Column:
-    """Several numbers with a card among them."""
-    return (surface.rlike(r"^\d+(?:[ \-]\d+)+$") & surface.rlike(f"^(?:{_PARTS['card']})$")
-            & (F.size(_cards(surface)) > 0))
+def _run(surface: Column) -> Column:
+    """The cards of several numbers; NULL for other matches."""
+    return F.when(surface.rlike(r"^\d+(?:[ \-]\d+)+$") & surface.rlike(f"^(?:{_PARTS['card']})$"), _cards(surface))
 
 
 def _cards(surface: Column) -> Column:
@@ -273,9 +316,8 @@ def _cards(surface: Column) -> Column:
         .otherwise(F.concat(kept, F.array(x))))
 
 
-def _divided(surface: Column) -> Column:
+def _divided(surface: Column, cards: Column) -> Column:
     pieces = F.regexp_extract_all(surface, F.lit(r"\d+|[ \-]"), F.lit(0))  # numbers at even places
-    cards = _cards(surface)
 
     def text(begin: Column, end: Column) -> Column:
         return F.array_join(F.slice(pieces, begin + 1, end - begin), "")
@@ -329,10 +371,16 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates", row_key:
     body = F.col(text)
     lead = [F.col(row_key)] if row_key else []
     keyed = df.withColumn(one, F.xxhash64(*lead, body)).withColumn(two, F.xxhash64(body, F.lit(1), *lead))
+    whole, alone = fresh(df, "whole"), fresh(df, "alone")
+    # Outer explodes: for others Spark repeats the whole expression in a filter below.
+    rows = (found(keyed.select(one, two, body), text, whole, alone)
+            .select(F.col(one).alias("k1"), F.col(two).alias("k2"), F.col(alone).alias("alone"),
+                    F.posexplode_outer(whole).alias("place", "whole")).where(F.col("place").isNotNull())
+            .withColumn("run", _run(F.col("whole"))).withColumn("kind", _kind(F.col("whole"))))
     matches = materialize(
-        keyed.select(F.col(one).alias("k1"), F.col(two).alias("k2"), F.posexplode(find(body)).alias("place", "whole"))
-        .select("k1", "k2", "place", F.posexplode(_parts(F.col("whole"))).alias("part", "one"))
-        .select("k1", "k2", "place", "part", "one.*")
+        rows.select("k1", "k2", "place", F.when(F.col("place") == 0, F.col("alone")).alias("alone"),
+                    F.posexplode_outer(_parts(F.col("whole"), F.col("kind"), F.col("run"))).alias("part", "one"))
+        .select("k1", "k2", "place", "alone", "part", "one.*")
         .withColumn("value", _canonical(F.col("kind"), F.col("surface"))).distinct(), "matches")
     known = assign(matches.where(F.col("kind").isNotNull()).select("kind", "value"), key)
     filled = (matches.join(known, ["kind", "value"], "left")
@@ -341,14 +389,16 @@ def replace(df: DataFrame, text: str = "text", key: str = "surrogates", row_key:
               .groupBy("k1", "k2", "place").agg(F.sort_array(F.collect_list(F.struct("part", "shown"))).alias("parts"),
                                                 F.greatest(F.max(F.col("kind").isNotNull().cast("int")),
                                                            F.count_if(F.col("kind") == "card").cast("int")).alias("real"),
-                                                F.max(F.col("kind").rlike("^(given|surname)")).alias("name"))
+                                                F.max(F.col("kind").rlike("^(given|surname)")).alias("name"),
+                                                F.max("alone").alias("alone"))
               .select("k1", "k2", "place", F.when(F.col("name"), F.array_join(F.col("parts.shown"), " ")).otherwise(
-                  F.array_join(F.col("parts.shown"), "")).alias("shown"), "real"))
+                  F.array_join(F.col("parts.shown"), "")).alias("shown"), "real", "alone"))
     shown = fresh(df, "shown")
     by_text = (filled.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("place", "shown"))).alias("rows"),
-                                            F.sum("real").cast("int").alias(counted))
-               .select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("rows.shown").alias(shown), counted))
-    gaps = F.split(body, _PATTERN, -1)
+                                            F.sum("real").cast("int").alias(counted), F.max("alone").alias("alone"))
+               .select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("rows.shown").alias(shown),
+                       F.col("alone").alias(alone), counted))
+    gaps = F.split(body, F.concat(F.lit(_PATTERN), F.coalesce(F.col(alone), F.lit(""))), -1)
     joined = F.array_join(F.zip_with(gaps, F.col(shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = keyed.join(by_text, [one, two], "left")
     return out.select(*[(F.when(F.col(shown).isNull(), body).otherwise(joined).alias(text)

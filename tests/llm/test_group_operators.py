@@ -1,5 +1,6 @@
 """Near-duplicates, embeddings, personal data, preferences, site lines and the pipeline."""
 
+import random
 import re
 from collections import Counter
 
@@ -381,6 +382,33 @@ def test_cards_beside_other_numbers_are_replaced(spark):
     assert [out[k].n_entities for k in range(8)] == [1, 1, 1, 2, 2, 2, 2, 0]
 
 
+def test_names_that_stand_alone_follow_the_marked_ones(spark):
+    texts = ["Mary Johnson spoke. Johnson said hi, JOHNSON's dog and Mary left; Johnsonville stays.",
+             "Dr. Ann Smith-Jones met Mr. O'Brien, Mrs McDonald and Jean-Pierre Dupont. Smith-Jones, Smith and O'Brien.",
+             "Mr Brown saw a brown bear. Brown bears sleep.", "Johnson and Mary without a mark.",
+             "Mr. John came. John Smith and Dr. John Smith; Frau Johnson, Herr Johnson, Johnson-Meier."]
+    # Many names in one long text, each of them alone once more.
+    names = ["".join(random.Random(k).choices("bcdfghklmnprst", k=6)).capitalize() for k in range(400)]
+    texts.append(" ".join(f"Mr {n} is here." for n in names) + " x" * 20000 + " " + " ".join(f"{n}, again" for n in names))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(df).collect()}
+    first, last, one, caps, given = re.fullmatch(
+        r"(\w+) (\w+) spoke\. (\w+) said hi, (\w+)'s dog and (\w+) left; Johnsonville stays\.", out[0].text).groups()
+    assert one == last != "Johnson" and caps == last.upper() and given == first != "Mary" and first[-1] in "ae"
+    whole, irish, scot, french, again, smith, also = re.fullmatch(
+        r"Dr\. \w+ (\w+) met Mr\. (\w+), Mrs (\w+) and \w+ (\w+)\. (\w+), (\w+) and (\w+)\.", out[1].text).groups()
+    assert again == whole and also == irish and smith == "Smith" and len({whole, irish, scot, french}) == 4
+    assert not re.search("Ann|Jones|Brien|Donald|Jean|Pierre|Dupont", out[1].text)
+    assert re.fullmatch(r"Mr (?!Brown)\w+ saw a brown bear\. Brown bears sleep\.", out[2].text)
+    assert out[3].text == texts[3]
+    m = re.fullmatch(r"Mr\. (\w+) came\. (\w+) (\w+) and Dr\. (\w+) (\w+); Frau (\w+), Herr (\w+), Johnson-Meier\.",
+                     out[4].text)
+    assert m[2] == m[4] != "John" and m[3] == m[5] != "Smith" and m[6] == m[7] == last and m[1] != "John"
+    marked, alone = re.findall(r"Mr (\w+) is", out[5].text), re.findall(r"(\w+), again", out[5].text)
+    assert marked == alone and len(set(alone)) == len(set(names)) and not set(alone) & set(names)
+    assert [out[k].n_entities for k in range(6)] == [4, 6, 1, 0, 5, 800]
+
+
 def test_formats_with_too_few_values_are_widened(spark, monkeypatch):
     monkeypatch.setattr(pii, "WIDE", 1)  # fewer turns that cannot succeed
     mails = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
@@ -399,7 +427,7 @@ def test_formats_with_too_few_values_are_widened(spark, monkeypatch):
 def test_surrogates_over_the_documents(spark, documents):
     out = queries.op7_pii_surrogates(spark, SMALL).join(
         documents.select("doc_id", F.col("text").alias("before")), "doc_id")
-    rows = out.select("text", "before", "n_entities", pii.entities("before").alias("old"), pii.entities("text").alias("new")).collect()
+    rows = pii.entities(pii.entities(out, "before", "old"), "text", "new").collect()
     mapping, kept = {}, 0
     for row in rows:
         assert len(row.old) == len(row.new)
