@@ -116,6 +116,43 @@ def test_toxicity_of_edge_cases(spark):
     assert max(r.score_ for r in toxicity.score(edge(spark), nothing).collect()) < toxicity.THRESHOLD
 
 
+def test_toxicity_scores_equal_a_loop_over_sentences_and_words(spark, documents):
+    """Noisy-or and offending sentences of the whole table, word by word, for given weights."""
+    word = r"[0-9a-zA-Z\u0080-\U0010ffff]+"
+    texts = {r.doc_id: (r.text or "").lower() for r in documents.collect()}
+    vocabulary = sorted({w for t in texts.values() for w in re.findall(word, t)})
+    buckets = dict(zip(vocabulary, toxicity.features(pa.array(vocabulary))[0].T.tolist(), strict=True))
+    assert all(buckets[w][1] == buckets[w[:4]][1] for w in vocabulary if w.isascii() and w[:4] in buckets)
+    places = np.array(sorted({b for row in buckets.values() for b in row}), np.int32)
+    weights = np.random.default_rng(8).normal(0, .3, len(places))
+    weight, bias = dict(zip(places.tolist(), weights.tolist())), -3.0
+    worth = {w: sum(weight[b] for b in row) for w, row in buckets.items()}
+    rows = toxicity.score(documents, (places, weights, bias)).collect()
+    assert len(rows) == len(texts)
+    scores, offending = [], 0
+    for row in rows:
+        sentences, open_ = [], False
+        for m in re.finditer(rf"[.!?\n]|{word}", texts[row.doc_id]):
+            if m[0] in ".!?\n":
+                open_ = False
+                continue
+            if not open_:
+                sentences.append([m.start(), bias])
+                open_ = True
+            sentences[-1][1] += worth[m[0]]
+        chances = [1 / (1 + math.exp(-max(min(z, 30), -30))) for _, z in sentences]
+        clean = 1.0
+        for p in chances:
+            clean *= 1 - p
+        scores.append(1 - clean)
+        assert abs(row.score - (1 - clean)) < 1e-5
+        sure = {at for (at, _), p in zip(sentences, chances) if p >= toxicity.THRESHOLD + 1e-5}
+        maybe = {at for (at, _), p in zip(sentences, chances) if p >= toxicity.THRESHOLD - 1e-5}
+        assert sure <= {x.start for x in row.offending} <= maybe
+        offending += len(sure)
+    assert offending > 100 and min(scores) < .2 and max(scores) > .8
+
+
 def test_toxicity_query_learns_on_its_rows_only(spark, labels):
     rows = queries.op1_toxicity(spark, SMALL).join(labels, "doc_id").toPandas()
     assert (rows.held_out == [zlib.crc32(str(k).encode()) % 4 == 2 for k in rows.doc_id]).all()
