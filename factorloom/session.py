@@ -40,13 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     cluster every executor has to reach the folder, so it must be configured, and
     not as a plain path that each machine would look up on its own disk.  A path
     that names the file system itself (``file:`` for a mounted share) is taken
-    at its word.
+    at its word.  The executors of ``local-cluster`` are processes of the driver's
+    machine, on whose disk they all find a plain path.
     """
     context = spark.sparkContext
     folder = (spark.conf.get("spark.checkpoint.dir", None)
               or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
     local = context.master.startswith("local[") or context.master == "local"
-    if folder and (local or not _on_own_disk(context, folder)):
+    one_machine = local or context.master.startswith("local-cluster[")
+    if folder and (one_machine or not _on_own_disk(context, folder)):
         return folder
     if folder:
         raise RuntimeError(f"{folder} is on the disk of each machine; name a shared file system")

@@ -191,6 +191,16 @@ def test_a_cluster_needs_a_shared_folder(spark):
     assert session.shared_folder(_Cluster(spark, "/shared", "hdfs://name")) == "/shared"
 
 
+def test_processes_of_one_machine_share_its_disk(spark):
+    cluster = _Cluster(spark, "/tmp/checkpoints")
+    cluster.master = "local-cluster[3,2,3000]"
+    assert session.shared_folder(cluster) == "/tmp/checkpoints"
+    cluster = _Cluster(spark, None)
+    cluster.master = "local-cluster[3,2,3000]"
+    with pytest.raises(RuntimeError):
+        session.shared_folder(cluster)
+
+
 def test_own_tables_can_be_removed(spark, monkeypatch):
     monkeypatch.setattr(session, "_WRITTEN", [])
     session.materialize(spark.range(3), "gone")
