@@ -32,6 +32,7 @@ from factorloom.session import materialize
 
 SPLIT_ROWS = 20_000_000
 CHUNK_ROWS = 5_000_000
+RANGE_ROWS = 100_000
 TIE = "_tie"
 
 
@@ -87,7 +88,7 @@ def split_hot_series(prices: DataFrame, *, halo_rows: int, carry: str | None = N
                                    "offset": F.lit(0).cast("long")})
     oversized = oversized.select(*keys)
     placed = materialize(_placed(prices.join(oversized, keys, "left_semi"), keys, order, columns,
-                                 max(2, -(-total // chunk_rows))), "placed-series")
+                                 _ranges(prices.sparkSession, total, chunk_rows)), "placed-series")
     last = F.floor((F.col("_place") + halo_rows) / chunk_rows)
     spread = placed.withColumn("_own", F.floor(F.col("_place") / chunk_rows)).withColumn(
         "chunk", F.explode(F.sequence("_own", last)))
@@ -101,6 +102,13 @@ def split_hot_series(prices: DataFrame, *, halo_rows: int, carry: str | None = N
     return cold.unionByName(hot)
 
 
+def _ranges(spark, total: int, chunk_rows: int) -> int:
+    """How many ranges ``total`` rows are dealt to: of about a chunk each, but short chunks share
+    one, because every range costs a task and a file.  Places do not depend on it."""
+    enough = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    return max(2, min(-(-total // chunk_rows), enough))
+
+
 def _placed(hot: DataFrame, keys, order, columns, ranges: int) -> DataFrame:
     """Add ``_place``, counted from 0 in each series."""
     sort = [*keys, *order, F.xxhash64(*columns)]

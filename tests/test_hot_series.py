@@ -43,6 +43,19 @@ def test_split_results_equal_unsplit(prices, chunk_rows):
         same(rolling(prices, **options, **cut), rolling(prices, **options, split_rows=None), key)
 
 
+def test_short_chunks_share_a_range(spark, prices, monkeypatch):
+    dealt, place = [], hot_series._placed
+    monkeypatch.setattr(hot_series, "_placed", lambda *a: dealt.append(a[-1]) or place(*a))
+    cut = {"halo_rows": 2, "order": ORDER, "split_rows": 500}
+    for chunk_rows in (3, 1000):
+        split = hot_series.split_hot_series(prices, chunk_rows=chunk_rows, **cut)
+        assert split.filter("NOT is_halo").count() == prices.count()
+        assert split.filter("NOT is_halo").agg(F.max("chunk")).first()[0] == 3000 // chunk_rows - 1
+    assert dealt == [int(spark.conf.get("spark.sql.shuffle.partitions")), 3]
+    assert hot_series._ranges(spark, 36_000_000, 150) == 360
+    assert hot_series._ranges(spark, 36_000_000, hot_series.CHUNK_ROWS) == 8
+
+
 def test_panel_is_the_same_for_a_split_series(prices):
     options = {"order": ORDER, "months": (1, 3, 6), "days_per_month": 7, "back": (1, 6)}
     whole = factors.price_panel(prices, **options, split_rows=None)
