@@ -6,15 +6,13 @@ again as the next one's ``docs``.  All but the last return the columns of ``docu
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import line_dedup, near_dedup, packing, pii, quality
 from factorloom.llm.frames import read
-from factorloom.session import shared_folder
+from factorloom.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,10 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result as a table in the shared folder."""
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each result as a table in the shared folder if there is one."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

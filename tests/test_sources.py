@@ -207,3 +207,81 @@ def test_own_tables_can_be_removed(spark, monkeypatch):
     folder = pathlib.Path(session.shared_folder(spark).removeprefix("file://"))
     assert len(list(folder.glob("gone-*"))) == 1
     assert session.drop_tables(spark) == 1 and not list(folder.glob("gone-*"))
+
+
+@pytest.fixture
+def other_cluster(spark, monkeypatch):
+    """The session as on a cluster whose machines may or may not share a folder; nothing was tried yet."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(session, "_TRIED", {})
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    monkeypatch.setattr(session, "_HELD", [])
+    return spark
+
+
+def test_a_plain_folder_that_a_cluster_shares_is_found_by_trying(other_cluster, monkeypatch):
+    folder = other_cluster.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert session.shared_folder(other_cluster) == folder
+    assert not list(pathlib.Path(folder).glob("seen-*"))
+    assert session.materialize(other_cluster.range(3), "tried").count() == 3
+    assert session.drop_tables(other_cluster) == 1
+    tries = []
+    monkeypatch.setattr(session, "_written_and_read", lambda *a: bool(tries.append(a)))
+    assert session.shared_folder(other_cluster) == folder and not tries
+    key = (other_cluster.sparkContext.applicationId, folder)
+    session._TRIED[key] = frozenset(["another"]), True  # executors on a machine that was not there
+    with pytest.raises(RuntimeError):
+        session.shared_folder(other_cluster)
+    assert len(tries) == 1
+
+
+def test_a_folder_counts_as_shared_only_if_all_rows_come_back(spark, tmp_path):
+    assert session._written_and_read(spark, f"{tmp_path}/all")
+    (tmp_path / "file").write_text("")
+    assert not session._written_and_read(spark, f"{tmp_path}/file/none")
+    assert not list(tmp_path.glob("all*"))
+
+
+def test_rows_are_held_where_machines_share_no_folder(other_cluster, monkeypatch, plan_text):
+    monkeypatch.setattr(session, "_written_and_read", lambda *a: False)
+    with pytest.raises(RuntimeError):
+        session.shared_folder(other_cluster)
+    day = F.date_add(F.lit("1582-10-01").cast("date"), F.col("id").cast("int"))
+    df = other_cluster.range(30).select(
+        F.col("id").alias("a.b"), F.expr("uuid()").alias("u"), day.alias("day"), F.lit(None).cast("double").alias("x"),
+        F.array(F.struct(F.col("id").alias("n"))).alias("s"), F.expr("cast(X'ff41' AS string)").alias("bytes"))
+    held = session.materialize(df, "held")
+    assert held.columns == df.columns and held.dtypes == df.dtypes
+    first, again = ({tuple(r) for r in held.select(F.expr("struct(*)").cast("string"), F.hex("bytes"), "day").collect()}
+                    for _ in range(2))
+    assert first == again and len(first) == 30  # the rows are computed once
+    assert held.filter("hex(bytes) = 'FF41'").count() == 30
+    assert {r.day for r in held.collect()} == {r.day for r in df.select("day").collect()}
+    assert "InMemoryTableScan" in plan_text(held) and "Range" not in plan_text(held).split("InMemoryRelation")[0]
+    assert "BroadcastHashJoin" in plan_text(other_cluster.range(9).join(held.select(F.col("`a.b`").alias("id")), "id"))
+    assert session.drop_tables(other_cluster) == 1 and not held.storageLevel.useDisk
+
+
+def test_operators_run_alike_where_machines_share_no_folder(other_cluster, monkeypatch):
+    from factorloom.llm.frames import components, placed
+    from factorloom.operators import ranks, series
+
+    rows = other_cluster.range(200).select(
+        F.lit("X").alias("isin"), (F.col("id") % 2).cast("string").alias("exchg"),
+        F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int")).alias("datadate"),
+        (F.col("id") * 7 % 31 + 1.0).alias("adj_close_price"))
+    links = other_cluster.range(1, 60).selectExpr("id AS a", "id DIV 3 * 2 AS b")
+    trees = other_cluster.range(50).selectExpr("cast(id % 3 AS string) AS tree", "id * 7 % 50 AS leaf")
+
+    def found():
+        rank = ranks.spearman(rows.withColumn("y", F.dayofyear("datadate")), "adj_close_price", "y")
+        return [sorted(map(tuple, df.collect())) for df in (
+            series.daily_returns(rows, split_rows=20, chunk_rows=30), components(links, "a", "b"),
+            placed(trees, "leaf"), rank.select("n", F.round("spearman", 9)))]
+
+    written = found()
+    monkeypatch.setattr(session, "_TRIED", {})
+    monkeypatch.setattr(session, "_written_and_read", lambda *a: False)
+    assert found() == written
+    assert session._HELD
+    session.drop_tables(other_cluster)
